@@ -57,6 +57,11 @@ def value(df: DataFrame, column: str) -> Column:
     return named(column)
 
 
+def count_where(condition: Column) -> Column:
+    """Rows for which a condition holds (compiles tighter than ``count_if``)."""
+    return F.count(F.when(condition, 1))
+
+
 def clean_nan(df: DataFrame) -> DataFrame:
     """Turn NaN into null in every floating-point column."""
     fractional = [c for c in df.columns if isinstance(type_of(df, c), _FRACTIONAL)]

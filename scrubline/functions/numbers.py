@@ -93,8 +93,8 @@ def bin_index(number: Column, edges: Sequence[float]) -> Column:
     guess = F.least(
         F.greatest(F.ceil((number - low) / width) - 1, F.lit(0)), F.lit(bins - 1)
     ).cast("int")
-    below = F.element_at(array, guess + 1)
-    above = F.element_at(array, guess + 2)
+    below = F.get(array, guess)
+    above = F.get(array, guess + 1)
     return F.when(
         (number > edges[0]) & (number <= edges[-1]),
         F.when(number <= below, guess - 1).when(number > above, guess + 1).otherwise(guess),

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scrubline.frames import require_batch, value
+from scrubline.frames import count_where, require_batch, value
 
 # Up to this many rows one task may hold and sort a column's values.
 SORTED_ROWS = 20_000
@@ -196,7 +196,7 @@ def _count_marks(df: DataFrame, places: Mapping[str, Sequence[float]]) -> dict[s
     marks: dict[str, list[_Mark]] = {c: [] for c in places}
     if flat:
         counted = df.agg(
-            *[f for c, v in flat for f in (F.count_if(number(df, c) < v), F.count_if(number(df, c) == v))]
+            *[f for c, v in flat for f in (count_where(number(df, c) < v), count_where(number(df, c) == v))]
         ).first()
         for i, (c, v) in enumerate(flat):
             marks[c].append(_Mark(v, counted[2 * i], counted[2 * i + 1]))
@@ -248,7 +248,7 @@ def _sort_inside(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int
     name = {ends: f"x{i}" for i, ends in enumerate(shared)}
     row = (
         df.agg(*[F.array_sort(F.collect_list(b.rows_inside(df))).alias(name[e]) for e, b in shared.items()])
-        .select(*[F.element_at(name[b.ends], b.rank - b.inside_from + 1) for b in brackets])
+        .select(*[F.get(name[b.ends], F.lit(b.rank - b.inside_from)) for b in brackets])
         .first()
     )
     return {(b.column, b.rank): v for b, v in zip(brackets, row)}

@@ -19,6 +19,21 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space."""
+    return text.rlike(f"(?U)^[{_SPACE_CLASS}]*\\z")
+
+
+def starts_spaced(text: Column) -> Column:
+    return F.substring(text, 1, 1).rlike(f"(?U)[{_SPACE_CLASS}]")
+
+
+def has_edge_space(text: Column) -> Column:
+    """White space first or last; only those two characters are looked at."""
+    edges = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return edges.rlike(f"(?U)[{_SPACE_CLASS}]")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scrubline.frames import (
-    data_columns, is_numeric, is_text, is_time, named, numeric_columns, require_batch, text_columns,
+    count_where, data_columns, is_numeric, is_text, is_time, named, numeric_columns, require_batch, text_columns,
     type_of, value,
 )
 from scrubline.functions import dates, numbers, stats, text
@@ -42,26 +42,27 @@ def _type_counts(df: DataFrame, column: str) -> dict[str, Column]:
     if not is_text(df, column):
         return {}
     c = named(column)
-    parsed = {"numbers": F.count(numbers.parse_number(c))}
+    # most text fails this look at its first character and is parsed no further
+    candidate = c.rlike(r"^\s*[-+.\diI]")
+    parsed = {"numbers": F.count(F.when(candidate, numbers.parse_number(c)))}
     for i, fmt in enumerate(dates.INFERENCE_FORMATS):
-        parsed[f"date{i}"] = F.count(dates.parse_format(c, fmt))
+        parsed[f"date{i}"] = F.count(F.when(candidate, dates.parse_format(c, fmt)))
     return parsed
 
 
 def _content_counts(df: DataFrame, column: str) -> dict[str, Column]:
     if is_text(df, column):
         c = named(column)
-        stripped = text.strip(c)
         return {
-            "spaces": F.count_if(c != stripped),
-            "leading": F.count_if(c != F.ltrim(c, F.lit(text.WHITESPACE))),
-            "lower": F.count_if(text.is_lower(c)),
-            "upper": F.count_if(text.is_upper(c)),
-            "blank": F.count_if(stripped == ""),
+            "spaces": count_where(text.has_edge_space(c)),
+            "leading": count_where(text.starts_spaced(c)),
+            "lower": count_where(text.is_lower(c)),
+            "upper": count_where(text.is_upper(c)),
+            "blank": count_where(text.is_blank(c)),
         }
     if is_numeric(df, column):
         x = value(df, column)
-        return {"negative": F.count_if(x < 0), "low": F.min(x), "high": F.max(x)}
+        return {"negative": count_where(x < 0), "low": F.min(x), "high": F.max(x)}
     return {}
 
 
@@ -119,10 +120,10 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
     keyed = df.select(*_fingerprint(df, columns), *_keys(df, columns))
     groups = keyed.groupBy("__h1", "__h2").agg(
         F.count("*").alias("n"),
-        F.count_if(_all_missing(columns)).alias("empty"),
+        count_where(_all_missing(columns)).alias("empty"),
     )
     summary = groups.agg(
-        F.sum("n"), F.count("*"), F.count_if(F.col("n") > 1), F.sum("empty")
+        F.sum("n"), F.count("*"), count_where(F.col("n") > 1), F.sum("empty")
     ).first()
     total, shapes, shared = summary[0] or 0, summary[1], summary[2]
     empty = summary[3] or 0
@@ -295,7 +296,7 @@ def outlier_checks(df: DataFrame, present: Mapping[str, int] | None = None) -> d
     fences = outlier_fences(df, columns)
     x = {c: value(df, c).cast("double") for c in columns}
     row = df.agg(
-        *[F.count_if((x[c] < fences[c]["lower"]) | (x[c] > fences[c]["upper"])) for c in columns]
+        *[count_where((x[c] < fences[c]["lower"]) | (x[c] > fences[c]["upper"])) for c in columns]
     ).first()
     return {
         c: {"outlier_count": n, "outlier_pct": _share(n, present[c])}

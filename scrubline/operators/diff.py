@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scrubline.frames import ROW_ID, named, require_columns, value
+from scrubline.frames import ROW_ID, count_where, named, require_columns, value
 
 BEFORE, AFTER = "__before", "__after"
 SAMPLE = 5
@@ -81,11 +81,11 @@ def count_pairs(pairs: DataFrame) -> dict:
     """The change counts of paired rows, in one aggregate."""
     columns = common_columns(pairs)
     before, after = _fields(pairs, BEFORE), _fields(pairs, AFTER)
-    cells = [F.count_if(_on_both() & _changed(pairs, c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    cells = [count_where(_on_both() & _changed(pairs, c)).alias(f"c{i}") for i, c in enumerate(columns)]
     row = pairs.agg(
         F.count(F.col(BEFORE)).alias("before"),
         F.count(F.col(AFTER)).alias("after"),
-        F.count_if(_on_both() & _any_changed(pairs)).alias("rows"),
+        count_where(_on_both() & _any_changed(pairs)).alias("rows"),
         *cells,
     ).first()
     rows_before, rows_after = row["before"], row["after"]
@@ -145,9 +145,9 @@ def column_pair_counts(pairs: DataFrame, column: str) -> DataFrame:
     a, b = F.col(BEFORE)[column], F.col(AFTER)[column]
     changed = _changed(pairs, column) & a.isNotNull() & b.isNotNull()
     counts = pairs.where(_on_both()).agg(
-        F.count_if(changed).alias("values_changed"),
-        F.count_if(a.isNull() & b.isNotNull()).alias("nulls_filled"),
-        F.count_if(a.isNotNull() & b.isNull()).alias("nulls_created"),
+        count_where(changed).alias("values_changed"),
+        count_where(a.isNull() & b.isNotNull()).alias("nulls_filled"),
+        count_where(a.isNotNull() & b.isNull()).alias("nulls_created"),
     )
     total = F.col("values_changed") + F.col("nulls_filled") + F.col("nulls_created")
     return counts.withColumn("total_changes", total)

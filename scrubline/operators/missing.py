@@ -125,14 +125,15 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
     rows = df.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(rows / ROWS_PER_RANGE)))
     splits = stats.range_splits(df, key, ranges) if ranges > 1 else []
-    ranged = stats.bucket_of(df.withColumn("__key", key.cast("double")), "__key", splits, "__range")
+    ranged = stats.bucket_of(df.withColumns({"__key": key, "__at": key.cast("double")}), "__at", splits, "__range")
 
-    here = W.partitionBy("__range").orderBy(named(order[0]))
-    here = (
-        here.rowsBetween(W.unboundedPreceding, 0) if forward else here.rowsBetween(0, W.unboundedFollowing)
-    )
-    pick = F.last if forward else F.first
-    within = {c: pick(value(ranged, c), ignorenulls=True).over(here) for c in columns}
+    # both directions look back over rows already passed: a frame that looks
+    # ahead is evaluated anew for every row
+    def toward(column: str) -> Column:
+        return F.asc(column) if forward else F.desc(column)
+
+    here = W.partitionBy("__range").orderBy(toward("__key")).rowsBetween(W.unboundedPreceding, 0)
+    within = {c: F.last(value(ranged, c), ignorenulls=True).over(here) for c in columns}
     if not splits:
         return ranged.withColumns(within).select(*[named(c) for c in df.columns])
 
@@ -140,16 +141,13 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
     carried = {f"__c{i}": c for i, c in enumerate(columns)}
     ends = ranged.groupBy("__range").agg(
         *[
-            nearest(value(ranged, c), F.when(value(ranged, c).isNotNull(), named(order[0]))).alias(name)
+            nearest(value(ranged, c), F.when(value(ranged, c).isNotNull(), F.col("__key"))).alias(name)
             for name, c in carried.items()
         ]
     )
-    span = W.partitionBy(F.lit(0)).orderBy("__range")
-    span = (
-        span.rowsBetween(W.unboundedPreceding, -1) if forward else span.rowsBetween(1, W.unboundedFollowing)
-    )
+    before = W.partitionBy(F.lit(0)).orderBy(toward("__range")).rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select(
-        "__range", *[pick(named(n), ignorenulls=True).over(span).alias(n) for n in carried]
+        "__range", *[F.last(named(n), ignorenulls=True).over(before).alias(n) for n in carried]
     )
     joined = ranged.join(F.broadcast(ends), "__range", "left")
     filled = joined.withColumns({c: F.coalesce(within[c], named(n)) for n, c in carried.items()})

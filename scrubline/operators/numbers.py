@@ -111,7 +111,7 @@ def bin_numeric(
         return df.withColumn(target, F.lit(None).cast("string"))
     names = numbers.bin_labels(edges) if labels is None else [str(n) for n in labels]
     index = numbers.bin_index(value(df, column), edges)
-    return df.withColumn(target, F.element_at(F.array(*[F.lit(n) for n in names]), index + 1))
+    return df.withColumn(target, F.get(F.array(*[F.lit(n) for n in names]), index))
 
 
 # ---- outliers ----

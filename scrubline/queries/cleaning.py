@@ -251,8 +251,9 @@ for _op, _sql in {
 
 _BIN_EDGES = ", ".join(f"lo + (hi - lo) / 12 * {i}" for i in range(1, 12))
 query("n5_bin", EVENTS,
-      f"SELECT event_id, value, 'bin' || CAST(len([e FOR e IN [{_BIN_EDGES}] IF value > e]) AS STRING) "
-      "AS bin FROM {t}, (SELECT min(value) AS lo, max(value) AS hi FROM {t})")(
+      f"SELECT event_id, value, CASE WHEN value IS NOT NULL THEN 'bin' || "
+      f"CAST(len([e FOR e IN [{_BIN_EDGES}] IF value > e]) AS STRING) END AS bin "
+      "FROM {t}, (SELECT min(value) AS lo, max(value) AS hi FROM {t})")(
     lambda df: ops.bin_numeric(df, "value", 12, [f"bin{i}" for i in range(12)], "bin").select(
         "event_id", "value", "bin"))
 query("n5_bin_labels", EVENTS)(lambda df: ops.bin_numeric(df, "value", 12, new_column="bin"))

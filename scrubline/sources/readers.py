@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scrubline.frames import ROW_ID, clean_nan, named
+from scrubline.frames import ROW_ID, clean_nan, count_where, named
 from scrubline.functions import numbers
 from scrubline.session import cut_lineage
 
@@ -108,8 +108,8 @@ def narrow_types(df: DataFrame, columns: list[str]) -> DataFrame:
         v = named(c)
         fits_long = v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull()
         parts += [
-            F.count(v), F.count_if(fits_long), F.count(numbers.parse_number(v)),
-            F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)),
+            F.count(v), count_where(fits_long), F.count(numbers.parse_number(v)),
+            count_where(v.isin(TRUE_TOKENS + FALSE_TOKENS)),
         ]
     row = df.agg(*parts).first()
     changed: dict[str, Column] = {}

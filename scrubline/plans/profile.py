@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scrubline.frames import (
     data_columns, is_numeric, is_time, named, numeric_columns, require_batch,
@@ -99,6 +99,13 @@ def categorical_distribution(df: DataFrame, column: str, n: int = TOP_VALUES) ->
     )
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over complete pairs, null without spread (the built-in one
+    divides by zero there and fails)."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Pearson correlation of all pairs of 64-bit numeric columns in long form.
 
@@ -115,7 +122,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     found: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[start : start + PAIRS_PER_SCAN]
-        row = df.agg(*[F.corr(x[a], x[b]) for a, b in chunk]).first()
+        row = df.agg(*[_correlation(x[a], x[b]) for a, b in chunk]).first()
         found.update(zip(chunk, row))
     spread = df.agg(*[F.nullif(F.max(x[c]) != F.min(x[c]), F.lit(False)) for c in columns]).first()
     rows = []
@@ -125,7 +132,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
                 r = 1.0 if spread[columns.index(index)] else None
             else:
                 r = found[(index, variable) if (index, variable) in found else (variable, index)]
-            rows.append((index, variable, None if r is None or r != r else r))
+            rows.append((index, variable, r))
     return df.sparkSession.createDataFrame(rows, "index string, variable string, value double")
 
 

@@ -149,7 +149,9 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
     ends = ends.select(
         "__range", *[F.last(named(n), ignorenulls=True).over(before).alias(n) for n in carried]
     )
-    joined = ranged.join(F.broadcast(ends), "__range", "left")
+    # as many partitions as ranges, whatever the session's shuffle width
+    spread = ranged.repartition(len(splits) + 1, "__range")
+    joined = spread.join(F.broadcast(ends), "__range", "left")
     filled = joined.withColumns({c: F.coalesce(within[c], named(n)) for n, c in carried.items()})
     return filled.select(*[named(c) for c in df.columns])
 

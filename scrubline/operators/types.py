@@ -17,7 +17,8 @@ BATCH_TARGETS = ("numeric", "string", "datetime")
 TRUE_TEXTS = ["true", "yes", "1", "1.0", "t", "y"]
 FALSE_TEXTS = ["false", "no", "0", "0.0", "f", "n"]
 
-# Category lists longer than this are not kept in column metadata.
+# Longer category lists are not kept in column metadata; ``category_frame``
+# gives them as a table of any length.
 MAX_CATEGORIES = 10_000
 
 
@@ -36,24 +37,29 @@ def _boolean(df: DataFrame, column: str) -> Column:
     return F.when(said.isin(TRUE_TEXTS), F.lit(True)).when(said.isin(FALSE_TEXTS), F.lit(False))
 
 
-def fit_categories(df: DataFrame, column: str) -> dict[str, list[str]]:
-    """The sorted distinct values, as text."""
+def category_frame(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column and how often each occurs, in order."""
     require_batch(df, "listing categories")
-    v = value(df, column)
-    rows = (
-        df.select(v.alias("v"))
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .orderBy("v")
-        .select(F.col("v").cast("string"))
-        .head(MAX_CATEGORIES + 1)
+    return (
+        df.select(value(df, column).alias("category"))
+        .where(F.col("category").isNotNull())
+        .groupBy("category")
+        .agg(F.count("*").alias("count"))
+        .orderBy("category")
     )
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"Column '{column}' has more than {MAX_CATEGORIES} categories")
-    return {"categories": [r[0] for r in rows]}
+
+
+def fit_categories(df: DataFrame, column: str) -> dict:
+    """What column metadata says of a category column: its sorted distinct
+    values as text, unless they are too many to carry along."""
+    listed = category_frame(df, column).select(F.col("category").cast("string"))
+    rows = listed.head(MAX_CATEGORIES + 1)
+    known = {} if len(rows) > MAX_CATEGORIES else {"categories": [r[0] for r in rows]}
+    return {"categorical": True, **known}
 
 
 def categories(df: DataFrame, column: str) -> list[str] | None:
+    """The categories of a converted column, None when not listed there."""
     return df.schema[column].metadata.get("categories")
 
 

@@ -63,11 +63,14 @@ def apply_steps(
     column_types: Mapping[str, str] | None = None,
     on_error: str = "stop",
     checkpoint_every: int | None = None,
+    checkpoint_shuffles: bool = False,
 ) -> tuple[DataFrame, list[dict], list[str]]:
     """Apply steps in turn; returns the table, the steps applied and the errors.
 
-    ``on_error`` either stops at the first failing step or skips it. A very long
-    chain can be cut every few steps by writing it to the shared folder.
+    ``on_error`` either stops at the first failing step or skips it. A step that
+    needs statistics computes them from the source through all earlier steps; to
+    not repeat costly ones, the table can be written to the shared folder every
+    few steps, or after each step that shuffles whole rows.
     """
     if on_error not in ("stop", "skip"):
         raise ValueError(f"unknown on_error {on_error!r}")
@@ -82,11 +85,17 @@ def apply_steps(
                 break
             continue
         applied.append(dict(step))
-        if checkpoint_every and len(applied) % checkpoint_every == 0:
+        due = checkpoint_every and len(applied) % checkpoint_every == 0
+        if due or (checkpoint_shuffles and _shuffles(step)):
             df = cut_lineage(df)
     return df, applied, errors
 
 
+def _shuffles(step: Mapping) -> bool:
+    along = step["arguments"].get("method") in ("ffill", "bfill")
+    return step["tool_name"] == "deduplicate_rows" or along
+
+
 def fit_steps(
     df: DataFrame, steps: Sequence[Mapping], column_types: Mapping[str, str] | None = None
 ) -> list[dict]:
@@ -131,6 +140,9 @@ def preview_step(
     )
     try:
         keys = [key] if isinstance(key, str) else list(key)
+        if step.get("stats") is None:
+            # look at the table once, not again for every part of the outcome
+            step = fit_steps(df, [step], column_types)[0]
         pairs = _carried(df, step, column_types, keys)
         after = execute_tool(df, step, column_types)
         if pairs is None:

@@ -322,13 +322,13 @@ for _unit, _sql in {
 _MICROS = "(epoch_us(TIMESTAMP '1998-08-02 12:30:00') - epoch_us(ts))"
 _DAYS = f"CAST(floor({_MICROS} / 86400000000.0) AS BIGINT)"
 for _unit, _sql in {
-    "days": _DAYS, "weeks": f"ROUND({_DAYS} / 7.0, 9)", "hours": f"ROUND({_MICROS} / 1e6 / 3600.0, 6)",
-    "years": f"ROUND({_DAYS} / 365.25, 9)",
+    "days": _DAYS, "weeks": f"{_DAYS} / CAST(7 AS DOUBLE)",
+    "hours": f"{_MICROS} / CAST(1000000 AS DOUBLE) / CAST(3600 AS DOUBLE)",
+    "years": f"{_DAYS} / CAST(365.25 AS DOUBLE)",
 }.items():
     query(f"dt_diff_{_unit}", EVENTS, f"SELECT event_id, ts, {_sql} AS gap FROM {{t}}")(
-        lambda df, u=_unit: (
-            lambda r: r if u == "days" else rounded(r, "gap", digits=6 if u == "hours" else 9)
-        )(ops.date_difference(df, "ts", "1998-08-02 12:30:00", u, "gap").select("event_id", "ts", "gap")))
+        lambda df, u=_unit: ops.date_difference(
+            df, "ts", "1998-08-02 12:30:00", u, "gap").select("event_id", "ts", "gap"))
 
 # ---- types ----
 

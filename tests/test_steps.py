@@ -144,6 +144,9 @@ def test_long_chains_can_be_cut(data, values):
     steps = [step("add_prefix_suffix", column="s", prefix="p")] * 6
     df, _, errors = recipe.apply_steps(data, steps, TYPES, checkpoint_every=2)
     assert not errors and values(df, "s")[1] == "ppppppx"
+    shuffling = [step("deduplicate_rows", subset=["s"]), step("fill_nulls", column="a", method="ffill")]
+    df, _, errors = recipe.apply_steps(data, shuffling, TYPES, checkpoint_shuffles=True)
+    assert not errors and values(df, "a") == [1.0, 1.0, -3.0]
 
 
 def test_log_undo_and_replay(spark, data, values):

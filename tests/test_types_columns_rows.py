@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 from scrubline import operators as ops
-from scrubline.operators import rows
+from scrubline.operators import rows, types
 
 NUMBERS = ["123", " 4.5 ", "abc", "1e3", "1d", "1f", "nan", "inf", "-Infinity", "1_000", "1,000", "0x10",
            "True", "$5", "", ".5", "5.", "+7", None]
@@ -32,6 +32,13 @@ def test_categories_are_kept(table):
     df = table("s string", ["b", "a", None, "b"])
     assert ops.categories(df, "s") is None
     assert ops.categories(ops.convert_column_type(df, "s", "categorical"), "s") == ["a", "b"]
+    assert [tuple(r) for r in types.category_frame(df, "s").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_long_category_lists_stay_out_of_metadata(table, monkeypatch):
+    monkeypatch.setattr(types, "MAX_CATEGORIES", 2)
+    out = ops.convert_column_type(table("n bigint", [1, 2, 3]), "n", "categorical")
+    assert out.schema["n"].metadata == {"categorical": True} and out.count() == 3
 
 
 def test_batch_conversion(table, values):

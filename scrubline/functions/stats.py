@@ -327,7 +327,6 @@ def bucket_of(df: DataFrame, key: str, splits: Sequence[float], name: str) -> Da
     from pyspark.ml.feature import Bucketizer
 
     if not splits:
-        return df.withColumn(name, F.lit(0.0))
-    return Bucketizer(
-        splits=[-math.inf, *splits, math.inf], inputCol=key, outputCol=name
-    ).transform(df)
+        return df.withColumn(name, F.lit(0))
+    cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=key, outputCol=name)
+    return cut.transform(df).withColumn(name, F.col(name).cast("int"))

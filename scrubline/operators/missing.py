@@ -115,7 +115,9 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
 
     One window over everything would be one task. The order key is cut into
     ranges instead; each range is filled on its own, and the last value known
-    before a range comes from a table of one row per range, small by its size.
+    before a range comes from a table of one row per range. That table is
+    broadcast where its values have a fixed width; text is joined by range, on
+    which the rows are partitioned already.
     """
     require_batch(df, "filling along row order")
     order = order_columns(df, order_by)
@@ -151,11 +153,20 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
     )
     # as many partitions as ranges, whatever the session's shuffle width
     spread = ranged.repartition(len(splits) + 1, "__range")
-    joined = spread.join(F.broadcast(ends), "__range", "left")
+    if all(_fixed_width(df, c) for c in columns):
+        ends = F.broadcast(ends)
+    joined = spread.join(ends, "__range", "left")
     filled = joined.withColumns({c: F.coalesce(within[c], named(n)) for n, c in carried.items()})
     return filled.select(*[named(c) for c in df.columns])
 
 
+def _fixed_width(df: DataFrame, column: str) -> bool:
+    """A few bytes per value, so that a row per range stays small for certain."""
+    return is_numeric(df, column) or isinstance(
+        type_of(df, column), (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    )
+
+
 def _order_key(df: DataFrame, column: str) -> Column:
     dtype = type_of(df, column)
     if is_numeric(df, column):

@@ -106,6 +106,13 @@ def test_ranges_join_seamlessly(table, values, monkeypatch, method, gap):
         assert values(filled, name) == want
 
 
+def test_ranges_of_text(table, values, monkeypatch):
+    monkeypatch.setattr(missing, "ROWS_PER_RANGE", 20)
+    df = table("s string", [f"t{i}" if i % 37 == 5 else None for i in range(300)])
+    want = [None] * 5 + [f"t{i // 37 * 37 + 5 if i % 37 >= 5 else i // 37 * 37 - 32}" for i in range(5, 300)]
+    assert values(fill_nulls(df, "s", "ffill"), "s") == want
+
+
 def test_fill_along_a_time_column(table, monkeypatch):
     monkeypatch.setattr(missing, "ROWS_PER_RANGE", 10)
     df = table("x double", [float(i) if i % 3 == 0 else None for i in range(100)]).selectExpr(

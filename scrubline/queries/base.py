@@ -114,3 +114,6 @@ MESSY = view(
     "CASE WHEN o_orderkey % 10 = 0 THEN 'n/k' ELSE CAST(o_custkey % 50 AS STRING) END AS amount",
     "CAST(1 AS BIGINT) AS constant",
 )
+
+# The same with row order.
+MESSY_ORDERED = view("orders", *MESSY.expressions, "o_orderkey AS _row_id")

@@ -14,7 +14,7 @@ from scrubline import operators as ops
 from scrubline.operators import checks, diff
 from scrubline.plans import profile, recipe, report, suggest
 from scrubline.queries.base import (
-    CUSTOMERS, DATED, EVENTS, LINES, MESSY, ORDERS, TEXTS, TYPED, query, view,
+    CUSTOMERS, DATED, EVENTS, LINES, MESSY, MESSY_ORDERED, ORDERS, TEXTS, TYPED, query, view,
 )
 from scrubline.queries.cleaning import rounded
 
@@ -478,10 +478,7 @@ def _replayed(df):
     return space["clean_dataset"](df)
 
 
-_LOGGED = {"price": "Clip", "status": "Trim"}
-
-
-@query("g5_g6_audit_log", MESSY, _SUGGESTIONS + "SELECT CAST(row_number() OVER (ORDER BY impact_score DESC) AS INTEGER) "
+@query("g5_g6_audit_log", MESSY_ORDERED, _SUGGESTIONS.replace("{t}", MESSY.sql) + "SELECT CAST(row_number() OVER (ORDER BY impact_score DESC) AS INTEGER) "
        "AS seq, tool_name, arguments, CASE tool_name WHEN 'convert_to_datetime' "
        "THEN 'Convert ''placed'' to datetime (format: auto).' "
        "ELSE 'Convert ''amount'' to numeric type.' END AS description FROM q WHERE category = 'type'")
@@ -489,8 +486,7 @@ def _audit_log(df):
     found = suggest.suggestions_by_category(
         suggest.generate_suggestions(_quality(df).report), "type")
     steps = [{"tool_name": s["tool_name"], "arguments": s["arguments"]} for s in found]
-    keyed = df.withColumn("_row_id", F.lit(0))
-    log = recipe.CleaningLog(keyed, checks.infer_all_column_types(df)).apply(*steps, on_error="skip")
+    log = recipe.CleaningLog(df, checks.infer_all_column_types(df)).apply(*steps, on_error="skip")
     return log.frame(df.sparkSession)
 
 

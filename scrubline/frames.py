@@ -68,6 +68,10 @@ def clean_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: value(df, c) for c in fractional}) if fractional else df
 
 
+def chunked(items: Sequence, size: int) -> list[Sequence]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
     for column in columns:
         if column not in df.columns:

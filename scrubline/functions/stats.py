@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scrubline.frames import count_where, require_batch, value
+from scrubline.frames import chunked, count_where, require_batch, value
 
 # Up to this many rows go to Spark's exact percentile, and up to this many
 # between two known values are sorted; either lot fits one task with ease.
@@ -26,6 +26,10 @@ SKETCH_MARGIN = 0.001
 SKETCH_FAN = 256
 
 
+# Columns per aggregate: wide tables take several, each reading its own columns.
+COLUMNS_PER_SCAN = 48
+
+
 @dataclass(frozen=True)
 class Moments:
     count: int
@@ -42,8 +46,13 @@ def number(df: DataFrame, column: str) -> Column:
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
     """Count, mean, sample deviation and range of all columns in one job."""
     require_batch(df, "a column statistic")
-    if not columns:
-        return {}
+    found: dict[str, Moments] = {}
+    for chunk in chunked(list(columns), COLUMNS_PER_SCAN):
+        found |= _moments(df, chunk)
+    return found
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
     parts = []
     for i, c in enumerate(columns):
         x = number(df, c)
@@ -145,11 +154,17 @@ def exact_quantiles(
     sketch only steers: a poor proposal costs a scan, never the result.
     """
     require_batch(df, "a quantile")
-    columns = [c for c in probabilities if probabilities[c]]
-    if not columns:
-        return {}
+    found: dict[str, dict[float, float | None]] = {}
+    for chunk in chunked([c for c in probabilities if probabilities[c]], COLUMNS_PER_SCAN):
+        wanted = {c: probabilities[c] for c in chunk}
+        found |= _exact_quantiles(df, wanted, percentile_rows, sorted_rows)
+    return found
+
+
+def _exact_quantiles(df, probabilities, percentile_rows, sorted_rows):
+    columns = list(probabilities)
     found = {c: {p: None for p in probabilities[c]} for c in columns}
-    counts, marks = _first_look(df, {c: probabilities[c] for c in columns}, percentile_rows)
+    counts, marks = _first_look(df, probabilities, percentile_rows)
     small = [c for c in columns if 0 < counts[c] <= percentile_rows]
     large = [c for c in columns if counts[c] > percentile_rows]
     if small:

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scrubline.frames import (
-    count_where, data_columns, is_numeric, is_text, is_time, named, numeric_columns, require_batch, text_columns,
+    chunked, count_where, data_columns, is_numeric, is_text, is_time, named, numeric_columns, require_batch, text_columns,
     type_of, value,
 )
 from scrubline.functions import dates, numbers, stats, text
@@ -73,8 +73,7 @@ def scan_columns(
     require_batch(df, "a quality check")
     columns = data_columns(df) if columns is None else list(columns)
     found: dict[str, dict] = {}
-    for start in range(0, len(columns), COLUMNS_PER_SCAN):
-        chunk = columns[start : start + COLUMNS_PER_SCAN]
+    for chunk in chunked(columns, COLUMNS_PER_SCAN):
         wanted = []
         for c in chunk:
             counts = {"rows": F.count("*"), "present": F.count(value(df, c))}
@@ -295,11 +294,11 @@ def outlier_checks(df: DataFrame, present: Mapping[str, int] | None = None) -> d
         return {}
     fences = outlier_fences(df, columns)
     x = {c: value(df, c).cast("double") for c in columns}
-    row = df.agg(
-        *[count_where((x[c] < fences[c]["lower"]) | (x[c] > fences[c]["upper"])) for c in columns]
-    ).first()
-    return {
-        c: {"outlier_count": n, "outlier_pct": _share(n, present[c])}
-        for c, n in zip(columns, row)
-        if n
-    }
+    beyond = {c: (x[c] < fences[c]["lower"]) | (x[c] > fences[c]["upper"]) for c in columns}
+    found = {}
+    for chunk in chunked(columns, COLUMNS_PER_SCAN):
+        row = df.agg(*[count_where(beyond[c]) for c in chunk]).first()
+        for c, n in zip(chunk, row):
+            if n:
+                found[c] = {"outlier_count": n, "outlier_pct": _share(n, present[c])}
+    return found

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from scrubline.functions import stats
 from scrubline.operators import checks
 from scrubline.plans import report
 
@@ -137,10 +138,14 @@ def test_outliers(table):
 
 def test_many_columns_take_several_scans(table, monkeypatch):
     monkeypatch.setattr(checks, "COLUMNS_PER_SCAN", 3)
+    monkeypatch.setattr(stats, "COLUMNS_PER_SCAN", 2)
     names = [f"c{i}" for i in range(8)]
     df = table(", ".join(f"{n} string" for n in names), [tuple(" 1" for _ in names)] * 5)
     assert set(checks.string_quality_checks(df)) == set(names)
     assert set(checks.infer_all_column_types(df).values()) == {"numeric"}
+    spikes = table(", ".join(f"{n} bigint" for n in names), [(i if i < 19 else 999,) * 8 for i in range(20)])
+    assert list(checks.outlier_checks(spikes)) == names
+    assert [m.high for m in stats.moments(spikes, names).values()] == [999] * 8
 
 
 # ---- report ----

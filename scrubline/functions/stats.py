@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,9 +23,14 @@ SORTED_ROWS = 200_000
 
 # Mergeable quantile sketch: about 0.05 % rank error in 80 KB.
 SKETCH_K = 8000
-SKETCH_MARGIN = 0.001
 SKETCH_FAN = 256
 
+# A sketch only has to propose values near a rank, for which this many random
+# rows do; how far around the rank to look follows from their number.
+SKETCHED_ROWS = 250_000
+SKETCHED_ROWS_OF_HUGE = 1_000_000
+HUGE_ROWS = 25_000_000
+
 
 # Columns per aggregate: wide tables take several, each reading its own columns.
 COLUMNS_PER_SCAN = 48
@@ -103,6 +109,10 @@ class _Bracket:
     def ends(self) -> tuple:
         return self.column, self.low.value, self.high.value
 
+    @property
+    def whole(self) -> bool:
+        return self.low.value is None and self.high.value is None
+
     @property
     def inside_from(self) -> int:
         return self.low.below + self.low.equal
@@ -141,75 +151,89 @@ class _Bracket:
 def exact_quantiles(
     df: DataFrame,
     probabilities: Mapping[str, Sequence[float]],
+    counts: Mapping[str, int] | None = None,
     percentile_rows: int = PERCENTILE_ROWS,
     sorted_rows: int = SORTED_ROWS,
 ) -> dict[str, dict[float, float | None]]:
     """Exact, linearly interpolated quantiles of many columns.
 
     Columns of at most ``percentile_rows`` values go to Spark's ``percentile``, whose
-    value map is then bounded. Longer ones are narrowed instead: a mergeable
-    sketch proposes values around each wanted rank, a counting scan proves how
-    many rows lie below and at them, and only once the rows in between are
-    proven few are those sorted. Memory never grows with the table, and the
-    sketch only steers: a poor proposal costs a scan, never the result.
+    value map is then bounded. Longer ones are narrowed instead: a sketch proposes
+    values around each wanted rank, a counting scan proves how many rows lie below
+    and at them, and only once the rows in between are proven few are those sorted.
+    Memory never grows with the table, and the sketch only steers: a poor proposal
+    costs a scan, never the result. ``counts`` are the values present per column,
+    where already known.
     """
     require_batch(df, "a quantile")
     found: dict[str, dict[float, float | None]] = {}
     for chunk in chunked([c for c in probabilities if probabilities[c]], COLUMNS_PER_SCAN):
-        wanted = {c: probabilities[c] for c in chunk}
-        found |= _exact_quantiles(df, wanted, percentile_rows, sorted_rows)
+        present = counts or dict(zip(chunk, df.agg(*[F.count(number(df, c)) for c in chunk]).first()))
+        small = {c: probabilities[c] for c in chunk if present[c] <= percentile_rows}
+        large = {c: probabilities[c] for c in chunk if present[c] > percentile_rows}
+        found |= _percentiles(df, small)
+        found |= _searched(df, large, present, sorted_rows)
     return found
 
 
-def _exact_quantiles(df, probabilities, percentile_rows, sorted_rows):
-    columns = list(probabilities)
-    found = {c: {p: None for p in probabilities[c]} for c in columns}
-    counts, marks = _first_look(df, probabilities, percentile_rows)
-    small = [c for c in columns if 0 < counts[c] <= percentile_rows]
-    large = [c for c in columns if counts[c] > percentile_rows]
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(number(df, c), F.array(*[F.lit(float(p)) for p in probabilities[c]]))
-                for c in small
-            ]
-        ).first()
-        for c, values in zip(small, row):
-            found[c] = dict(zip(probabilities[c], values))
+def _percentiles(df, probabilities) -> dict[str, dict[float, float | None]]:
+    if not probabilities:
+        return {}
+    row = df.agg(
+        *[
+            F.percentile(number(df, c), F.array(*[F.lit(float(p)) for p in wanted]))
+            for c, wanted in probabilities.items()
+        ]
+    ).first()
+    return {
+        c: dict(zip(wanted, values or [None] * len(wanted)))
+        for (c, wanted), values in zip(probabilities.items(), row)
+    }
+
+
+def _searched(df, probabilities, counts, sorted_rows) -> dict[str, dict[float, float]]:
     brackets = []
-    for c in large:
+    for c, wanted in probabilities.items():
         ends = _Mark(None, 0), _Mark(None, counts[c])
-        at = [p * (counts[c] - 1) for p in probabilities[c]]
+        at = [p * (counts[c] - 1) for p in wanted]
         for rank in sorted({f(a) for a in at for f in (math.floor, math.ceil)}):
             brackets.append(_Bracket(c, rank, *ends))
-    picked = _order_statistics(df, brackets, marks, sorted_rows)
-    for c in large:
-        for p in probabilities[c]:
+    picked = _order_statistics(df, brackets, sorted_rows)
+    found: dict[str, dict[float, float]] = {c: {} for c in probabilities}
+    for c, wanted in probabilities.items():
+        for p in wanted:
             at = p * (counts[c] - 1)
             low, high = picked[c, math.floor(at)], picked[c, math.ceil(at)]
             found[c][p] = low if low == high else low + (high - low) * (at - math.floor(at))
     return found
 
 
-def _around(targets) -> list[float]:
-    return sorted({min(max(t + d, 0.0), 1.0) for t in targets for d in (-SKETCH_MARGIN, SKETCH_MARGIN)})
-
-
-def _sketch(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]]):
-    """Row counts of some columns and values near the given fractions of each."""
+def _propose(df: DataFrame, groups: Sequence[Sequence[_Bracket]], seed: int) -> list[list[float]]:
+    """Values near the wanted ranks of brackets that share their ends."""
+    fewest = min(g[0].inside for g in groups)
+    enough = SKETCHED_ROWS if fewest <= HUGE_ROWS else SKETCHED_ROWS_OF_HUGE
+    share = min(1.0, enough / fewest)
+    rows = df if all(g[0].whole for g in groups) else _only_inside(df, [g[0] for g in groups])
+    if share < 1:
+        rows = rows.sample(fraction=share, seed=seed)
     # tasks share a few merge groups so that no single task merges every sketch
-    merged = df.groupBy((F.spark_partition_id() % SKETCH_FAN).alias("g")).agg(
-        *[F.count(x).alias(f"n{i}") for i, (x, _) in enumerate(wanted)],
-        *[F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias(f"k{i}") for i, (x, _) in enumerate(wanted)],
+    sketched = rows.groupBy((F.spark_partition_id() % SKETCH_FAN).alias("g")).agg(
+        *[
+            F.kll_sketch_agg_double(g[0].rows_inside(df), F.lit(SKETCH_K)).alias(f"k{i}")
+            for i, g in enumerate(groups)
+        ]
     )
     parts = []
-    for i, (_, fractions) in enumerate(wanted):
+    for i, g in enumerate(groups):
+        margin = max(0.001, 2 / math.sqrt(share * g[0].inside))
+        around = {
+            min(max((b.rank - b.inside_from) / b.inside + d, 0.0), 1.0) for b in g for d in (-margin, margin)
+        }
         sketch = F.kll_merge_agg_double(F.col(f"k{i}"), F.lit(SKETCH_K))
-        at = F.array(*[F.lit(p) for p in fractions])
-        n = F.sum(f"n{i}")
-        parts += [n, F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, at))]
-    row = merged.agg(*parts).first()
-    return [(row[2 * i] or 0, row[2 * i + 1] or []) for i in range(len(wanted))]
+        at = F.array(*[F.lit(p) for p in sorted(around)])
+        any_rows = F.kll_sketch_get_n_double(sketch) > 0
+        parts.append(F.when(any_rows, F.kll_sketch_get_quantile_double(sketch, at)))
+    return [values or [] for values in sketched.agg(*parts).first()]
 
 
 def _count_marks(df: DataFrame, places: Mapping[str, Sequence[float]]) -> dict[str, list[_Mark]]:
@@ -224,20 +248,9 @@ def _count_marks(df: DataFrame, places: Mapping[str, Sequence[float]]) -> dict[s
     return marks
 
 
-def _first_look(df, probabilities, percentile_rows):
-    """Counts of all columns and, for the long ones, marks around each quantile."""
-    columns = list(probabilities)
-    looked = _sketch(df, [(number(df, c), _around(probabilities[c])) for c in columns])
-    counts = {c: n for c, (n, _) in zip(columns, looked)}
-    return counts, _count_marks(
-        df, {c: values for c, (n, values) in zip(columns, looked) if n > percentile_rows}
-    )
-
-
-def _order_statistics(df, brackets, marks, sorted_rows) -> dict[tuple[str, int], float]:
+def _order_statistics(df, brackets, sorted_rows) -> dict[tuple[str, int], float]:
     answers = {}
-    brackets = [b.tightened(marks[b.column]) for b in brackets]
-    while True:
+    for seed in count():
         answers.update({(b.column, b.rank): b.settled() for b in brackets if b.settled() is not None})
         brackets = [b for b in brackets if b.settled() is None]
         shared: dict[tuple, list[_Bracket]] = {}
@@ -247,15 +260,8 @@ def _order_statistics(df, brackets, marks, sorted_rows) -> dict[tuple[str, int],
         if not shared:
             return {**answers, **_sort_inside(df, brackets)}
         groups = list(shared.values())
-        proposed = _sketch(
-            _only_inside(df, [g[0] for g in groups]),
-            [
-                (g[0].rows_inside(df), _around([(b.rank - b.inside_from) / b.inside for b in g]))
-                for g in groups
-            ],
-        )
         places: dict[str, list[float]] = {}
-        for g, (_, values) in zip(groups, proposed):
+        for g, values in zip(groups, _propose(df, groups, seed)):
             places.setdefault(g[0].column, []).extend(values)
         marks = _count_marks(df, places)
         brackets = [b.tightened(marks.get(b.column, [])) for b in brackets]

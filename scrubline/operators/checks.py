@@ -279,8 +279,10 @@ def numeric_validity_checks(df: DataFrame) -> dict[str, dict]:
     return validity_from(scan_columns(df, (CONTENT,), numeric_columns(df)))
 
 
-def outlier_fences(df: DataFrame, columns: Iterable[str]) -> dict[str, dict]:
-    quartiles = stats.exact_quantiles(df, {c: [0.25, 0.75] for c in columns})
+def outlier_fences(
+    df: DataFrame, columns: Iterable[str], present: Mapping[str, int] | None = None
+) -> dict[str, dict]:
+    quartiles = stats.exact_quantiles(df, {c: [0.25, 0.75] for c in columns}, present)
     return {c: iqr_fences(q[0.25], q[0.75]) for c, q in quartiles.items()}
 
 
@@ -292,7 +294,7 @@ def outlier_checks(df: DataFrame, present: Mapping[str, int] | None = None) -> d
     columns = [c for c in columns if present[c] >= MIN_VALUES_FOR_OUTLIERS]
     if not columns:
         return {}
-    fences = outlier_fences(df, columns)
+    fences = outlier_fences(df, columns, present)
     x = {c: value(df, c).cast("double") for c in columns}
     beyond = {c: (x[c] < fences[c]["lower"]) | (x[c] > fences[c]["upper"]) for c in columns}
     found = {}

@@ -46,12 +46,13 @@ def apply_math(df: DataFrame, column: str, operation: str) -> DataFrame:
     require_numeric(df, column)
     _check(operation, MATH, "math operation")
     x = value(df, column)
+    wide = x.cast("bigint") if is_integral(df, column) else x
     result = {
         "abs": lambda: F.abs(x),
         "sqrt": lambda: F.when(x >= 0, F.sqrt(x)),
         # Spark's ln gives null at zero; the limit is wanted there
         "log": lambda: F.when(x == 0, F.lit(-math.inf)).when(x > 0, F.log(x)),
-        "square": lambda: x * x,
+        "square": lambda: wide * wide,
     }[operation]()
     return df.withColumn(column, result)
 

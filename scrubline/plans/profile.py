@@ -29,7 +29,7 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
     spark = df.sparkSession
     if is_numeric(df, column):
         m = stats.moments(df, [column])[column]
-        q = stats.exact_quantiles(df, {column: QUARTILES})[column]
+        q = stats.exact_quantiles(df, {column: QUARTILES}, {column: m.count})[column]
         rows = [("count", float(m.count)), ("mean", m.mean), ("std", m.std), ("min", m.low)]
         rows += [(f"{int(p * 100)}%", q[p]) for p in QUARTILES] + [("max", m.high)]
         return spark.createDataFrame(rows, "statistic string, value double")
@@ -52,7 +52,7 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
 def _describe_times(df: DataFrame, column: str) -> DataFrame:
     micros = df.select(dates.epoch_micros(named(column)).alias("micros"))
     m = stats.moments(micros, ["micros"])["micros"]
-    q = stats.exact_quantiles(micros, {"micros": QUARTILES})["micros"]
+    q = stats.exact_quantiles(micros, {"micros": QUARTILES}, {"micros": m.count})["micros"]
     rows = [("mean", m.mean), ("min", m.low)]
     rows += [(f"{int(p * 100)}%", q[p]) for p in QUARTILES] + [("max", m.high)]
     moments = df.sparkSession.createDataFrame(
@@ -140,7 +140,7 @@ def box_plot_statistics(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles, and whiskers at the extremes."""
     require_numeric(df, column)
     m = stats.moments(df, [column])[column]
-    q = stats.exact_quantiles(df, {column: QUARTILES})[column]
+    q = stats.exact_quantiles(df, {column: QUARTILES}, {column: m.count})[column]
     return df.sparkSession.createDataFrame(
         [(m.low, q[0.25], q[0.5], q[0.75], m.high)],
         "min double, q1 double, median double, q3 double, max double",
@@ -163,7 +163,7 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     for c in columns:
         require_numeric(df, c)
     m = stats.moments(df, columns)
-    q = stats.exact_quantiles(df, {c: QUARTILES for c in columns})
+    q = stats.exact_quantiles(df, {c: QUARTILES for c in columns}, {c: m[c].count for c in columns})
     modes = {c: stats.top_value(df, c)[0] for c in columns}
     rows = [
         (c, m[c].mean, q[c][0.5], float(modes[c]) if modes[c] is not None else None, m[c].std,

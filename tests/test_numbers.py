@@ -62,6 +62,7 @@ def test_math(table, values):
     assert values(ops.apply_math(df, "x", "log"), "x") == [math.log(4), -math.inf, None, None]
     assert values(ops.apply_math(df, "x", "abs"), "x") == [4, 0, 1, None]
     assert values(ops.apply_math(df, "x", "square"), "x") == [16, 0, 1, None]
+    assert values(ops.apply_math(table("n int", [100_000]), "n", "square"), "n") == [10**10]
 
 
 def _cut_cases():

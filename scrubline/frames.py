@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 ROW_ID = "_row_id"
 
 _FRACTIONAL = (T.FloatType, T.DoubleType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -42,6 +43,10 @@ def is_time(df: DataFrame, column: str) -> bool:
     return isinstance(type_of(df, column), _TIMES)
 
 
+def is_nested(df: DataFrame, column: str) -> bool:
+    return isinstance(type_of(df, column), _NESTED)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in data_columns(df) if is_numeric(df, c)]
 

@@ -17,7 +17,6 @@ from scrubline.frames import (
 )
 from scrubline.functions import dates, numbers, stats, text
 from scrubline.operators.numbers import iqr_fences
-from scrubline.operators.rows import _keys
 
 # Thresholds of the checks.
 MIN_VALUES_FOR_TYPE = 5
@@ -113,10 +112,12 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
     Grouping by whole rows would shuffle the whole table. Rows are grouped by a
     128-bit fingerprint first: fingerprints that occur once are distinct rows for
     certain. Only rows sharing one are compared in full, picked out by a
-    broadcast while their fingerprints are few, else by grouping whole rows.
+    broadcast while they are the smaller part and their fingerprints few. Else
+    whole rows are grouped: many copies shrink on the map side.
     """
     require_batch(df, "counting duplicates")
-    keyed = df.select(*_fingerprint(df, columns), *_keys(df, columns))
+    keyed = _comparable(df, columns)
+    keyed = keyed.select(*_fingerprint(keyed, columns), *[named(c) for c in columns])
     groups = keyed.groupBy("__h1", "__h2").agg(
         F.count("*").alias("n"),
         count_where(_all_missing(columns)).alias("empty"),
@@ -128,7 +129,8 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
     empty = summary[3] or 0
     if not shared:
         return total, shapes, empty
-    if shared <= BROADCAST_GROUPS:
+    repeated = total - shapes + shared
+    if shared <= BROADCAST_GROUPS and repeated <= total / 2:
         suspects = groups.where("n > 1").select("__h1", "__h2")
         rows = keyed.join(F.broadcast(suspects), ["__h1", "__h2"], "left_semi")
         distinct = rows.groupBy(*[named(c) for c in columns]).agg(F.lit(1)).count()
@@ -137,6 +139,17 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
     return total, distinct, empty
 
 
+def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN and missing as one; maps, which do not hash, as sorted entries."""
+
+    def key(c: str) -> Column:
+        if isinstance(type_of(df, c), T.MapType):
+            return F.sort_array(F.map_entries(named(c)))
+        return value(df, c)
+
+    return df.select(*[key(c).alias(c) for c in columns])
+
+
 def _all_missing(columns: list[str]) -> Column:
     missing = F.lit(True)
     for c in columns:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from scrubline.frames import data_columns, text_columns
+from scrubline.frames import data_columns, is_nested, is_numeric, text_columns
 from scrubline.operators import columns, dates, diff, missing, numbers, rows, strings, types
 
 
@@ -200,9 +200,7 @@ def _fit_fill(df: DataFrame, a: dict) -> dict | None:
 
 
 def _fit_fill_batch(df: DataFrame, a: dict) -> dict | None:
-    from scrubline.frames import is_numeric
-
-    wanted = [c for c in a["columns"] if c in df.columns]
+    wanted = [c for c in a["columns"] if c in df.columns and not is_nested(df, c)]
     if a["method"] in ("mean", "median"):
         wanted = [c for c in wanted if is_numeric(df, c)]
     elif a["method"] != "mode":

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from scrubline import operators as ops
 from scrubline.functions import stats
 from scrubline.operators import checks
 from scrubline.plans import report
@@ -238,3 +239,23 @@ def test_tables_over_a_report(spark, table):
     assert [r["column"] for r in summary.collect()] == [r["column"] for r in quality.summary]
     assert report.high_missing_columns(summary, 10).count() == 2
     assert report.worst_columns(summary, 1).first()["column"] == quality.summary[0]["column"]
+
+
+@pytest.mark.parametrize("name", ["region", "customer", "events", "documents", "embeddings", "pages", "labels",
+                                  "conversations", "lineitem"])
+def test_any_table_can_be_checked(spark, name):
+    df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    quality = report.run_quality_checks(df)
+    assert quality.report["dataset_level"]["row_count"] == df.count()
+    assert [r["column"] for r in quality.summary_frame(spark).collect()] and quality.text
+
+
+def test_nested_columns_pass_through(spark):
+    df = spark.range(8).selectExpr(
+        "id % 2 as k", "if(id % 4 < 2, array(id % 2), null) as l", "map('a', id % 2) as m", "struct(id % 2 as x) as s")
+    found = report.build_report(df)
+    assert found["dataset_level"] == {"row_count": 8, "column_count": 4, "duplicate_rows": 4, "fully_empty_rows": 0}
+    assert found["completeness"]["l"]["missing_count"] == 4
+    assert ops.fill_nulls_batch(df, ["l", "k"], "mode").where("l is null").count() == 4
+    with pytest.raises(ValueError, match="nested"):
+        ops.fill_nulls(df, "l", "mode")

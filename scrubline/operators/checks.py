@@ -35,6 +35,7 @@ BROADCAST_GROUPS = 500_000
 
 TYPES = "types"
 CONTENT = "content"
+LEADING = "leading"
 
 
 def _type_counts(df: DataFrame, column: str) -> dict[str, Column]:
@@ -54,7 +55,6 @@ def _content_counts(df: DataFrame, column: str) -> dict[str, Column]:
         c = named(column)
         return {
             "spaces": count_where(text.has_edge_space(c)),
-            "leading": count_where(text.starts_spaced(c)),
             "lower": count_where(text.is_lower(c)),
             "upper": count_where(text.is_upper(c)),
             "blank": count_where(text.is_blank(c)),
@@ -80,6 +80,8 @@ def scan_columns(
                 counts |= _type_counts(df, c)
             if CONTENT in wants:
                 counts |= _content_counts(df, c)
+            if LEADING in wants and is_text(df, c):
+                counts["leading"] = count_where(text.starts_spaced(named(c)))
             wanted.append(counts)
         aggregates = [
             a.alias(f"{i}_{name}") for i, counts in enumerate(wanted) for name, a in counts.items()
@@ -159,11 +161,11 @@ def _all_missing(columns: list[str]) -> Column:
 
 def _fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
     """Two hashes of a row; null flags enter too, since hashing skips nulls."""
-    values = [value(df, c) for c in columns]
-    flags = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    values = [named(c) for c in columns]
+    missing = [v.isNull() for v in values]
     return [
-        F.xxhash64(flags, *values).alias("__h1"),
-        F.xxhash64(F.lit(1), *reversed(values), flags).alias("__h2"),
+        F.xxhash64(*values, *missing).alias("__h1"),
+        F.xxhash64(F.lit(1), *reversed(values), *missing).alias("__h2"),
     ]
 
 
@@ -270,7 +272,8 @@ def strings_from(scan: Mapping[str, dict], sides: str = "both") -> dict[str, dic
 
 
 def string_quality_checks(df: DataFrame, sides: str = "both") -> dict[str, dict]:
-    return strings_from(scan_columns(df, (CONTENT,), text_columns(df)), sides)
+    wants = (CONTENT, LEADING) if sides == "leading" else (CONTENT,)
+    return strings_from(scan_columns(df, wants, text_columns(df)), sides)
 
 
 def validity_from(scan: Mapping[str, dict]) -> dict[str, dict]:

@@ -45,9 +45,14 @@ def compare(spark, db, folder, query, sql):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     if found := [word for word in FORBIDDEN if word in plan]:
         return f"plan contains {found}"
-    got = frame.collect()
     if sql is None:
-        return None if got or frame.columns else "no rows"
+        return None if frame.collect() or frame.columns else "no rows"
+    return differences(frame, db, sql)
+
+
+def differences(frame, db, sql):
+    """None when the frame has the rows of the SQL, else what differs."""
+    got = frame.collect()
     answer = db.execute(sql)
     names = [d[0] for d in answer.description]
     want = answer.fetchall()

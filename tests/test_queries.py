@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from scrubline.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
@@ -16,10 +17,14 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    sql = entry.oracle_sql().get(name)
-    assert compare(spark, duck, FOLDER, entry.queries()[name], sql) is None
+    assert compare(spark, duck, FOLDER, QUERIES[name], ORACLES.get(name)) is None
+
+
+def test_entry_has_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert {k: entry.oracle_sql()[k] for k in ORACLES} == ORACLES
 
 
 def test_oracles_belong_to_queries():

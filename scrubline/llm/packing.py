@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import record, slices, written
 
 #: Pieces that are ranked in one window, about.
-CELL_PIECES = 100_000
+CELL_PIECES = 2_000
 
 #: Longer runs of white space, or words, go the slower, surer way.
 LONG_RUN = 20_000

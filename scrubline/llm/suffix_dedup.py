@@ -16,6 +16,9 @@ cut down first, without losing a repeat:
    equal windows, and each group's least key tells which of the windows go.
 3. The covered byte ranges are gathered per row and taken out of its text.
 
+Of equal texts, the one of the least key takes part in this; the others go whole. A text's 64-bit hash
+stands for it in the exchanges, as a key would.
+
 Defined results: a null text is empty; rows of equal keys do not count as smaller than each
 other; a null key is larger than all others; an empty table gives an empty table; other columns
 take no part.
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +113,26 @@ def _dealt(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 _ASKED = "bucket long, marks binary, many binary, rows binary, starts binary, counts binary"
 
 
+def text_id(data: bytes) -> int:
+    """What Spark's xxhash64 gives for the text, unsigned."""
+    return xxhash.xxh64_intdigest(data, 42)
+
+
 def _ask(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Runs (row, mark, start, count) whose mark occurs in several rows; rows: (row, text)."""
+    """Runs (row, mark, start, count) whose mark occurs in several distinct texts.
+
+    ``rows`` has a text column; ``row`` is the text's id, so equal texts are one, and a run may be told of
+    more than once.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for _, texts in slices(batch, 0):
+                texts = list(dict.fromkeys(texts))
                 text, start, count, mark = runs(texts, length)
                 if not len(mark):
                     continue
-                row = part.column(0).to_numpy()[text]
+                row = np.array([text_id(t) for t in texts], np.uint64).view(np.int64)[text]
                 order = np.argsort(mark, kind="stable")
                 mark, row, start, count = mark[order], row[order], start[order], count[order]
                 edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
@@ -413,29 +427,31 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     rows = df.select(
         F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("order"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    )
-    known = rows.agg(
-        F.count("*").alias("n"), F.count_distinct("order").alias("keys"), F.sum(F.octet_length("text")).alias("bytes")
-    ).first()
-    if known["n"] != known["keys"]:  # then keys cannot tell rows apart
-        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    else:
-        rows = rows.withColumn("row", F.col("order"))
-    n_marks = 1 + (known["bytes"] or 0) // MARK_BUCKET_BYTES
-    found = written(_ask(rows.select("row", "text"), length, n_marks), "repeated-marks")
+    ).withColumn("row", F.xxhash64("text"))
+    ids = written(rows.select("row", "order", F.octet_length("text").alias("bytes")), "text-ids")
+    total = ids.agg(F.sum("bytes")).first()[0] or 0
+    found = written(_ask(rows.select("text"), length, 1 + total // MARK_BUCKET_BYTES), "repeated-marks")
+    by_row = found.groupBy("row").agg(F.collect_set(F.struct("mark", "start", "count")).alias("runs"))
+    # the text of the least key stands for all that equal it; with the key, they are no hot spot
+    first = ids.groupBy("row").agg(F.min("order").alias("order"))
+    asked = by_row.join(first, "row").hint("shuffle_hash")
+    met = rows.select("row", "order", "text").join(asked, ["row", "order"])
     size = found.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("mark", "start", "count")).alias("runs"))
-    met = rows.select("row", "order", "text").join(by_row.hint("shuffle_hash"), "row")
-    ranges = written(_settle(met, length, 1 + size // SUFFIX_BUCKET_BYTES), "covered")
-    by_row = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    whole = rows.select("key", "row", "text").join(by_row.hint("shuffle_hash"), "row", "left")
+    settled = _settle(met.select("row", "order", "text", "runs"), length, 1 + size // SUFFIX_BUCKET_BYTES)
+    ranges = written(settled, "covered").groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    first = first.join(ranges, "row", "left").withColumn("first", F.lit(True)).hint("shuffle_hash")
+    whole = rows.join(first, ["row", "order"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 1):
                 kept, spans = [], []
-                lists = part.column(2)
+                lists, is_first = part.column(2), part.column(3)
                 for k, t in enumerate(texts):
+                    if not is_first[k].is_valid and len(t) >= length:  # a smaller key has the whole text
+                        kept.append(b"")
+                        spans.append(1)
+                        continue
                     if not lists[k].is_valid:
                         kept.append(t)
                         spans.append(0)
@@ -456,7 +472,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
     kind = dict(df.dtypes)[key]
     return (
-        whole.select("key", "text", "ranges")
+        whole.select("key", "text", "ranges", "first")
         .mapInArrow(remove, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
         .withColumnRenamed("key", key)
     )

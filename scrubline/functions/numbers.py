@@ -47,6 +47,8 @@ def clip(number: Column, lower, upper) -> Column:
 
 def bin_edges(low: float, high: float, bins: int) -> list[float]:
     """``bins + 1`` edges; the outer ones are widened so both ends fall inside."""
+    if not (math.isfinite(low) and math.isfinite(high)):
+        raise ValueError("bins of equal width need finite values; replace infinite ones first")
     if low == high:
         margin = 0.001 * abs(low) if low != 0 else 0.001
         return [float(e) for e in np.linspace(low - margin, high + margin, bins + 1)]

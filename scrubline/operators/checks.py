@@ -30,9 +30,6 @@ MIN_VALUES_FOR_OUTLIERS = 10
 # column of a columnar file is still read only once.
 COLUMNS_PER_SCAN = 24
 
-# Duplicate fingerprints that may be broadcast to find their rows.
-BROADCAST_GROUPS = 500_000
-
 TYPES = "types"
 CONTENT = "content"
 LEADING = "leading"
@@ -113,9 +110,8 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
 
     Grouping by whole rows would shuffle the whole table. Rows are grouped by a
     128-bit fingerprint first: fingerprints that occur once are distinct rows for
-    certain. Only rows sharing one are compared in full, picked out by a
-    broadcast while they are the smaller part and their fingerprints few. Else
-    whole rows are grouped: many copies shrink on the map side.
+    certain. Only rows sharing one are compared in full, picked out by a semi-join
+    that adaptive execution broadcasts or shuffles as their number allows.
     """
     require_batch(df, "counting duplicates")
     keyed = _comparable(df, columns)
@@ -131,14 +127,10 @@ def _row_counts(df: DataFrame, columns: list[str]) -> tuple[int, int, int]:
     empty = summary[3] or 0
     if not shared:
         return total, shapes, empty
-    repeated = total - shapes + shared
-    if shared <= BROADCAST_GROUPS and repeated <= total / 2:
-        suspects = groups.where("n > 1").select("__h1", "__h2")
-        rows = keyed.join(F.broadcast(suspects), ["__h1", "__h2"], "left_semi")
-        distinct = rows.groupBy(*[named(c) for c in columns]).agg(F.lit(1)).count()
-        return total, shapes - shared + distinct, empty
-    distinct = keyed.groupBy(*[named(c) for c in columns]).agg(F.lit(1)).count()
-    return total, distinct, empty
+    suspects = groups.where("n > 1").select("__h1", "__h2")
+    rows = keyed.join(suspects, ["__h1", "__h2"], "left_semi")
+    distinct = rows.groupBy(*[named(c) for c in columns]).agg(F.lit(1)).count()
+    return total, shapes - shared + distinct, empty
 
 
 def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:

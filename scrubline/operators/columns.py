@@ -52,7 +52,7 @@ def split_column(
             for i, name in enumerate(new_columns)
         }
     )
-    return result if keep_original else result.drop(column)
+    return result if keep_original or column in new_columns else result.drop(column)
 
 
 def merge_columns(
@@ -66,7 +66,7 @@ def merge_columns(
     require_columns(df, columns)
     joined = F.concat_ws(separator, *[value(df, c).cast("string") for c in columns])
     result = df.withColumn(new_column, text.blank_to_null(joined))
-    return result.drop(*columns) if drop_original else result
+    return result.drop(*[c for c in columns if c != new_column]) if drop_original else result
 
 
 def create_calculated_column(df: DataFrame, new_column_name: str, formula: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -28,13 +29,29 @@ def _side(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.select(*[named(c) for c in keys], packed(df, keys).alias(name))
 
 
+def _require_unique(df: DataFrame, keys: Sequence[str]) -> None:
+    missing = functools.reduce(lambda a, b: a | b, [value(df, c).isNull() for c in keys])
+    groups = df.select(*[value(df, c).alias(c) for c in keys], missing.alias("__missing"))
+    groups = groups.groupBy(*[named(c) for c in keys]).agg(
+        F.count("*").alias("__n"), F.max("__missing").alias("__missing")
+    )
+    most, without = groups.agg(F.max("__n"), F.max("__missing")).first()
+    if without:
+        raise ValueError(f"rows without a key cannot be compared: {', '.join(keys)}")
+    if most and most > 1:
+        raise ValueError(f"keys repeat, so rows cannot be compared: {', '.join(keys)}")
+
+
 def paired(before: DataFrame, after: DataFrame, key: str | Sequence[str] = ROW_ID) -> DataFrame:
     """Key columns and both versions of each row as structs, null where absent.
 
-    Keys are unique, so the join spreads evenly whatever the data looks like.
+    Keys that repeat or miss are refused first, by one aggregate per side, so the join
+    spreads evenly whatever the data looks like.
     """
     keys = _keys(before, key)
     _keys(after, key)
+    for side in (before, after):
+        _require_unique(side, keys)
     return _side(before, keys, BEFORE).join(_side(after, keys, AFTER), keys, "full_outer")
 
 

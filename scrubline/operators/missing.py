@@ -15,9 +15,9 @@ from scrubline.functions import dates, stats
 
 FILL_METHODS = ("mean", "median", "mode", "zero", "ffill", "bfill", "custom")
 
-# Rows sorted together when filling along row order, and the most ranges used.
+# Rows sorted together when filling along row order, and ranges carried over together.
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 20_000
+RANGES_PER_BLOCK = 1_000
 
 
 def drop_rows_with_nulls(df: DataFrame, column: str) -> DataFrame:
@@ -54,11 +54,14 @@ def fill_nulls(
         raise ValueError(f"Unsupported fill method: {method}")
     if method in ("mean", "median"):
         require_numeric(df, column)
+    if method == "zero" and isinstance(type_of(df, column), (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"Column '{column}' holds dates; there is no zero to fill them with")
     if method in ("mode", "zero") and is_nested(df, column):
         raise ValueError(f"Column '{column}' holds nested values, which cannot be filled by {method}")
     if method == "custom":
         if value is None:
             raise ValueError("Must provide 'value' when method is 'custom'")
+        _require_fit(df, column, value)
         if is_numeric(df, column) and not isinstance(value, (int, float)):
             raise TypeError(
                 f"Column '{column}' is numeric, but provided value '{value}' is {type(value).__name__}"
@@ -66,6 +69,23 @@ def fill_nulls(
     return fill_nulls_batch(df, [column], method, value, order_by=order_by, stats=stats)
 
 
+# Bits of the whole-number types.
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _require_fit(df: DataFrame, column: str, fill: object) -> None:
+    """Refuse a value that the column's type cannot hold, before any work."""
+    dtype = type_of(df, column)
+    bits = _BITS.get(type(dtype))
+    if bits and isinstance(fill, int) and not -(1 << bits - 1) <= fill < 1 << bits - 1:
+        raise ValueError(f"Column '{column}' is {dtype.simpleString()}, too narrow for {fill}")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        kind = dtype.simpleString()
+        text = str(fill).replace("'", "''")
+        if df.sparkSession.sql(f"SELECT try_cast('{text}' AS {kind}) IS NULL").first()[0]:
+            raise ValueError(f"Column '{column}' is {kind}, which '{fill}' is not")
+
+
 def fill_nulls_batch(
     df: DataFrame,
     columns: Sequence[str],
@@ -119,9 +139,8 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
 
     One window over everything would be one task. The order key is cut into
     ranges instead; each range is filled on its own, and the last value known
-    before a range comes from a table of one row per range. That table is
-    broadcast where its values have a fixed width; text is joined by range, on
-    which the rows are partitioned already.
+    before a range comes from a table of one row per range, carried over block by block
+    of ranges. Rows without an order key come first, whatever the number of ranges.
     """
     require_batch(df, "filling along row order")
     order = order_columns(df, order_by)
@@ -129,9 +148,19 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
         raise ValueError("filling along row order needs one numeric or time column")
     key = _order_key(df, order[0])
     rows = df.count()
-    ranges = max(1, min(MAX_RANGES, math.ceil(rows / ROWS_PER_RANGE)))
+    ranges = max(1, math.ceil(rows / ROWS_PER_RANGE))
     splits = stats.range_splits(df, key, ranges) if ranges > 1 else []
-    ranged = stats.bucket_of(df.withColumns({"__key": key, "__at": key.cast("double")}), "__at", splits, "__range")
+    ranged = stats.bucket_of(
+        df.withColumns(
+            {
+                "__key": F.struct(key.isNotNull().alias("known"), key.alias("key")),
+                "__at": F.coalesce(key.cast("double"), F.lit(-math.inf)),
+            }
+        ),
+        "__at",
+        splits,
+        "__range",
+    )
 
     # both directions look back over rows already passed: a frame that looks
     # ahead is evaluated anew for every row
@@ -151,23 +180,29 @@ def _fill_along(df: DataFrame, columns: Sequence[str], order_by, forward: bool)
             for name, c in carried.items()
         ]
     )
-    before = W.partitionBy(F.lit(0)).orderBy(toward("__range")).rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select(
-        "__range", *[F.last(named(n), ignorenulls=True).over(before).alias(n) for n in carried]
-    )
+    ends = _carried(ends, list(carried), toward, nearest)
     # as many partitions as ranges, whatever the session's shuffle width
     spread = ranged.repartition(len(splits) + 1, "__range")
-    if all(_fixed_width(df, c) for c in columns):
-        ends = F.broadcast(ends)
     joined = spread.join(ends, "__range", "left")
     filled = joined.withColumns({c: F.coalesce(within[c], named(n)) for n, c in carried.items()})
     return filled.select(*[named(c) for c in df.columns])
 
 
-def _fixed_width(df: DataFrame, column: str) -> bool:
-    """A few bytes per value, so that a row per range stays small for certain."""
-    return is_numeric(df, column) or isinstance(
-        type_of(df, column), (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+def _carried(ends: DataFrame, names: Sequence[str], toward, nearest) -> DataFrame:
+    """For each range the last values before it: within its block of ranges, or else before the block.
+
+    The one window without a key runs over blocks, a millionth of a millionth of the rows.
+    """
+    blocked = ends.withColumn("__block", F.floor(F.col("__range") / RANGES_PER_BLOCK))
+    known = lambda n: F.when(named(n).isNotNull(), F.col("__range"))
+    blocks = blocked.groupBy("__block").agg(*[nearest(named(n), known(n)).alias(n) for n in names])
+    over_blocks = W.partitionBy(F.lit(0)).orderBy(toward("__block")).rowsBetween(W.unboundedPreceding, -1)
+    in_block = W.partitionBy("__block").orderBy(toward("__range")).rowsBetween(W.unboundedPreceding, -1)
+    last = lambda n, over: F.last(named(n), ignorenulls=True).over(over)
+    outer = blocks.select("__block", *[last(n, over_blocks).alias(f"__b{n}") for n in names])
+    inner = blocked.select("__block", "__range", *[last(n, in_block).alias(n) for n in names])
+    return inner.join(outer, "__block").select(
+        "__range", *[F.coalesce(named(n), named(f"__b{n}")).alias(n) for n in names]
     )
 
 

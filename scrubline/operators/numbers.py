@@ -48,11 +48,14 @@ def apply_math(df: DataFrame, column: str, operation: str) -> DataFrame:
     x = value(df, column)
     wide = x.cast("bigint") if is_integral(df, column) else x
     result = {
-        "abs": lambda: F.abs(x),
+        # the least whole number has no counterpart: null, as for a square too large
+        "abs": lambda: F.when(wide >= 0, wide).otherwise(F.try_subtract(F.lit(0), wide))
+        if is_integral(df, column)
+        else F.abs(x),
         "sqrt": lambda: F.when(x >= 0, F.sqrt(x)),
         # Spark's ln gives null at zero; the limit is wanted there
         "log": lambda: F.when(x == 0, F.lit(-math.inf)).when(x > 0, F.log(x)),
-        "square": lambda: wide * wide,
+        "square": lambda: F.try_multiply(wide, wide),
     }[operation]()
     return df.withColumn(column, result)
 

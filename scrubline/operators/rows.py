@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scrubline.frames import ROW_ID, data_columns, named, order_columns, require_batch, require_columns, value
+from scrubline.frames import ROW_ID, data_columns, named, order_columns, require_batch, require_columns, type_of, value
 
 KEEP = ("first", "last", False)
 
 
+def _is_map(df: DataFrame, column: str) -> bool:
+    return isinstance(type_of(df, column), T.MapType)
+
+
 def _keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """Grouping keys under their own names, NaN and missing as one."""
-    return [value(df, c).alias(c) for c in columns]
+    """Grouping keys under their own names, NaN and missing as one, maps as sorted entries."""
+    return [
+        (F.sort_array(F.map_entries(named(c))) if _is_map(df, c) else value(df, c)).alias(c) for c in columns
+    ]
 
 
 def deduplicate_rows(
@@ -40,15 +46,19 @@ def deduplicate_rows(
         unique = grouped.agg(F.count("*").alias("__n"), chosen.alias("__row")).where("__n = 1")
         return _unfold(unique, df, keys, rest)
     if not rest:
-        return df.dropDuplicates()
+        return _unfold(grouped.agg(F.lit(None).alias("__row")), df, keys, rest)
     order = F.struct(*[named(o) for o in order_columns(df, order_by)])
     pick = F.min_by if keep == "first" else F.max_by
     return _unfold(grouped.agg(pick(record, order).alias("__row")), df, keys, rest)
 
 
+def _of_key(df: DataFrame, column: str) -> Column:
+    return F.map_from_entries(named(column)).alias(column) if _is_map(df, column) else named(column)
+
+
 def _unfold(grouped: DataFrame, df: DataFrame, keys: Sequence[str], rest: Sequence[str]) -> DataFrame:
     return grouped.select(
-        *[named(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns]
+        *[_of_key(df, c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns]
     )
 
 

@@ -17,10 +17,6 @@ BATCH_TARGETS = ("numeric", "string", "datetime")
 TRUE_TEXTS = ["true", "yes", "1", "1.0", "t", "y"]
 FALSE_TEXTS = ["false", "no", "0", "0.0", "f", "n"]
 
-# Longer category lists are not kept in column metadata; ``category_frame``
-# gives them as a table of any length.
-MAX_CATEGORIES = 10_000
-
 
 def _numeric(df: DataFrame, column: str) -> Column:
     if is_text(df, column):
@@ -50,17 +46,14 @@ def category_frame(df: DataFrame, column: str) -> DataFrame:
 
 
 def fit_categories(df: DataFrame, column: str) -> dict:
-    """What column metadata says of a category column: its sorted distinct
-    values as text, unless they are too many to carry along."""
-    listed = category_frame(df, column).select(F.col("category").cast("string"))
-    rows = listed.head(MAX_CATEGORIES + 1)
-    known = {} if len(rows) > MAX_CATEGORIES else {"categories": [r[0] for r in rows]}
-    return {"categorical": True, **known}
+    """What column metadata says of a category column; ``category_frame`` lists its values, however many."""
+    require_columns(df, [column])
+    return {"categorical": True}
 
 
-def categories(df: DataFrame, column: str) -> list[str] | None:
-    """The categories of a converted column, None when not listed there."""
-    return df.schema[column].metadata.get("categories")
+def is_categorical(df: DataFrame, column: str) -> bool:
+    """Whether a column was converted to categories."""
+    return bool(df.schema[column].metadata.get("categorical"))
 
 
 def convert_column_type(
@@ -101,6 +94,6 @@ def convert_columns_batch(
 
 
 __all__ = [
-    "TARGETS", "categories", "convert_column_type", "convert_columns_batch", "fit_categories",
-    "fit_format", "is_numeric",
+    "TARGETS", "category_frame", "convert_column_type", "convert_columns_batch", "fit_categories",
+    "fit_format", "is_categorical", "is_numeric",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -154,7 +154,7 @@ def summary_frame(spark: SparkSession, summary: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SUMMARY_SCHEMA).coalesce(1)
 
 
-def summarize_report(report: DataFrame) -> DataFrame:
+def summarize_report(report: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Issue counts per column straight from a long report table."""
     counted = ~F.col("metric").isin(*_SHARES, "missing_count")
     size = F.when(F.col("flag"), F.lit(1.0)).otherwise(F.coalesce("value", F.lit(0.0)))
@@ -176,16 +176,20 @@ def summarize_report(report: DataFrame) -> DataFrame:
     score = F.col("missing_count")
     for name in ISSUE_SECTIONS.values():
         score = score + F.col(name)
-    return rank_summary(grouped.withColumn("issue_score", score))
+    return rank_summary(grouped.withColumn("issue_score", score), columns)
 
 
-def rank_summary(summary: DataFrame) -> DataFrame:
-    return summary.orderBy(F.desc("issue_score"), F.desc("missing_pct"), "column")
+def rank_summary(summary: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Worst column first; on ties in the order of ``columns`` (the table's), else by name."""
+    place = [F.array_position(F.array(*map(F.lit, columns)), F.col("column"))] if columns else []
+    return summary.orderBy(F.desc("issue_score"), F.desc("missing_pct"), *place, "column")
 
 
 def high_missing_columns(summary: DataFrame, percent: float = HIGH_MISSING_PCT) -> DataFrame:
     return summary.where(F.col("missing_pct") > percent)
 
 
-def worst_columns(summary: DataFrame, n: int = WORST_COLUMNS) -> DataFrame:
-    return rank_summary(summary).limit(n)
+def worst_columns(
+    summary: DataFrame, n: int = WORST_COLUMNS, columns: Sequence[str] | None = None
+) -> DataFrame:
+    return rank_summary(summary, columns).limit(n)

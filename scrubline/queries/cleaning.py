@@ -349,12 +349,15 @@ query("y4_to_boolean", TYPED, _TYPED.format("amount", _FLAG))(
 
 
 @query("y5_to_categorical", TYPED,
-       "SELECT o_orderkey, o_orderstatus, (SELECT string_agg(DISTINCT o_orderstatus, ',' "
-       "ORDER BY o_orderstatus) FROM {t}) AS categories FROM {t}")
+       "SELECT o_orderstatus AS category, count(*) AS count FROM {t} WHERE o_orderstatus IS NOT NULL GROUP BY 1")
 def _categorical(df):
-    converted = ops.convert_column_type(df, "o_orderstatus", "categorical")
-    known = ",".join(ops.categories(converted, "o_orderstatus"))
-    return converted.select("o_orderkey", "o_orderstatus", F.lit(known).alias("categories"))
+    return ops.category_frame(ops.convert_column_type(df, "o_orderstatus", "categorical"), "o_orderstatus")
+
+
+@query("y5_many_categories", view("orders", "CAST(o_orderkey AS STRING) AS k", "o_orderstatus"),
+       "SELECT k AS category, count(*) AS count FROM {t} WHERE k IS NOT NULL GROUP BY 1")
+def _many_categories(df):
+    return ops.category_frame(ops.convert_column_type(df, "k", "categorical"), "k")
 
 
 query("y6_convert_batch", TYPED, _TYPED.format(_NUMBER, "try_cast(flag AS DOUBLE)"))(

@@ -214,7 +214,7 @@ query("k1_summary_order", MESSY,
         [(r["column"], i) for i, r in enumerate(_quality(df).summary, 1)], "column string, rank bigint"))
 query("k4_worst_columns", MESSY,
       _SUMMARY + " ORDER BY issue_score DESC, missing_pct DESC, seq LIMIT 3")(
-    lambda df: report.worst_columns(_quality(df).summary_frame(df.sparkSession)))
+    lambda df: report.worst_columns(_quality(df).summary_frame(df.sparkSession), columns=df.columns))
 
 # ---- profile ----
 

@@ -20,10 +20,7 @@ def test_empty_rows_and_nulls_in_copies(table):
     assert found["duplicate_rows"] == 2 and found["fully_empty_rows"] == 2
 
 
-@pytest.mark.parametrize("groups", [0, 500_000])
-def test_duplicates_on_both_paths(table, monkeypatch, groups):
-    """Hot copies, with the shared fingerprints broadcast or not."""
-    monkeypatch.setattr(checks, "BROADCAST_GROUPS", groups)
+def test_hot_copies(table):
     rows = [(i % 7 if i % 3 else 1, "x" * (i % 2), None if i % 5 else 0.5) for i in range(900)]
     df = table("a bigint, b string, c double", rows).repartition(4)
     assert checks.dataset_level_checks(df)["duplicate_rows"] == len(rows) - len(set(rows))

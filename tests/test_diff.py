@@ -113,3 +113,10 @@ def test_preview_reports_errors(table):
     df = table("a double, s string", [(1.0, "x")])
     found = recipe.preview_step(df, {"tool_name": "trim_spaces", "arguments": {"column": "a"}}, TYPES)
     assert not found["success"] and "string" in found["error"] and found["changes"] is None
+
+
+@pytest.mark.parametrize("keys", [[1, 1, 2], [1, None, 2]])
+def test_keys_that_repeat_or_miss_are_refused(spark, keys):
+    df = spark.createDataFrame([(k, 1) for k in keys], "k bigint, x bigint")
+    with pytest.raises(ValueError, match="key"):
+        diff.count_changes(df, df, "k")

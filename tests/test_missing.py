@@ -122,3 +122,25 @@ def test_fill_along_a_time_column(table, monkeypatch):
     assert [r[0] for r in filled.orderBy("at").select("x").collect()] == [
         float(i // 3 * 3) for i in range(100)
     ]
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill"])
+def test_null_keys_in_one_range_and_many(spark, monkeypatch, method):
+    """Rows without an order key come first, however the rows are cut."""
+    rows = [(None, 7.0), (None, None)] + [(i, float(i) if i % 9 == 4 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k bigint, x double").repartition(4)
+    one = sorted(map(str, fill_nulls(df, "x", method, order_by="k").where("k is not null").collect()))
+    monkeypatch.setattr(missing, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(missing, "RANGES_PER_BLOCK", 3)
+    many = sorted(map(str, fill_nulls(df, "x", method, order_by="k").where("k is not null").collect()))
+    assert one == many
+
+
+def test_values_that_do_not_fit(table):
+    df = table("n int, d date, b boolean", [(1, None, None), (None, None, True)])
+    for column, fill in (("n", 3_000_000_000), ("d", "abc"), ("b", "perhaps")):
+        with pytest.raises(ValueError):
+            fill_nulls(df, column, "custom", fill)
+    with pytest.raises(ValueError):
+        fill_nulls(df, "d", "zero")
+    assert fill_nulls(df, "d", "custom", "2024-01-02").where("d = '2024-01-02'").count() == 2

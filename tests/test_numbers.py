@@ -200,3 +200,15 @@ def test_range_splits_are_even_in_two_levels(spark):
     assert len(splits) > 400
     sizes = [r["count"] for r in stats.bucket_of(df, "k", splits, "b").groupBy("b").count().collect()]
     assert max(sizes) < 5 * 60_000 / 600
+
+
+def test_infinite_values_are_refused_by_bins(table):
+    df = table("x double", [1.0, 2.0, float("inf")])
+    with pytest.raises(ValueError, match="finite"):
+        ops.bin_numeric(df, "x", 4)
+
+
+def test_whole_numbers_that_overflow_are_null(table, values):
+    df = table("n bigint", [4_000_000_000, -3, -(2**63)])
+    assert values(ops.apply_math(df, "n", "square"), "n") == [None, 9, None]
+    assert values(ops.apply_math(df, "n", "abs"), "n") == [4_000_000_000, 3, None]

@@ -19,6 +19,7 @@ _DIGITS = {
     "M": (r"\d{1,2}", "minute"),
     "S": (r"\d{1,2}", "second"),
     "f": (r"\d{1,6}", "fraction"),
+    "z": (r"Z|[+-]\d{2}:?\d{2}", "zone"),
 }
 
 # directive -> Spark datetime pattern, for formats that spell things out
@@ -72,7 +73,8 @@ def _parse_digits(text: Column, tokens: list[tuple[str, str]]) -> Column:
         if touching and pattern == r"\d{1,2}":
             pattern = r"\d{2}"
         groups[part] = len(groups) + 1
-        shape += f"({pattern})"
+        # digits beyond microseconds are cut
+        shape += f"({pattern})" + (r"\d{0,3}" if part == "fraction" else "")
     shape = f"^{shape}\\z"
     year = groups.get("year", groups.get("year2"))
     fields = [
@@ -87,7 +89,13 @@ def _parse_digits(text: Column, tokens: list[tuple[str, str]]) -> Column:
     ordered = F.regexp_replace(text, shape, iso)
     if "year2" in groups:
         ordered = F.concat(F.when(ordered >= "69", "19").otherwise("20"), ordered)
-    return F.when(text.rlike(shape), ordered.try_cast("timestamp_ntz"))
+    moment = ordered.try_cast("timestamp_ntz")
+    if "zone" in groups:  # moved to UTC
+        zone = F.regexp_extract(text, shape, groups["zone"])
+        minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, -2, 2).try_cast("int")
+        ahead = F.when(zone == "Z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+        moment = F.timestamp_add("MINUTE", -ahead, moment)
+    return F.when(text.rlike(shape), moment)
 
 
 def _parse_named(text: Column, tokens: list[tuple[str, str]], fmt: str) -> Column:
@@ -113,7 +121,9 @@ _CLOCKS = [
     (r"", ""),
     (r"([ T])\d{1,2}:\d{2}", "{0}%H:%M"),
     (r"([ T])\d{1,2}:\d{2}:\d{2}", "{0}%H:%M:%S"),
-    (r"([ T])\d{1,2}:\d{2}:\d{2}\.\d{1,6}", "{0}%H:%M:%S.%f"),
+    (r"([ T])\d{1,2}:\d{2}:\d{2}\.\d{1,9}", "{0}%H:%M:%S.%f"),
+    (r"([ T])\d{1,2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:?\d{2})", "{0}%H:%M:%S%z"),
+    (r"([ T])\d{1,2}:\d{2}:\d{2}\.\d{1,9}(?:Z|[+-]\d{2}:?\d{2})", "{0}%H:%M:%S.%f%z"),
     (r"( )\d{1,2}:\d{2} [AaPp][Mm]", "{0}%I:%M %p"),
     (r"( )\d{1,2}:\d{2}:\d{2} [AaPp][Mm]", "{0}%I:%M:%S %p"),
 ]
@@ -135,6 +145,8 @@ def _guess_day(text: str) -> list[str]:
     if match := re.fullmatch(r"\d{4}([-/.])(\d{1,2})\1(\d{1,2})", text):
         sep = match.group(1)
         return [f"%Y{sep}%m{sep}%d"] if int(match.group(2)) <= 12 else [f"%Y{sep}%d{sep}%m"]
+    if match := re.fullmatch(r"\d{4}([-/])(\d{1,2})", text):
+        return [f"%Y{match.group(1)}%m"] if 1 <= int(match.group(2)) <= 12 else []
     if match := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2\d{4}", text):
         first, sep, second = int(match.group(1)), match.group(2), int(match.group(3))
         if first <= 12:
@@ -161,6 +173,7 @@ def parse_each(text: Column) -> Column:
     days += [f"{a}{sep}{b}{sep}%Y" for a, b in (("%m", "%d"), ("%d", "%m")) for sep in "/-."]
     clocks = ["", " %H:%M:%S", "T%H:%M:%S", " %H:%M", " %H:%M:%S.%f", "T%H:%M:%S.%f"]
     formats = [day + clock for clock in clocks for day in days]
+    formats += [f"%Y-%m-%d{t}%H:%M:%S{f}%z" for t in "T " for f in ("", ".%f")] + ["%Y-%m"]
     return F.coalesce(*[parse_format(text, f) for f in formats])
 
 

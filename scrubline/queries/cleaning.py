@@ -104,6 +104,18 @@ query("w1_forward_fill", EVENTS,
       f"SELECT event_id, ts, user_id, {_FORWARD.format('value')}, {_FORWARD.format('event_type')} FROM {{t}}")(
     lambda df: ops.fill_nulls_batch(df, ["value", "event_type"], "ffill", order_by="event_id"))
 
+# The first rows have no order key, so they come first; each other row keeps its own.
+_KEYLESS = view("events", "event_id", "CASE WHEN event_id < 2 THEN NULL ELSE event_id END AS k",
+                "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value")
+for _name, _method, _filled_sql in (
+    ("w1_forward_fill_null_keys", "ffill", "last_value(value IGNORE NULLS) OVER (ORDER BY k NULLS FIRST "
+     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+    ("w2_backward_fill_null_keys", "bfill", "first_value(value IGNORE NULLS) OVER (ORDER BY k NULLS FIRST "
+     "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
+):
+    query(_name, _KEYLESS, f"SELECT * FROM (SELECT event_id, k, {_filled_sql} AS value FROM {{t}}) WHERE k IS NOT NULL")(
+        lambda df, m=_method: ops.fill_nulls(df, "value", m, order_by="k").where("k IS NOT NULL"))
+
 query("w2_backward_fill", EVENTS,
       f"SELECT event_id, ts, user_id, {_BACKWARD.format('value')}, {_BACKWARD.format('event_type')} FROM {{t}}")(
     lambda df: ops.fill_nulls_batch(df, ["value", "event_type"], "bfill", order_by="event_id"))
@@ -249,6 +261,10 @@ for _op, _sql in {
         lambda df, o=_op: rounded(ops.apply_math(df, "c_acctbal", o), "c_acctbal")
         if o in ("sqrt", "log") else ops.apply_math(df, "c_acctbal", o))
 
+query("n4_math_square_bigint", view("orders", "o_orderkey", "o_custkey"),
+      "SELECT o_orderkey, o_custkey * o_custkey AS o_custkey FROM {t}")(
+    lambda df: ops.apply_math(df, "o_custkey", "square"))
+
 _BIN_EDGES = ", ".join(f"lo + (hi - lo) / 12 * {i}" for i in range(1, 12))
 query("n5_bin", EVENTS,
       f"SELECT event_id, value, CASE WHEN value IS NOT NULL THEN 'bin' || "
@@ -299,6 +315,18 @@ query("dt_convert_format", DATED, f"SELECT o_orderkey, {_PLACED} AS placed, o_or
 query("dt_convert_guess", DATED, f"SELECT o_orderkey, {_PLACED} AS placed, o_orderdate FROM {{t}}")(
     lambda df: ops.convert_to_datetime(df, "placed", order_by="o_orderkey"))
 
+_ZONED = view(
+    "orders",
+    "o_orderkey",
+    "CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN 'T03:04:05Z' "
+    "WHEN 1 THEN 'T03:04:05+02:00' ELSE 'T03:04:05-0130' END AS placed",
+)
+query("dt_convert_iso_zone", _ZONED,
+      "SELECT o_orderkey, CAST(CAST(substr(placed, 1, 10) AS DATE) AS TIMESTAMP) + CASE o_orderkey % 3 "
+      "WHEN 0 THEN INTERVAL '3 hours 4 minutes 5 seconds' WHEN 1 THEN INTERVAL '1 hours 4 minutes 5 seconds' "
+      "ELSE INTERVAL '4 hours 34 minutes 5 seconds' END AS placed FROM {t}")(
+    lambda df: ops.convert_to_datetime(df, "placed", order_by="o_orderkey"))
+
 for _part, _sql in {
     "year": "CAST(year({0}) AS INTEGER)", "month": "CAST(month({0}) AS INTEGER)",
     "day": "CAST(day({0}) AS INTEGER)", "weekday": "dayname({0})",

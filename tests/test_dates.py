@@ -134,3 +134,20 @@ def test_difference_to_today(table, values):
 def test_epoch_round_trip(moments):
     back = dates.from_epoch_micros(dates.epoch_micros(named("t")))
     assert moments.where(~back.eqNullSafe(named("t"))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2024-01-02T03:04:05Z", "2024-01-02 03:04:05"),
+        ("2024-01-02T03:04:05+02:00", "2024-01-02 01:04:05"),
+        ("2024-01-02 03:04:05.25-0130", "2024-01-02 04:34:05.25"),
+        ("2024-01-02T03:04:05.123456789", "2024-01-02 03:04:05.123456"),
+        ("2024-01", "2024-01-01 00:00:00"),
+    ],
+)
+def test_iso_time_stamps(table, text, want):
+    for first in (text, "no date"):  # the first value's format, or each on its own
+        out = ops.convert_to_datetime(table("t string", [first, text]), "t")
+        got = out.where("_row_id = 1").selectExpr("CAST(t AS STRING)").first()[0]
+        assert got == want

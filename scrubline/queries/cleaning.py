@@ -272,6 +272,16 @@ query("n5_bin", EVENTS,
       "FROM {t}, (SELECT min(value) AS lo, max(value) AS hi FROM {t})")(
     lambda df: ops.bin_numeric(df, "value", 12, [f"bin{i}" for i in range(12)], "bin").select(
         "event_id", "value", "bin"))
+query("w3_dedup_documents", view("documents", "text", "lang", "source", "n_chars"),
+      "SELECT DISTINCT text, lang, source, n_chars FROM {t}")(lambda df: ops.deduplicate_rows(df))
+
+# Quantities run from 1 to 50 in every table, so their bins are known.
+query("n5_bin_labels_quantity", LINES,
+      "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity <= 13.25 THEN '(0.951, 13.25]' "
+      "WHEN l_quantity <= 25.5 THEN '(13.25, 25.5]' WHEN l_quantity <= 37.75 THEN '(25.5, 37.75]' "
+      "ELSE '(37.75, 50.0]' END AS bin FROM {t}")(
+    lambda df: ops.bin_numeric(df, "l_quantity", 4, new_column="bin").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "bin"))
 query("n5_bin_labels", EVENTS)(lambda df: ops.bin_numeric(df, "value", 12, new_column="bin"))
 
 _ZSTATS = "(SELECT avg(value) AS m, stddev_samp(value) AS s FROM {t})"

@@ -244,6 +244,17 @@ query("c15_distribution_binned", EVENTS,
       "SELECT CAST(i AS INTEGER) AS position, count(p) AS count FROM range(20) r(i) "
       "LEFT JOIN b ON b.p = r.i GROUP BY i")(
     lambda df: profile.numeric_distribution(df, "value").drop("bucket"))
+_QUANTITY_BINS = [
+    "(0.95, 3.45]", "(3.45, 5.9]", "(5.9, 8.35]", "(8.35, 10.8]", "(10.8, 13.25]", "(13.25, 15.7]",
+    "(15.7, 18.15]", "(18.15, 20.6]", "(20.6, 23.05]", "(23.05, 25.5]", "(25.5, 27.95]", "(27.95, 30.4]",
+    "(30.4, 32.85]", "(32.85, 35.3]", "(35.3, 37.75]", "(37.75, 40.2]", "(40.2, 42.65]", "(42.65, 45.1]",
+    "(45.1, 47.55]", "(47.55, 50.0]",
+]
+query("c15_distribution_labels_quantity", view("lineitem", "l_quantity"), " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{b}' AS bucket, count(*) AS count FROM {{t}} "
+    f"WHERE l_quantity > {b[1:].split(',')[0]} AND l_quantity <= {b[:-1].split(', ')[1]}"
+    for i, b in enumerate(_QUANTITY_BINS)))(
+    lambda df: profile.numeric_distribution(df, "l_quantity"))
 query("c15_distribution_labels", EVENTS)(lambda df: profile.numeric_distribution(df, "value"))
 query("c16_categorical", view("part", "p_type"),
       "SELECT p_type AS value, count(*) AS count FROM {t} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(

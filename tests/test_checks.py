@@ -256,3 +256,10 @@ def test_nested_columns_pass_through(spark):
     assert ops.fill_nulls_batch(df, ["l", "k"], "mode").where("l is null").count() == 4
     with pytest.raises(ValueError, match="nested"):
         ops.fill_nulls(df, "l", "mode")
+
+
+def test_ties_rank_in_column_order(spark):
+    rows = [(c, 5, 1.0) for c in "abcyz"]
+    summary = spark.createDataFrame(rows, "`column` string, issue_score int, missing_pct double")
+    worst = report.worst_columns(summary, 3, columns=["z", "y", "c", "b", "a"])
+    assert [r["column"] for r in worst.collect()] == ["z", "y", "c"]

@@ -77,8 +77,10 @@ def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     require_batch(df, "a column mean")
     if not columns:
         return {}
-    row = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    found: dict[str, float | None] = {}
+    for chunk in chunked(list(columns), COLUMNS_PER_SCAN):
+        found.update(zip(chunk, df.agg(*[F.avg(number(df, c)) for c in chunk]).first()))
+    return found
 
 
 # ---- exact quantiles ----
@@ -280,15 +282,22 @@ def _sort_inside(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int
     """Sort the rows between two marks, each lot already counted and small."""
     if not brackets:
         return {}
-    shared = {b.ends: b for b in brackets}
-    name = {ends: f"x{i}" for i, ends in enumerate(shared)}
-    row = (
-        _only_inside(df, list(shared.values()))
-        .agg(*[F.array_sort(F.collect_list(b.rows_inside(df))).alias(name[e]) for e, b in shared.items()])
-        .select(*[F.get(name[b.ends], F.lit(b.rank - b.inside_from)) for b in brackets])
-        .first()
+    lots: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        lots.setdefault(b.ends, []).append(b)
+    ends = [lot[0] for lot in lots.values()]
+    parts = [F.struct(F.lit(i).alias("lot"), b.rows_inside(df).alias("x")) for i, b in enumerate(ends)]
+    inside = _only_inside(df, ends).select(F.inline(F.array(*parts))).where("x is not null")
+    ranks = F.array(*[F.array(*[F.lit(b.rank - b.inside_from) for b in lot]) for lot in lots.values()])
+    # one group per lot, so that no task holds more than one
+    found = (
+        inside.groupBy("lot")
+        .agg(F.array_sort(F.collect_list("x")).alias("x"))
+        .select("lot", F.transform(F.get(ranks, F.col("lot")), lambda at: F.get("x", at)).alias("found"))
+        .collect()
     )
-    return {(b.column, b.rank): v for b, v in zip(brackets, row)}
+    all_lots = list(lots.values())
+    return {(b.column, b.rank): v for r in found for b, v in zip(all_lots[r["lot"]], r["found"])}
 
 
 # ---- most common value, distinct values, range splits ----

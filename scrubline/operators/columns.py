@@ -23,7 +23,7 @@ def drop_columns_batch(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rename_column(df: DataFrame, column: str, new_name: str) -> DataFrame:
     require_columns(df, [column])
     if new_name in df.columns:
-        raise ValueError(f"Column '{new_name}' already exists in DataFrame")
+        raise ValueError(f"the table has a '{new_name}' already; choose another name")
     return df.withColumnRenamed(column, new_name)
 
 
@@ -72,7 +72,7 @@ def merge_columns(
 def create_calculated_column(df: DataFrame, new_column_name: str, formula: str) -> DataFrame:
     """A new column from a Spark SQL expression; division by zero gives null."""
     if new_column_name in df.columns:
-        raise ValueError(f"Column '{new_column_name}' already exists")
+        raise ValueError(f"the table has a '{new_column_name}' already; choose another name")
     conf = df.sparkSession.conf
     strict = conf.get("spark.sql.ansi.enabled")
     # the evaluation mode is bound when the expression is analysed, right here
@@ -80,7 +80,7 @@ def create_calculated_column(df: DataFrame, new_column_name: str, formula: str)
     try:
         return df.withColumn(new_column_name, F.expr(formula))
     except PySparkException as error:
-        raise ValueError(f"Failed to evaluate formula '{formula}': {error}") from error
+        raise ValueError(f"Spark SQL cannot read {formula!r}: {error}") from error
     finally:
         conf.set("spark.sql.ansi.enabled", strict)
 

@@ -74,7 +74,7 @@ def extract_date_part(
     stats: dict | None = None,
 ) -> DataFrame:
     if part not in PARTS:
-        raise ValueError(f"Unsupported date part: {part}")
+        raise ValueError(f"a date has no {part!r}; parts are {', '.join(PARTS)}")
     moment = moments_of(df, column, None, order_by, stats)
     result = {
         "year": F.year,
@@ -100,7 +100,7 @@ def offset_date(
     The source column itself also becomes a timestamp.
     """
     if unit not in OFFSET_UNITS:
-        raise ValueError(f"Unsupported time unit: {unit}")
+        raise ValueError(f"dates cannot be moved by {unit!r}; units are {', '.join(OFFSET_UNITS)}")
     df = df.withColumn(column, moments_of(df, column, None, order_by, stats))
     zero = F.lit(0)
     step = {
@@ -123,7 +123,7 @@ def date_difference(
 ) -> DataFrame:
     """Time from each value to one reference moment, fixed when called."""
     if unit not in DIFFERENCE_UNITS:
-        raise ValueError(f"Unsupported unit for difference: {unit}")
+        raise ValueError(f"time is not measured in {unit!r}; units are {', '.join(DIFFERENCE_UNITS)}")
     if reference_date in ("today", "now"):
         reference = datetime.now()
     else:

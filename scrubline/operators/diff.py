@@ -95,19 +95,24 @@ def diff_mask(
 
 
 def count_pairs(pairs: DataFrame) -> dict:
-    """The change counts of paired rows, in one aggregate."""
+    """The change counts of paired rows, in one aggregate.
+
+    Each pair gives the numbers of what is true of it (on the left, on the right, changed, changed in
+    column i), which are counted before the shuffle: the plan stays small for any number of columns.
+    """
     columns = common_columns(pairs)
     before, after = _fields(pairs, BEFORE), _fields(pairs, AFTER)
-    cells = [count_where(_on_both() & _changed(pairs, c)).alias(f"c{i}") for i, c in enumerate(columns)]
-    row = pairs.agg(
-        F.count(F.col(BEFORE)).alias("before"),
-        F.count(F.col(AFTER)).alias("after"),
-        count_where(_on_both() & _any_changed(pairs)).alias("rows"),
-        *cells,
-    ).first()
+    flagged = pairs.select(
+        F.col(BEFORE).isNotNull().alias("before"), F.col(AFTER).isNotNull().alias("after"),
+        F.when(_on_both(), _flags(pairs)).otherwise(F.array().cast("array<boolean>")).alias("flags"),
+    )
+    facts = F.concat(F.array("before", "after", F.exists("flags", lambda x: x)), "flags")
+    held = flagged.select(F.posexplode(facts).alias("i", "holds")).where("holds").groupBy("i").count()
+    found = dict(held.collect())
+    row = {name: found.get(i, 0) for i, name in enumerate(["before", "after", "rows"])}
     rows_before, rows_after = row["before"], row["after"]
     changed_shape = rows_before != rows_after or len(before) != len(after)
-    counts = [row[f"c{i}"] for i in range(len(columns))]
+    counts = [found.get(3 + i, 0) for i in range(len(columns))]
     return {
         "total_cells_changed": None if changed_shape else sum(counts),
         "rows_affected": None if changed_shape else row["rows"],
@@ -124,11 +129,13 @@ def count_changes(before: DataFrame, after: DataFrame, key: str | Sequence[str]
     return count_pairs(paired(before, after, key))
 
 
+def _flags(pairs: DataFrame) -> Column:
+    """For each common column, whether it changed."""
+    return F.array(*[_changed(pairs, c) for c in common_columns(pairs)]).cast("array<boolean>")
+
+
 def _any_changed(pairs: DataFrame) -> Column:
-    changed = F.lit(False)
-    for c in common_columns(pairs):
-        changed = changed | _changed(pairs, c)
-    return changed
+    return F.exists(_flags(pairs), lambda x: x)
 
 
 def affected_pairs(pairs: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -158,13 +165,14 @@ def unpacked(pairs: DataFrame, keys: Sequence[str], side: str, columns: Sequence
 
 
 def column_pair_counts(pairs: DataFrame, column: str) -> DataFrame:
-    """One row: values changed, nulls filled, nulls created, and their sum."""
+    """One row: rows on each side, values changed, nulls filled, nulls created, and their sum."""
     a, b = F.col(BEFORE)[column], F.col(AFTER)[column]
-    changed = _changed(pairs, column) & a.isNotNull() & b.isNotNull()
-    counts = pairs.where(_on_both()).agg(
-        count_where(changed).alias("values_changed"),
-        count_where(a.isNull() & b.isNotNull()).alias("nulls_filled"),
-        count_where(a.isNotNull() & b.isNull()).alias("nulls_created"),
+    counts = pairs.agg(
+        F.count(F.col(BEFORE)).alias("rows_before"),
+        F.count(F.col(AFTER)).alias("rows_after"),
+        count_where(_on_both() & _changed(pairs, column) & a.isNotNull() & b.isNotNull()).alias("values_changed"),
+        count_where(_on_both() & a.isNull() & b.isNotNull()).alias("nulls_filled"),
+        count_where(_on_both() & a.isNotNull() & b.isNull()).alias("nulls_created"),
     )
     total = F.col("values_changed") + F.col("nulls_filled") + F.col("nulls_created")
     return counts.withColumn("total_changes", total)
@@ -181,14 +189,13 @@ def column_changes(
         after.select(*[named(c) for c in dict.fromkeys([*keys, column])]),
         key,
     )
-    sides = pairs.agg(F.count(F.col(BEFORE)), F.count(F.col(AFTER))).first()
-    if sides[0] != sides[1]:
-        return {"error": "Row counts differ"}
     return column_changes_of(pairs, keys, column)
 
 
 def column_changes_of(pairs: DataFrame, keys: Sequence[str], column: str) -> dict:
     counts = column_pair_counts(pairs, column).first().asDict()
+    if counts.pop("rows_before") != counts.pop("rows_after"):
+        return {"error": "Row counts differ"}
     sample = (
         pairs.where(_on_both() & _changed(pairs, column))
         .orderBy(*[named(k) for k in keys])

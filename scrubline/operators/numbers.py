@@ -21,7 +21,7 @@ OUTLIER_ACTIONS = ("null", "drop", "clip", "replace", "mean", "median")
 
 def _check(option: str, allowed: Sequence[str], what: str) -> None:
     if option not in allowed:
-        raise ValueError(f"Unsupported {what}: {option}")
+        raise ValueError(f"no {what} {option!r}; choose one of {', '.join(allowed)}")
 
 
 def round_numeric(df: DataFrame, column: str, decimals: int, method: str = "round") -> DataFrame:
@@ -92,7 +92,7 @@ def scale_numeric(df: DataFrame, column: str, method: str, stats: dict | None =
 def fit_bins(df: DataFrame, column: str, bins: int) -> dict[str, list[float]]:
     require_numeric(df, column)
     if bins < 1:
-        raise ValueError("`bins` should be a positive integer")
+        raise ValueError("binning needs one interval at least")
     m = statistics.moments(df, [column])[column]
     return {"edges": numbers.bin_edges(m.low, m.high, bins) if m.count else []}
 
@@ -108,7 +108,7 @@ def bin_numeric(
     """Equal-width, right-closed bins as label text; missing stays missing."""
     require_numeric(df, column)
     if labels is not None and len(labels) != bins:
-        raise ValueError("Bin labels must be one fewer than the number of bin edges")
+        raise ValueError(f"{bins} intervals need as many labels")
     edges = (stats or fit_bins(df, column, bins))["edges"]
     target = new_column or column
     if not edges:
@@ -191,7 +191,7 @@ def remove_outliers(
     _check(action, OUTLIER_ACTIONS, "action")
     if action == "replace":
         if value is None:
-            raise ValueError("Must provide 'value' when action is 'replace'")
+            raise ValueError("replacing outliers needs the value to put in")
         _require_number(column, value, "outlier replacement")
     fitted = stats or fit_outliers(df, column, method, action)
     x = _present(df, column)
@@ -213,7 +213,7 @@ def _present(df: DataFrame, column: str) -> Column:
 def _require_number(column: str, given: object, what: str) -> None:
     if not isinstance(given, (int, float)):
         raise TypeError(
-            f"Column '{column}' is numeric, but provided {what} '{given}' is {type(given).__name__}"
+            f"'{column}' holds numbers, which the {what} {given!r} is not"
         )
 
 

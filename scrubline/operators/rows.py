@@ -35,7 +35,7 @@ def deduplicate_rows(
     """
     require_batch(df, "removing duplicates")
     if keep not in KEEP:
-        raise ValueError(f"Unsupported keep option: {keep}")
+        raise ValueError(f"of equal rows the first, the last or none can stay, not {keep!r}")
     keys = list(subset) if subset else data_columns(df)
     require_columns(df, keys)
     rest = [c for c in df.columns if c not in keys]

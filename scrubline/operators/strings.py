@@ -42,7 +42,7 @@ def trim_spaces_batch(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardize_case(df: DataFrame, column: str, case: str) -> DataFrame:
     if case not in CASES:
-        raise ValueError("Invalid case option")
+        raise ValueError(f"no letter case {case!r}; cases are {', '.join(CASES)}")
     return _change(df, column, CASES[case])
 
 
@@ -72,9 +72,9 @@ def pad_string(
     df: DataFrame, column: str, width: int, fillchar: str = "0", side: str = "left"
 ) -> DataFrame:
     if side not in PAD_SIDES:
-        raise ValueError(f"Unsupported padding side: {side}")
+        raise ValueError(f"text has no side {side!r}; sides are {', '.join(PAD_SIDES)}")
     if not isinstance(fillchar, str) or len(fillchar) != 1:
-        raise TypeError("fillchar must be a character")
+        raise TypeError("text is padded with exactly one character")
     return _change(df, column, lambda c: text.pad(c, width, fillchar, side))
 
 

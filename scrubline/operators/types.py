@@ -66,7 +66,7 @@ def convert_column_type(
     """Convert one column; values that do not convert become null."""
     require_columns(df, [column])
     if target_type not in TARGETS:
-        raise ValueError(f"Unsupported target type: {target_type}")
+        raise ValueError(f"no type {target_type!r}; types are {', '.join(TARGETS)}")
     if target_type == "numeric":
         return df.withColumn(column, _numeric(df, column))
     if target_type == "string":

@@ -15,6 +15,9 @@ from scrubline.functions import dates, numbers, stats
 MAX_DISTINCT_BARS = 20
 HISTOGRAM_BINS = 20
 TOP_VALUES = 20
+
+# Rows looked at before the distinct values of a whole column are counted.
+PROOF_ROWS = 1_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Pairs per aggregate of the correlation matrix.
@@ -35,17 +38,21 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
         return spark.createDataFrame(rows, "statistic string, value double")
     if is_time(df, column):
         return _describe_times(df, column)
+    n, v = F.col("n"), F.col("v")
     found = (
         df.select(value(df, column).alias("v"))
-        .where(F.col("v").isNotNull())
+        .where(v.isNotNull())
         .groupBy("v")
         .agg(F.count("*").alias("n"))
-        .agg(F.sum("n").alias("count"), F.count("*").alias("unique"))
+        .agg(
+            F.sum("n").alias("count"), F.count("*").alias("unique"),
+            F.min(F.struct((-n).alias("n"), v.alias("v"))).alias("top"),
+        )
+        .select("count", "unique", F.col("top.v").cast("string").alias("top"), (-F.col("top.n")).alias("freq"))
         .first()
-    )
-    top, frequency = stats.top_value(df, column)
-    rows = [("count", str(found["count"] or 0)), ("unique", str(found["unique"])), ("top", top)]
-    rows.append(("freq", str(frequency) if frequency else None))
+    )
+    rows = [("count", str(found["count"] or 0)), ("unique", str(found["unique"])), ("top", found["top"])]
+    rows.append(("freq", str(found["freq"]) if found["freq"] else None))
     return spark.createDataFrame(rows, "statistic string, value string")
 
 
@@ -68,7 +75,9 @@ def numeric_distribution(df: DataFrame, column: str) -> DataFrame:
     require_numeric(df, column)
     require_batch(df, "a distribution")
     present = df.select(value(df, column).alias("v")).where(F.col("v").isNotNull())
-    few = present.distinct().limit(MAX_DISTINCT_BARS + 1).count() <= MAX_DISTINCT_BARS
+    # a few rows can prove that the values are many, and only that
+    many = len({r["v"] for r in present.head(PROOF_ROWS)}) > MAX_DISTINCT_BARS
+    few = not many and present.distinct().limit(MAX_DISTINCT_BARS + 1).count() <= MAX_DISTINCT_BARS
     if few:
         counted = present.groupBy("v").agg(F.count("*").alias("count"))
         # at most twenty rows are ranked here

@@ -143,18 +143,36 @@ def _says(template: str, **defaults) -> Callable[[dict], str]:
     return sentence
 
 
-# Wordings that depend on an argument.
-_FILL_WORDS = {
-    "custom": "with custom value: {value}",
-    "ffill": "using Forward Fill (previous valid value)",
-    "bfill": "using Backward Fill (next valid value)",
+_FILL = "Put the column's {method} where '{column}' has no value."
+_FILL_CASES = {
+    "custom": "Put {value} where '{column}' has no value.",
+    "zero": "Put 0 where '{column}' has no value.",
+    "ffill": "Carry the last value of '{column}' on to rows without one.",
+    "bfill": "Carry the next value of '{column}' back to rows without one.",
 }
-_FILL_BATCH_WORDS = {"custom": "with custom value: {value}"}
+_FILL_BATCH = "Put each column's {method} where {columns} have no value."
+_FILL_BATCH_CASES = {
+    "custom": "Put {value} where {columns} have no value.",
+    "zero": "Put 0 where {columns} have no value.",
+    "ffill": "Carry the last values of {columns} on to rows without one.",
+    "bfill": "Carry the next values of {columns} back to rows without one.",
+}
+_OUTLIERS = {
+    "null": "Empty the {method} outliers of '{column}'.",
+    "drop": "Leave out rows whose '{column}' is an outlier by {method}.",
+    "clip": "Pull the {method} outliers of '{column}' back to the fences.",
+    "replace": "Put {value} in place of the {method} outliers of '{column}'.",
+    "mean": "Put the column's mean in place of the {method} outliers of '{column}'.",
+    "median": "Put the column's median in place of the {method} outliers of '{column}'.",
+}
+_NEGATIVES = "Put {replacement_value} where '{column}' is below zero."
+_NEGATIVES_STATISTIC = "Put the column's {replacement_value} where '{column}' is below zero."
+_COPIES = "Of equal rows keep the {keep}."
+_COPIES_SUBSET = "Of rows that agree in {subset} keep the {keep}."
 
 
 def _say_fill(args: dict) -> str:
-    words = _FILL_WORDS.get(args.get("method"), "using {method}")
-    return _says("Fill nulls in '{column}' " + words + ".")(args)
+    return _says(_FILL_CASES.get(args.get("method"), _FILL))(args)
 
 
 def _first_columns(args: dict) -> dict:
@@ -162,32 +180,21 @@ def _first_columns(args: dict) -> dict:
 
 
 def _say_fill_batch(args: dict) -> str:
-    words = _FILL_BATCH_WORDS.get(args.get("method"), "using {method}")
-    return _says("Fill nulls in [{columns}] " + words + ".")(_first_columns(args))
+    return _says(_FILL_BATCH_CASES.get(args.get("method"), _FILL_BATCH))(_first_columns(args))
 
 
 def _say_outliers(args: dict) -> str:
-    action = args.get("action") or "null"
-    if action == "replace":
-        template = "Replace outliers in '{column}' (using {method}) with {value}."
-    elif action in ("mean", "median"):
-        template = "Replace outliers in '{column}' (using {method}) with column {action}."
-    else:
-        template = "Remove outliers from '{column}' using {method} method (action: {action})."
-    return _says(template, method="iqr", action="null")(args)
+    return _says(_OUTLIERS[args.get("action") or "null"], method="iqr")(args)
 
 
 def _say_negatives(args: dict) -> str:
     fill = args.get("replacement_value", 0.0)
     statistic = isinstance(fill, str) and fill.lower() in ("mean", "median")
-    word = "column " if statistic else ""
-    return _says("Replace negative values in '{column}' with " + word + "{replacement_value}.",
-                 replacement_value=0.0)(args)
+    return _says(_NEGATIVES_STATISTIC if statistic else _NEGATIVES, replacement_value=0.0)(args)
 
 
 def _say_dedup(args: dict) -> str:
-    scope = "based on columns: {subset}, " if args.get("subset") else ""
-    return _says("Remove duplicate rows (" + scope + "keep: {keep}).", keep="first")(args)
+    return _says(_COPIES_SUBSET if args.get("subset") else _COPIES, keep="first")(args)
 
 
 # ---- fitting ----
@@ -258,103 +265,103 @@ _add("fill_nulls", missing.fill_nulls, "Fill missing values of a column",
      {"column": _COLUMN, "method": _choice(*missing.FILL_METHODS), "value": _ANY}, _say_fill,
      gate="numeric", gate_when=lambda a: a["method"] in ("mean", "median"), fit=_fit_fill)
 _add("trim_spaces", strings.trim_spaces, "Strip white space from both ends of a string column",
-     {"column": _COLUMN}, _says("Trim spaces in '{column}'."), gate="string")
+     {"column": _COLUMN}, _says("Cut white space off both ends of '{column}'."), gate="string")
 _add("standardize_case", strings.standardize_case, "Bring a string column to one letter case",
      {"column": _COLUMN, "case": _choice(*strings.CASES)},
-     _says("Standardize '{column}' to {case} case."), gate="string")
+     _says("Write '{column}' in {case} case."), gate="string")
 _add("drop_rows_with_nulls", missing.drop_rows_with_nulls, "Drop the rows where a column is missing",
-     {"column": _COLUMN}, _says("Drop rows where '{column}' is null."))
+     {"column": _COLUMN}, _says("Keep only rows with a value in '{column}'."))
 _add("round_numeric", numbers.round_numeric, "Round a numeric column",
      {"column": _COLUMN, "decimals": Arg("integer"), "method": _choice(*numbers.ROUNDINGS)},
-     _says("Round '{column}' to {decimals} decimal(s) using {method}."), gate="numeric")
+     _says("Shorten '{column}' to {decimals} decimal places by {method}."), gate="numeric")
 _add("clip_numeric", numbers.clip_numeric, "Bound a numeric column",
      {"column": _COLUMN, "lower": _optional("number"), "upper": _optional("number")},
-     _says("Clip '{column}' between {lower} and {upper}.", lower="-inf", upper="inf"), gate="numeric")
+     _says("Hold '{column}' within {lower} and {upper}.", lower="-inf", upper="inf"), gate="numeric")
 _add("remove_outliers", numbers.remove_outliers, "Find outliers of a numeric column and treat them",
      {"column": _COLUMN, "method": _choice(*numbers.OUTLIER_METHODS, required=False),
       "action": _choice(*numbers.OUTLIER_ACTIONS, required=False), "value": _ANY},
      _say_outliers, gate="numeric", fit=_fit_outliers)
 _add("scale_numeric", numbers.scale_numeric, "Scale a numeric column by range or by deviation",
      {"column": _COLUMN, "method": _choice(*numbers.SCALINGS)},
-     _says("Scale '{column}' using {method} scaling."), gate="numeric",
+     _says("Rescale '{column}' by {method}."), gate="numeric",
      fit=lambda df, a: numbers.fit_scale(df, a["column"], a["method"]))
 _add("apply_math", numbers.apply_math, "Apply a function to a numeric column",
      {"column": _COLUMN, "operation": _choice(*numbers.MATH)},
-     _says("Apply {operation} to '{column}'."), gate="numeric")
+     _says("Take the {operation} of '{column}'."), gate="numeric")
 _add("bin_numeric", numbers.bin_numeric, "Sort a numeric column into intervals of equal width",
      {"column": _COLUMN, "bins": Arg("integer"), "labels": _optional("array"), "new_column": _NEW},
-     _says("Bin '{column}' into {bins} bins."), gate="numeric",
+     _says("Sort '{column}' into {bins} intervals."), gate="numeric",
      fit=lambda df, a: numbers.fit_bins(df, a["column"], a["bins"]))
 _add("replace_negative_values", numbers.replace_negative_values, "Replace negative numbers",
      {"column": _COLUMN, "replacement_value": Arg(("number", "string"), required=False)},
      _say_negatives, gate="numeric", fit=_fit_negatives)
 _add("replace_text", strings.replace_text, "Replace a piece of text",
      {"column": _COLUMN, "old_val": Arg(), "new_val": Arg()},
-     _says("Replace '{old_val}' with '{new_val}' in '{column}'."), gate="string")
+     _says("Write '{new_val}' for every '{old_val}' in '{column}'."), gate="string")
 _add("replace_text_regex", strings.replace_text_regex, "Replace the matches of a regular expression",
      {"column": _COLUMN, "pattern": Arg(), "replacement": Arg()},
-     _says("Replace pattern '{pattern}' with '{replacement}' in '{column}'."), gate="string")
+     _says("Write '{replacement}' for every match of '{pattern}' in '{column}'."), gate="string")
 _add("create_calculated_column", columns.create_calculated_column,
      "Add a column computed from others by a Spark SQL expression",
      {"new_column_name": Arg(), "formula": Arg()},
-     _says("Create column '{new_column_name}' as {formula}."))
+     _says("Compute '{new_column_name}' from {formula}."))
 _add("remove_special_chars", strings.remove_special_chars,
      "Keep only letters, digits and white space", {"column": _COLUMN},
-     _says("Remove special characters from '{column}'."), gate="string")
+     _says("Keep only letters, digits and spaces in '{column}'."), gate="string")
 _add("pad_string", strings.pad_string, "Pad a string column to a width",
      {"column": _COLUMN, "width": Arg("integer"), "fillchar": _optional("string"),
       "side": _choice(*strings.PAD_SIDES, required=False)},
-     _says("Pad '{column}' to width {width} (fill: '{fillchar}', side: {side}).",
+     _says("Lengthen '{column}' to {width} characters with '{fillchar}' on the {side}.",
            fillchar="0", side="left"), gate="string")
 _add("slice_string", strings.slice_string, "Cut out a range of characters",
      {"column": _COLUMN, "start": _optional("integer"), "end": _optional("integer")},
-     _says("Slice '{column}' from {start} to {end}.", start=0, end="end"), gate="string")
+     _says("Keep characters {start} to {end} of '{column}'.", start=0, end="end"), gate="string")
 _add("add_prefix_suffix", strings.add_prefix_suffix, "Put text before and after a string column",
      {"column": _COLUMN, "prefix": _optional("string"), "suffix": _optional("string")},
-     _says("Add prefix '{prefix}' and suffix '{suffix}' to '{column}'.", prefix="", suffix=""),
+     _says("Put '{prefix}' before and '{suffix}' after '{column}'.", prefix="", suffix=""),
      gate="string")
 _add("convert_to_datetime", dates.convert_to_datetime, "Convert a column to timestamps",
      {"column": _COLUMN, "format": _optional("string", "strptime format")},
-     _says("Convert '{column}' to datetime (format: {format}).", format="auto"), fit=_fit_dates)
+     _says("Read '{column}' as time stamps in format {format}.", format="auto"), fit=_fit_dates)
 _add("extract_date_part", dates.extract_date_part, "Take one part out of a date",
      {"column": _COLUMN, "part": _choice(*dates.PARTS), "new_column": _NEW},
-     _says("Extract {part} from '{column}'."), fit=_fit_dates)
+     _says("Take the {part} out of '{column}'."), fit=_fit_dates)
 _add("offset_date", dates.offset_date, "Shift a date column",
      {"column": _COLUMN, "value": Arg("integer"), "unit": _choice(*dates.OFFSET_UNITS),
       "new_column": _NEW},
-     _says("Offset '{column}' by {value} {unit}."), fit=_fit_dates)
+     _says("Move '{column}' by {value} {unit}."), fit=_fit_dates)
 _add("date_difference", dates.date_difference, "Time from a date column to a reference date",
      {"column": _COLUMN, "reference_date": _optional("string", "'today' or a date"),
       "unit": _choice(*dates.DIFFERENCE_UNITS, required=False), "new_column": _NEW},
-     _says("Calculate difference in {unit} between '{column}' and {reference_date}.",
+     _says("Measure the {unit} from '{column}' to {reference_date}.",
            unit="days", reference_date="today"), fit=_fit_dates)
 _add("convert_column_type", types.convert_column_type, "Convert a column to a logical type",
      {"column": _COLUMN, "target_type": _choice(*types.TARGETS)},
-     _says("Convert '{column}' to {target_type} type."), fit=_fit_type)
+     _says("Turn '{column}' into {target_type} values."), fit=_fit_type)
 _add("deduplicate_rows", rows.deduplicate_rows, "Remove duplicate rows",
      {"subset": _optional("array"), "keep": _choice(*rows.KEEP, required=False)}, _say_dedup)
 _add("drop_column", columns.drop_column, "Remove a column", {"column": _COLUMN},
-     _says("Drop column '{column}' from dataset."))
+     _says("Leave out '{column}'."))
 _add("rename_column", columns.rename_column, "Rename a column",
-     {"column": _COLUMN, "new_name": Arg()}, _says("Rename column '{column}' to '{new_name}'."))
+     {"column": _COLUMN, "new_name": Arg()}, _says("Call '{column}' '{new_name}' from here on."))
 _add("split_column", columns.split_column, "Split a column at a delimiter",
      {"column": _COLUMN, "delimiter": Arg(), "new_columns": _COLUMNS,
       "keep_original": _optional("boolean")},
-     _says("Split '{column}' by '{delimiter}' into columns: {new_columns}."))
+     _says("Cut '{column}' at each '{delimiter}' into {new_columns}."))
 _add("merge_columns", columns.merge_columns, "Join columns into one text column",
      {"columns": _COLUMNS, "separator": Arg(), "new_column": Arg(),
       "drop_original": _optional("boolean")},
-     _says("Merge columns [{columns}] into '{new_column}' (separator: '{separator}')."))
+     _says("Join {columns} with '{separator}' as '{new_column}'."))
 _add("fill_nulls_batch", missing.fill_nulls_batch, "Fill missing values of several columns",
      {"columns": _COLUMNS, "method": _choice(*missing.FILL_METHODS), "value": _ANY},
      _say_fill_batch, fit=_fit_fill_batch, all_columns=data_columns)
 _add("trim_spaces_batch", strings.trim_spaces_batch, "Strip white space in several string columns",
-     {"columns": _COLUMNS}, lambda a: _says("Trim spaces in [{columns}].")(_first_columns(a)),
+     {"columns": _COLUMNS}, lambda a: _says("Cut white space off both ends of {columns}.")(_first_columns(a)),
      all_columns=text_columns)
 _add("standardize_case_batch", strings.standardize_case_batch,
      "Bring several string columns to one letter case",
      {"columns": _COLUMNS, "case": _choice(*strings.CASES)},
-     lambda a: _says("Standardize [{columns}] to {case} case.")(_first_columns(a)),
+     lambda a: _says("Write {columns} in {case} case.")(_first_columns(a)),
      all_columns=text_columns)
 _add("drop_columns_batch", columns.drop_columns_batch, "Remove several columns",
-     {"columns": _COLUMNS}, _says("Drop columns: [{columns}]."))
+     {"columns": _COLUMNS}, _says("Leave out {columns}."))

@@ -120,6 +120,15 @@ query("w2_backward_fill", EVENTS,
       f"SELECT event_id, ts, user_id, {_BACKWARD.format('value')}, {_BACKWARD.format('event_type')} FROM {{t}}")(
     lambda df: ops.fill_nulls_batch(df, ["value", "event_type"], "bfill", order_by="event_id"))
 
+# The same cut into many ranges, as large tables are.
+for _name, _method, _filled_sql in (
+    ("w1_forward_fill_ranged", "ffill", _FORWARD), ("w2_backward_fill_ranged", "bfill", _BACKWARD),
+):
+    query(_name, EVENTS,
+          f"SELECT event_id, ts, user_id, {_filled_sql.format('value')}, {_filled_sql.format('event_type')} FROM {{t}}")(
+        lambda df, m=_method: ops.fill_nulls_batch(
+            df, ["value", "event_type"], m, order_by="event_id", rows_per_range=500))
+
 query("m5_fill_custom", EVENTS,
       "SELECT event_id, ts, user_id, value, coalesce(event_type, 'unknown') AS event_type FROM {t}")(
     lambda df: ops.fill_nulls(df, "event_type", "custom", "unknown"))
@@ -291,6 +300,9 @@ query("n6_outliers_iqr_null", EVENTS,
 query("n7_outliers_zscore_null", EVENTS,
       _event("CASE WHEN abs((value - m) / s) > 3 THEN NULL ELSE value END") + ", " + _ZSTATS)(
     lambda df: ops.remove_outliers(df, "value", "zscore"))
+query("n7_outliers_zscore_drop", EVENTS,
+      _event("value") + ", " + _ZSTATS + " WHERE value IS NULL OR NOT abs((value - m) / s) > 3")(
+    lambda df: ops.remove_outliers(df, "value", "zscore", "drop"))
 query("n8_outliers_clip", EVENTS,
       _event("ROUND(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 6)") + ", " + _FENCES)(
     lambda df: rounded(ops.remove_outliers(df, "value", "iqr", "clip"), "value"))

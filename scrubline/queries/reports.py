@@ -11,6 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from scrubline import operators as ops
+from scrubline.functions import stats
 from scrubline.operators import checks, diff
 from scrubline.plans import profile, recipe, report, suggest
 from scrubline.queries.base import (
@@ -207,6 +208,8 @@ query("c12_executive_summary", MESSY, _TEXT)(
 
 query("f4_high_missing_columns", MESSY, _SUMMARY + " WHERE missing_pct > 30")(
     lambda df: report.high_missing_columns(_quality(df).summary_frame(df.sparkSession)))
+query("f4_high_missing_columns_15", MESSY, _SUMMARY + " WHERE missing_pct > 15")(
+    lambda df: report.high_missing_columns(_quality(df).summary_frame(df.sparkSession), 15))
 query("k1_summary_order", MESSY,
       _REPORT + "SELECT \"column\", CAST(row_number() OVER (ORDER BY issue_score DESC, missing_pct DESC, seq) "
       "AS BIGINT) AS rank FROM z")(
@@ -233,6 +236,12 @@ query("c14_describe_text", EVENTS,
       "SELECT 'freq', CAST(n AS STRING) FROM top")(
     lambda df: profile.describe_column(df, "event_type"))
 
+_QUARTERS = (0.25, 0.5, 0.75)
+query("c8_quartiles_searched", EVENTS, " UNION ALL ".join(
+    f"SELECT CAST({p} AS DOUBLE) AS p, ROUND(quantile_cont(value, {p}), 6) AS value FROM {{t}}" for p in _QUARTERS))(
+    lambda df: rounded(df.sparkSession.createDataFrame(
+        list(stats.exact_quantiles(df, {"value": _QUARTERS}, percentile_rows=100, sorted_rows=500)["value"].items()),
+        "p double, value double"), "value"))
 query("c15_distribution_few", LINES,
       "SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS position, "
       "CAST(l_linenumber AS STRING) AS bucket, count(*) AS count FROM {t} GROUP BY l_linenumber")(
@@ -360,6 +369,17 @@ query("x5_diff_summary", CUSTOMERS,
         "summary string"))
 
 
+@query("x6_preview_joined", EVENTS,
+       "SELECT TRUE AS success, count(*) AS rows_affected FROM (SELECT value, "
+       "last_value(value IGNORE NULLS) OVER (ORDER BY event_id) AS before FROM {t}) "
+       "WHERE value IS NULL AND before IS NOT NULL")
+def _preview_joined(df):
+    step = {"tool_name": "fill_nulls", "arguments": {"column": "value", "method": "ffill", "order_by": "event_id"}}
+    found = recipe.preview_step(df, step, {"value": "numeric"}, key="event_id")
+    return df.sparkSession.createDataFrame(
+        [(found["success"], found["changes"]["rows_affected"])], "success boolean, rows_affected bigint")
+
+
 @query("x6_preview", CUSTOMERS,
        "SELECT TRUE AS success, count(*) FILTER (bal) AS rows_affected, "
        "'✏️ ' || count(*) FILTER (bal) || ' rows modified | 📊 ' || count(*) FILTER (bal) || "
@@ -395,46 +415,48 @@ def _graded(percent, high, medium):
     return f"CASE WHEN {percent} > {high} THEN 'high' WHEN {percent} > {medium} THEN 'medium' ELSE 'low' END"
 
 
+_N = "' || CAST(value AS BIGINT) || '"
+
+
 def _fill_rule(column, method, words):
     share = f"(SELECT missing_pct FROM s WHERE \"column\" = '{column}')"
     return _rule("completeness", column, "missing_count", "fill_nulls",
                  _arguments(column=column, method=method),
-                 f"'Fill ' || CAST(value AS BIGINT) || ' missing {words[0]} in ''{column}'' with {words[1]}'",
+                 f"'{_N} rows lack {words}'",
                  "value", _graded(share, 20, 5), "missing")
 
 
-_N = "' || CAST(value AS BIGINT) || '"
 _SUGGESTIONS = _REPORT + ", q AS (" + " UNION ALL ".join([
     _rule("dataset_level", "", "duplicate_rows", "deduplicate_rows", _arguments(keep="first"),
-          f"'Remove {_N} duplicate rows'", "value", "'high'", "duplicates"),
-    _fill_rule("status", "mode", ("values", "most common value")),
-    _fill_rule("price", "median", ("values", "median")),
-    _fill_rule("placed", "ffill", ("dates", "forward fill")),
-    _fill_rule("amount", "median", ("values", "median")),
+          f"'{_N} rows repeat an earlier one: keep the first of each'", "value", "'high'", "duplicates"),
+    _fill_rule("status", "mode", "''status'': put in its most frequent value"),
+    _fill_rule("price", "median", "''price'': put in its median"),
+    _fill_rule("placed", "ffill", "a date in ''placed'': carry the one before on"),
+    _fill_rule("amount", "median", "''amount'': put in its median"),
     _rule("string_quality", "status", "leading_trailing_spaces", "trim_spaces", _arguments(column="status"),
-          f"'Trim spaces from {_N} values in ''status'''", "value", "'medium'", "formatting"),
+          f"'{_N} values of ''status'' begin or end with white space: trim them'", "value", "'medium'", "formatting"),
     _rule("string_quality", "status", "mixed_casing", "standardize_case",
           _arguments(column="status", case="title"),
-          "'Standardize casing in ''status'' to title case'", "n", "'low'", "formatting"),
+          "'''status'' mixes letter cases: write it in title case'", "n", "'low'", "formatting"),
     _rule("string_quality", "status", "empty_strings", "trim_spaces", _arguments(column="status"),
-          f"'Replace {_N} empty strings in ''status'''", "value", "'medium'", "missing",
+          f"'{_N} values of ''status'' are blank: count them as missing and fill them'", "value", "'medium'", "missing",
           "status_blank > status_spaces"),
     _rule("string_quality", "status", "empty_strings", "fill_nulls",
           _arguments(column="status", method="mode"),
-          f"'Replace {_N} empty strings in ''status'''", "value", "'medium'", "missing"),
+          f"'{_N} values of ''status'' are blank: count them as missing and fill them'", "value", "'medium'", "missing"),
     _rule("outliers", "price", "outlier_count", "remove_outliers",
           _arguments(column="price", method="iqr", action="clip"),
-          f"'Clip {_N} outliers in ''price'' to valid range'", "value",
+          f"'{_N} values of ''price'' lie far out: pull them back to the fences'", "value",
           _graded("(value * 100.0 / n_price)", 10, 3), "outliers"),
     _rule("numeric_validity", "price", "negative_values", "replace_negative_values",
           _arguments(column="price", replacement_value=0),
-          f"'Replace {_N} negative values in ''price'' with 0'", "value", "'medium'", "outliers"),
+          f"'{_N} values of ''price'' are below zero: make them 0'", "value", "'medium'", "outliers"),
     _rule("type_parsing", "placed", "datetime_parse_failures", "convert_to_datetime",
           _arguments(column="placed"),
-          f"'Convert ''placed'' to datetime (fix {_N} parse errors)'", "value", "'medium'", "type"),
+          f"'{_N} values of ''placed'' are no dates: convert the column to time stamps'", "value", "'medium'", "type"),
     _rule("type_parsing", "amount", "numeric_parse_failures", "convert_column_type",
           _arguments(column="amount", target_type="numeric"),
-          f"'Convert ''amount'' to numeric (coerce {_N} invalid values to null)'", "value", "'medium'", "type"),
+          f"'{_N} values of ''amount'' are no numbers: convert the column, they become null'", "value", "'medium'", "type"),
 ]) + ") "
 
 query("g1_suggestions", MESSY, _SUGGESTIONS + "SELECT * FROM q")(lambda df: _suggested(df).drop("seq"))
@@ -491,8 +513,8 @@ def _replayed(df):
 
 @query("g5_g6_audit_log", MESSY_ORDERED, _SUGGESTIONS.replace("{t}", MESSY.sql) + "SELECT CAST(row_number() OVER (ORDER BY impact_score DESC) AS INTEGER) "
        "AS seq, tool_name, arguments, CASE tool_name WHEN 'convert_to_datetime' "
-       "THEN 'Convert ''placed'' to datetime (format: auto).' "
-       "ELSE 'Convert ''amount'' to numeric type.' END AS description FROM q WHERE category = 'type'")
+       "THEN 'Read ''placed'' as time stamps in format auto.' "
+       "ELSE 'Turn ''amount'' into numeric values.' END AS description FROM q WHERE category = 'type'")
 def _audit_log(df):
     found = suggest.suggestions_by_category(
         suggest.generate_suggestions(_quality(df).report), "type")

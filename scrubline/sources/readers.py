@@ -80,7 +80,7 @@ def read_csv(
         .csv(path)
     )
     columns = df.columns
-    cleaned = [F.when(~named(c).isin(NA_TOKENS), named(c)).alias(c) for c in columns]
+    cleaned = [F.expr(_without_missing(c)).alias(c) for c in columns]
     if row_id:
         place = [
             F.col("_metadata.file_path").alias("__file"),
@@ -100,21 +100,19 @@ def read_csv(
     return narrow_types(df, columns) if narrow else df
 
 
+def _without_missing(column: str) -> str:
+    """The column without the texts that mean a missing value; as SQL text, which is one call per column."""
+    name = "`" + column.replace("`", "``") + "`"
+    return f"CASE WHEN {name} NOT IN ({', '.join(map(repr, NA_TOKENS))}) THEN {name} END"
+
+
 def narrow_types(df: DataFrame, columns: list[str]) -> DataFrame:
     """Text columns to whole numbers, numbers or truth values where every
     present value fits; truth values only when none is missing."""
-    parts = [F.count("*")]
-    for c in columns:
-        v = named(c)
-        fits_long = v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull()
-        parts += [
-            F.count(v), count_where(fits_long), F.count(numbers.parse_number(v)),
-            count_where(v.isin(TRUE_TOKENS + FALSE_TOKENS)),
-        ]
-    row = df.agg(*parts).first()
+    found = _text_counts(df, columns)
     changed: dict[str, Column] = {}
     for i, c in enumerate(columns):
-        present, whole, number, truth = row[1 + 4 * i : 5 + 4 * i]
+        rows, present, whole, number, truth = found.get(i, (0,) * 5)
         if not present:
             # a column without any value counts as numeric
             changed[c] = F.lit(None).cast("double")
@@ -122,6 +120,26 @@ def narrow_types(df: DataFrame, columns: list[str]) -> DataFrame:
             changed[c] = named(c).try_cast("bigint")
         elif number == present:
             changed[c] = numbers.parse_number(named(c))
-        elif truth == row[0]:
+        elif truth == rows:
             changed[c] = named(c).isin(TRUE_TOKENS)
     return df.withColumns(changed) if changed else df
+
+
+def _text_counts(df: DataFrame, columns: list[str]) -> dict[int, tuple[int, ...]]:
+    """Per column number: rows, values present, whole numbers, numbers and truth values.
+
+    The columns become rows of (number, value) inside the scan and are counted before the shuffle, so a
+    wide table is parsed once and its plan stays small.
+    """
+    if not columns:
+        return {}
+    v = F.col("v")
+    counted = (
+        df.select(F.posexplode(F.array(*map(named, columns))).alias("i", "v"))
+        .groupBy("i")
+        .agg(
+            F.count("*"), F.count(v), count_where(v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull()),
+            F.count(numbers.parse_number(v)), count_where(v.isin(TRUE_TOKENS + FALSE_TOKENS)),
+        )
+    )
+    return {r[0]: tuple(r[1:]) for r in counted.collect()}

@@ -120,3 +120,10 @@ def test_keys_that_repeat_or_miss_are_refused(spark, keys):
     df = spark.createDataFrame([(k, 1) for k in keys], "k bigint, x bigint")
     with pytest.raises(ValueError, match="key"):
         diff.count_changes(df, df, "k")
+
+
+def test_wide_tables(spark):
+    before = spark.range(10).selectExpr("id AS _row_id", *[f"id + {i} AS c{i}" for i in range(600)])
+    after = before.withColumns({"c7": before["c7"] + 1, "c599": before["c599"] * 0})
+    found = diff.count_changes(before, after)
+    assert found["columns_affected"] == ["c7", "c599"] and found["total_cells_changed"] == 20

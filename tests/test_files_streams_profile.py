@@ -239,3 +239,11 @@ def test_scans_share_one_job(spark):
     jobs = tracker.getJobIdsForGroup("one-scan")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 1 <= len(jobs) <= 2
+
+
+def test_wide_csv(spark, tmp_path):
+    lines = [",".join(f"c{i}" for i in range(600))]
+    lines += [",".join(f"{r}" if i % 3 else f"{r}.5" if i % 2 else "x" for i in range(600)) for r in range(50)]
+    (tmp_path / "wide.csv").write_text("\n".join(lines))
+    types = readers.read_csv(spark, str(tmp_path / "wide.csv")).dtypes
+    assert types == [(f"c{i}", "bigint" if i % 3 else "double" if i % 2 else "string") for i in range(600)]

@@ -109,16 +109,16 @@ def test_refusals(data, call, message):
 
 def test_descriptions():
     say = registry.describe_tool_call
-    assert say(step("fill_nulls")) == "Fill nulls in 'a' using mean."
-    assert "Forward Fill" in say(step("fill_nulls", column="a", method="ffill"))
-    assert say(step("fill_nulls", column="a", method="custom", value=0)).endswith("custom value: 0.")
-    assert say(step("clip_numeric", column="a", lower=1)) == "Clip 'a' between 1 and inf."
-    assert say(step("remove_outliers", column="a", action="mean")).endswith("column mean.")
-    assert say(step("deduplicate_rows", keep="last")) == "Remove duplicate rows (keep: last)."
-    assert "based on columns: x, y" in say(step("deduplicate_rows", subset=["x", "y"]))
+    assert say(step("fill_nulls")) == "Put the column's mean where 'a' has no value."
+    assert "last value" in say(step("fill_nulls", column="a", method="ffill"))
+    assert say(step("fill_nulls", column="a", method="custom", value=0)).startswith("Put 0 where")
+    assert say(step("clip_numeric", column="a", lower=1)) == "Hold 'a' within 1 and inf."
+    assert say(step("remove_outliers", column="a", action="mean")).startswith("Put the column's mean")
+    assert say(step("deduplicate_rows", keep="last")) == "Of equal rows keep the last."
+    assert "agree in x, y" in say(step("deduplicate_rows", subset=["x", "y"]))
     batch = say(step("fill_nulls_batch", columns=list("abcde"), method="mode"))
-    assert batch == "Fill nulls in [a, b, c (+2 more)] using mode."
-    assert say(step("date_difference", column="d")).endswith("'d' and today.")
+    assert batch == "Put each column's mode where a, b, c (+2 more) have no value."
+    assert say(step("date_difference", column="d")).endswith("from 'd' to today.")
     assert say({"tool_name": "nothing", "arguments": {}}) == "Unknown action"
 
 
@@ -152,8 +152,8 @@ def test_long_chains_can_be_cut(data, values):
 def test_log_undo_and_replay(spark, data, values):
     log = recipe.CleaningLog(data, TYPES).apply(step("trim_spaces"))
     log.apply(step("standardize_case"), step("fill_nulls"))
-    assert log.descriptions() == ["Trim spaces in 's'.", "Standardize 's' to upper case.",
-                                  "Fill nulls in 'a' using mean."]
+    assert log.descriptions() == ["Cut white space off both ends of 's'.", "Write 's' in upper case.",
+                                  "Put the column's mean where 'a' has no value."]
     again, _, _ = recipe.apply_steps(data, recipe.steps_from_json(log.to_json()), TYPES)
     assert values(again, "s") == values(log.df, "s") == ["X Y", "X", None, "X"]
     rows = log.frame(spark).collect()

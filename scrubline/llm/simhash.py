@@ -15,8 +15,11 @@ lanes are beyond the radius. A bucket yields a spanning set of links, not its
 pairs.
 
 Equal fingerprints are one row before they are compared, so a text that a third of
-all rows share costs one row. A bucket can hold at most the fingerprints that
-share its three blocks.
+all rows share costs one row. A bucket of more than ``BUCKET_ROWS`` fingerprints, as near
+copies make it, is dealt out again: its members differ only in the other blocks, which are cut
+into ``radius + 2`` parts, and those within the radius agree in some two of them. What agrees in
+three blocks and two parts has few bits left to differ in (at most 14 at radius 2), so the
+fingerprints of such a bucket are bounded (16,384) at any size of the table.
 
 Defined results: a null text is empty; a text without words has fingerprint zero
 and is linked like any other; one of fewer words than a shingle is one shingle; a
@@ -44,6 +47,9 @@ SEED = 42
 #: Bits of the fingerprints that tell a similarity, and the bands of least values that buckets come from.
 WIDE_BITS, BANDS, BAND_ROWS = 512, 12, 4
 
+#: Fingerprints of a bucket beyond which it is dealt out by finer keys.
+BUCKET_ROWS = 8_192
+
 #: Words of 64 lanes that are compared at once.
 PAIRS_AT_ONCE = 1 << 18
 
@@ -95,12 +101,22 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     )
 
 
+def _agreeing(bits: list[int], blocks: int, some: int) -> list[int]:
+    """Cut bit numbers into blocks; for every choice of ``some`` of them, the mask of their bits."""
+    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[edges[k] : edges[k + 1]]) for k in range(blocks)]
+    return [sum(chosen) for chosen in combinations(masks, some)]
+
+
 def block_masks(radius: int) -> list[int]:
     """For every choice of three blocks, the mask of their bits."""
-    n = radius + 3
-    edges = [64 * k // n for k in range(n + 1)]
-    blocks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(n)]
-    return [sum(some) for some in combinations(blocks, 3)]
+    return _agreeing(list(range(64)), radius + 3, 3)
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The masks that deal out what agrees in ``mask``: two parts of the other bits besides."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | part for part in _agreeing(rest, radius + 2, 2)]
 
 
 def close_pairs(values: np.ndarray, last: np.ndarray, radius: int) -> Iterator[np.ndarray]:
@@ -214,15 +230,27 @@ def compared(dealt: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) between the fingerprints (fp) that give the same components as all links."""
+def links(distinct: DataFrame, radius: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) between the fingerprints (fp) that give the same components as all links.
+
+    Buckets of more than ``bucket_rows`` are found by counting and dealt out by finer keys.
+    """
+    fp = F.col("fp")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [
-        F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(block_masks(radius))
-    ]
+    bucket = lambda m, *tag: F.xxhash64(*map(F.lit, tag), fp.bitwiseAND(F.lit(signed(m))))
+    masks = block_masks(radius)
+    coarse = F.array(*[F.struct(F.lit(k).alias("k"), bucket(m, k).alias("key")) for k, m in enumerate(masks)])
+    dealt = distinct.select("fp", F.inline(coarse))
+    full = dealt.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.lit(True).alias("full"))
+    finer = F.array(
+        *[F.array(*[bucket(f, k, j) for j, f in enumerate(finer_masks(m, radius))]) for k, m in enumerate(masks)]
+    )
+    keys = F.when(F.col("full"), F.get(finer, F.col("k"))).otherwise(F.array("key"))
     little = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("fp"), 16, "0"), k, 2) for k in range(15, 0, -2)]))
-    dealt = distinct.select(F.col("fp").alias("node"), little.alias("bits"), F.explode(F.array(*keys)).alias("key"))
-    return compared(dealt, radius)
+    buckets = dealt.join(full, "key", "left").select(
+        fp.alias("node"), little.alias("bits"), F.explode(keys).alias("key")
+    )
+    return compared(buckets, radius)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

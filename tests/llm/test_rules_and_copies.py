@@ -132,8 +132,9 @@ def test_near_groups(request, table):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 5])
-def test_links_of_close_fingerprints(spark, radius):
+@pytest.mark.parametrize("radius, bucket_rows", [(0, 1), (1, 1), (2, simhash.BUCKET_ROWS), (2, 1), (2, 8), (5, 2)])
+def test_links_of_close_fingerprints(spark, radius, bucket_rows):
+    """Also with buckets dealt out again as soon as they have company."""
     rng = np.random.default_rng(radius)
     values = set()
     for _ in range(40):  # clusters and chains
@@ -145,11 +146,17 @@ def test_links_of_close_fingerprints(spark, radius):
     prints = {v: v for v in values}
     want = classes(prints, radius)
     df = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp long").repartition(4)
-    got = {r["node"] % 2**64: r["root"] % 2**64 for r in components(simhash.links(df, radius)).collect()}
+    got = {r["node"] % 2**64: r["root"] % 2**64 for r in components(simhash.links(df, radius, bucket_rows)).collect()}
     groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
     assert {g for g in groups(want) if len(g) > 1} == groups(got)
 
 
+def test_finer_buckets_are_bounded():
+    for mask in simhash.block_masks(2):
+        for finer in simhash.finer_masks(mask, 2):
+            assert finer & mask == mask and 64 - finer.bit_count() <= 14
+
+
 def test_hot_bucket():
     """All fingerprints in one bucket, more than a word of lanes."""
     rng = np.random.default_rng(3)

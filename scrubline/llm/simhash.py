@@ -45,7 +45,10 @@ from scrubline.llm.components import components
 SEED = 42
 
 #: Bits of the fingerprints that tell a similarity, and the bands of least values that buckets come from.
-WIDE_BITS, BANDS, BAND_ROWS = 512, 12, 4
+WIDE_BITS, BANDS, BAND_ROWS = 512, 20, 4
+
+#: Standard deviations by which the fingerprints of similar texts may be further apart than expected.
+DEVIATIONS = 5
 
 #: Fingerprints of a bucket beyond which it is dealt out by finer keys.
 BUCKET_ROWS = 8_192
@@ -271,11 +274,11 @@ def similarity_radius(similarity: float) -> int:
     """How many of the WIDE_BITS bits differ, at most, between texts of that Jaccard similarity.
 
     The angle between two shingle sets of similarity s has cosine 2s / (1 + s); each bit
-    differs with probability angle / pi. 1.3 standard deviations are added, so that nine
-    of ten pairs right at the similarity are within the radius.
+    differs with probability angle / pi. ``DEVIATIONS`` standard deviations are added: this only
+    leaves out pairs that need not be checked.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE_BITS * share + 1.3 * math.sqrt(WIDE_BITS * share * (1 - share)))
+    return round(WIDE_BITS * share + DEVIATIONS * math.sqrt(WIDE_BITS * share * (1 - share)))
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -288,51 +291,137 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 _FACTORS = np.array([_mixed(np.zeros(1, np.uint64), k)[0] | np.uint64(1) for k in range(BANDS * BAND_ROWS)], np.uint64)
 
 
-def sketch(data: bytes, shingle: int) -> tuple[bytes, list[int]]:
-    """A wide fingerprint, and the bucket keys of a text: bands of least shingle values."""
-    hashes = shingle_hashes(data, shingle)
-    if not len(hashes):
-        hashes = np.zeros(1, np.uint64)
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes in order; a text without words has one, zero."""
+    hashes = np.unique(shingle_hashes(data, shingle))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def sketch(data: bytes, shingle: int) -> tuple[int, bytes, list[int]]:
+    """The hash of a text's shingle set, its wide fingerprint, and its bucket keys: bands of least shingle values."""
+    hashes = shingle_set(data, shingle)
     bits = majority(np.stack([_mixed(hashes, k) for k in range(WIDE_BITS // 64)], axis=1))
     least = (hashes[:, None] * _FACTORS).min(axis=0).reshape(BANDS, BAND_ROWS)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
-    return bits.tobytes(), keys
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), bits.tobytes(), keys
 
 
-def similar_groups(
-    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(key, component_id) of the rows that are similar to another one, by wide fingerprints.
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets, in order, have at least that Jaccard similarity."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int(np.count_nonzero(a[at] == b))
+    return common / (len(a) + len(b) - common) >= similarity
 
-    Shingles are of words as in ``near_groups``. Candidates share a band of least
-    shingle values, which texts of the similarity do all but surely; in their bucket they
-    are compared bit-sliced, as above, at the radius that belongs to the similarity.
-    Equal fingerprints are one row before that. Rows with a null key are left out.
+
+def checked_pairs(bits: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs that join all rows that similar pairs join.
+
+    Every pair is compared by its shingle sets, unless other pairs have joined it
+    already, or its sizes or fingerprints show that it is not similar.
     """
+    label, found = np.arange(len(sets)), []
+    size = np.array([len(x) for x in sets], np.int64)
+    for i in range(len(sets) - 1):
+        at = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        at = at[np.minimum(size[at], size[i]) / np.maximum(size[at], size[i]) >= similarity]
+        at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= radius]
+        for j in at.tolist():
+            if label[j] != label[i] and similar(sets[i], sets[j], similarity):
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def checked(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the similar rows of each group; ``members`` are rows (key, node, bits, text)."""
+    radius = similarity_radius(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = [], None
         for batch in batches:
-            for part, texts in slices(batch, 1):
-                bits, keys = zip(*(sketch(t, shingle) for t in texts))
-                yield record(key=part.column(0), bits=pa.array(bits, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())))
+            for part, texts in slices(batch, 3):
+                a, b = [], []
+                for k, *row, t in zip(*(part.column(c).to_pylist() for c in range(3)), texts):
+                    if k != key:
+                        joined(group, a, b)
+                        group, key = [], k
+                    group.append((*row, shingle_set(t, shingle)))
+                yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+        a, b = [], []
+        joined(group, a, b)
+        yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+    def joined(group: list, a: list[int], b: list[int]) -> None:
+        if len(group) > 1:
+            node, bits, sets = zip(*group)
+            bits = np.frombuffer(b"".join(bits), "<u8").reshape(len(node), -1)
+            for i, j in checked_pairs(bits, sets, radius, similarity):
+                a.append(node[i])
+                b.append(node[j])
+
+    return (
+        members.select("key", "node", "bits", "text")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(work, "a long, b long")
+    )
+
+
+def _similar_rows(rows: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(_row, key, component_id) of the rows, numbered by ``_row``, that are similar to another one."""
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.filter("key is not null").mapInArrow(work, "key long, bits binary, keys array<long>")
-    rows = written(rows.withColumn("node", F.xxhash64("bits")), "sketches")
-    nodes = rows.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, 2):
+                nodes, bits, keys = zip(*(sketch(t, shingle) for t in texts))
+                yield record(
+                    row=part.column(0), key=part.column(1), node=pa.array(nodes, pa.int64()),
+                    bits=pa.array(bits, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())),
+                )
+
+    rows = rows.select(
+        F.col("_row").alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
+    ).filter("key is not null")
+    sketches = rows.mapInArrow(work, "row long, key long, node long, bits binary, keys array<long>")
+    sketches = written(sketches, "sketches")
+    nodes = sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "keys")], F.min("row").alias("row"))
     dealt = nodes.select("node", "bits", F.explode("keys").alias("key"))
-    root = components(compared(dealt, similarity_radius(similarity)))
-    classes = rows.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    group = components(compared(dealt, similarity_radius(similarity))).withColumnRenamed("root", "key")
+    members = nodes.select("node", "bits", "row").join(group, "node")
+    members = rows.select("row", "text").join(members.hint("shuffle_hash"), "row")
+    root = components(checked(members, shingle, similarity))
+    classes = sketches.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     classes = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1")
     classes = classes.select("node", "root").join(least.drop("n"), "root")
-    return rows.select("key", "node").join(classes, "node").select(F.col("key").alias(key), "component_id")
+    return sketches.select(F.col("row").alias("_row"), "key", "node").join(classes, "node").drop("node", "root")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number ``_row`` for each row, written once."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def similar_groups(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(key, component_id) of the rows that are similar to another one, or reach it over similar ones.
+
+    Two texts are similar if their sets of shingles, of words as in ``near_groups``, have at
+    least that Jaccard similarity. Candidates share a band of least shingle values, which texts
+    of the similarity do all but surely (all but 3 of 100,000 pairs right at 0.8), and their
+    fingerprints are not too far apart, compared bit-sliced as above. What candidates connect meets
+    in one group, where links are checked by the shingle sets themselves.
+    Equal sets are one row before that. Rows with a null key are left out.
+    """
+    found = _similar_rows(_numbered(df.select(key, text)), key, text, shingle, similarity)
+    return found.select(F.col("key").alias(key), "component_id")
 
 
 def drop_similar(
     df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``df`` with one row of each class of similar texts: that of the smallest key, all columns as they are."""
-    groups = similar_groups(df, key, text, shingle, similarity)
-    drop = groups.filter(F.col(key) > F.col("component_id")).select(F.col(key).alias("_key"))
-    return df.join(drop.hint("shuffle_hash"), F.col(key) == F.col("_key"), "left_anti")
+    rows = _numbered(df)
+    drop = _similar_rows(rows, key, text, shingle, similarity).filter(F.col("key") > F.col("component_id"))
+    return rows.join(drop.select("_row").hint("shuffle_hash"), "_row", "left_anti").select(*df.columns)

@@ -206,3 +206,37 @@ def test_similar_texts(spark, empty):
     assert len(kept - set(range(40))) <= 1  # similar ones go
     assert simhash.drop_similar(empty).count() == 0
     assert simhash.drop_similar(empty).columns == empty.columns
+
+
+def test_similarity_is_that_of_the_sets(spark):
+    """Pairs from 0.70 to 0.85, against brute force over the shingle sets."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 240)]
+        rows.append((2 * k, " ".join(words)))
+        for at in np.linspace(3, 230, int(rng.integers(4, 10))).astype(int):
+            words[at] = "new"
+        rows.append((2 * k + 1, " ".join(words)))
+    rows += [(1000, "a b c d e " + "x " * 300), (1001, "f g h i j " + "x " * 300)]  # much the same words, few shingles
+    alike = {k: jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(151)}
+    assert sum(0.7 < x < 0.8 for x in alike.values()) > 20 < sum(0.8 <= x < 0.85 for x in alike.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.drop_similar(df).collect()}
+    want = {r[0] for r in rows} - {rows[2 * k + 1][0] for k, x in alike.items() if x >= 0.8}
+    assert kept == want
+
+
+def test_checked_pairs_join_what_similar_pairs_join():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 10**6, 60).astype(np.uint64))]
+    for _ in range(120):  # each from some one before: chains and branches
+        x = sets[int(rng.integers(len(sets)))].copy()
+        x[rng.integers(0, len(x), int(rng.integers(1, 12)))] = rng.integers(0, 10**6, 1).astype(np.uint64)
+        sets.append(np.unique(x))
+    bits = np.zeros((len(sets), 8), np.uint64)
+    near = np.array([(i, j) for i in range(121) for j in range(i) if len({*sets[i].tolist()} & {*sets[j].tolist()})
+                     >= 0.8 * len({*sets[i].tolist()} | {*sets[j].tolist()})])
+    got = np.array(simhash.checked_pairs(bits, sets, 512, 0.8))
+    assert (roots(121, got[:, 0], got[:, 1]) == roots(121, near[:, 0], near[:, 1])).all()
+    assert 1 < len(np.unique(roots(121, got[:, 0], got[:, 1]))) < 121

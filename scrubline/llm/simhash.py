@@ -36,7 +36,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import record, roots, slices, written
@@ -53,6 +53,10 @@ DEVIATIONS = 5
 #: Fingerprints of a bucket beyond which it is dealt out by finer keys.
 BUCKET_ROWS = 8_192
 
+#: Similar texts: rows and bytes of text of a group beyond which it is dealt out in slices, and about how many
+#: of its rows are in each slice besides.
+SLICE_ROWS, SLICE_TEXT, REPRESENTATIVES = 2_048, 32_000_000, 16
+
 #: Words of 64 lanes that are compared at once.
 PAIRS_AT_ONCE = 1 << 18
 
@@ -313,16 +317,29 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common / (len(a) + len(b) - common) >= similarity
 
 
-def checked_pairs(bits: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+def checked_pairs(
+    bits: np.ndarray,
+    sets: list[np.ndarray],
+    radius: int,
+    similarity: float,
+    label: np.ndarray | None = None,
+    asks: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
     """Similar pairs that join all rows that similar pairs join.
 
     Every pair is compared by its shingle sets, unless other pairs have joined it
-    already, or its sizes or fingerprints show that it is not similar.
+    already, or its sizes or fingerprints show that it is not similar. Rows of equal ``label`` count
+    as joined; with ``asks``, pairs are of a row that asks and one that does not.
     """
-    label, found = np.arange(len(sets)), []
+    label, found = np.arange(len(sets)) if label is None else label.copy(), []
     size = np.array([len(x) for x in sets], np.int64)
-    for i in range(len(sets) - 1):
-        at = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+    for i in range(len(sets) - 1) if asks is None else np.flatnonzero(asks).tolist():
+        other = label != label[i]
+        if asks is None:
+            other[:i] = False
+        else:
+            other &= ~asks
+        at = np.flatnonzero(other)
         at = at[np.minimum(size[at], size[i]) / np.maximum(size[at], size[i]) >= similarity]
         at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= radius]
         for j in at.tolist():
@@ -333,15 +350,18 @@ def checked_pairs(bits: np.ndarray, sets: list[np.ndarray], radius: int, similar
 
 
 def checked(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join the similar rows of each group; ``members`` are rows (key, node, bits, text)."""
+    """Links (a, b) that join the similar rows of each group.
+
+    ``members`` are rows (key, node, bits, label, asks, text); ``asks`` is null where all pairs of a group count.
+    """
     radius = similarity_radius(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, key = [], None
         for batch in batches:
-            for part, texts in slices(batch, 3):
+            for part, texts in slices(batch, 5):
                 a, b = [], []
-                for k, *row, t in zip(*(part.column(c).to_pylist() for c in range(3)), texts):
+                for k, *row, t in zip(*(part.column(c).to_pylist() for c in range(5)), texts):
                     if k != key:
                         joined(group, a, b)
                         group, key = [], k
@@ -353,20 +373,77 @@ def checked(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def joined(group: list, a: list[int], b: list[int]) -> None:
         if len(group) > 1:
-            node, bits, sets = zip(*group)
+            node, bits, label, asks, sets = zip(*group)
             bits = np.frombuffer(b"".join(bits), "<u8").reshape(len(node), -1)
-            for i, j in checked_pairs(bits, sets, radius, similarity):
+            asks = None if asks[0] is None else np.array(asks)
+            for i, j in checked_pairs(bits, sets, radius, similarity, np.array(label), asks):
                 a.append(node[i])
                 b.append(node[j])
 
     return (
-        members.select("key", "node", "bits", "text")
+        members.select("key", "node", "bits", "label", "asks", "text")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(work, "a long, b long")
     )
 
 
+def candidate_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect whatever may be similar; ``nodes`` are rows (node, bits, keys).
+
+    A bucket of more than ``SLICE_ROWS`` is not compared, but linked whole: its rows are then checked in slices.
+    """
+    dealt = nodes.select("node", "bits", F.explode("keys").alias("key"))
+    full = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
+    dealt = dealt.join(full.filter(F.col("n") > SLICE_ROWS).drop("n"), "key", "left")
+    whole = dealt.filter("hub is not null and hub != node").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return compared(dealt.filter("hub is null"), radius).union(whole)
+
+
+def _parts() -> Column:
+    rows, size = F.count("*") / SLICE_ROWS, F.sum("bytes") / SLICE_TEXT
+    return F.ceil(F.greatest(rows, size, F.lit(1))).cast("int")
+
+
+def full_groups(candidates: DataFrame) -> DataFrame:
+    """(root, n, parts) of the groups that are dealt out; there are at most rows / SLICE_ROWS, or by text size."""
+    return candidates.groupBy("root").agg(F.count("*").alias("n"), _parts().alias("parts")).filter("parts > 1")
+
+
+def _part(tag: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(tag)), F.col(parts)).cast("int")
+
+
+def first_round(candidates: DataFrame, full: DataFrame) -> DataFrame:
+    """``candidates`` with ``to`` [(key, asks)]: a group, or a slice of a full one; some rows are in all slices."""
+    everywhere = F.pmod(F.xxhash64("node", F.lit(2)), "n") < REPRESENTATIVES
+    some = F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part(1, "parts")))
+    place = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(some)
+    to = F.transform(place, lambda k: F.struct(F.xxhash64("root", k).alias("key"), F.lit(None).cast("boolean").alias("asks")))
+    return candidates.join(F.broadcast(full), "root", "left").withColumns({"to": to, "label": F.col("node")})
+
+
+def second_round(candidates: DataFrame, full: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of full groups with ``to`` [(key, asks)], where what is not connected yet meets.
+
+    ``label`` (node, root) is what the first round connected. In each group, most rows have one label; the
+    others are cut into chunks, and each chunk meets each slice of the group.
+    """
+    label = label.withColumnRenamed("root", "label")
+    rows = candidates.join(F.broadcast(full), "root").join(label, "node", "left")
+    rows = written(rows.withColumn("label", F.coalesce("label", "node")), "full-groups")
+    labels = rows.groupBy("root", "label").agg(F.count("*").alias("many"))
+    main = labels.groupBy("root").agg(F.max_by("label", F.struct("many", "label")).alias("main"))
+    rows = rows.join(F.broadcast(main), "root")
+    apart = F.col("label") != F.col("main")
+    chunks = rows.filter(apart).groupBy("root").agg(_parts().alias("chunks"))
+    key = lambda s, c, asks: F.struct(F.xxhash64("root", s, c).alias("key"), F.lit(asks).alias("asks"))
+    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: key(_part(1, "parts"), c, False))
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: key(s, _part(3, "chunks"), True))
+    to = F.when(apart, F.concat(met, asking)).otherwise(met)
+    return rows.join(F.broadcast(chunks), "root").withColumn("to", to)
+
+
 def _similar_rows(rows: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """(_row, key, component_id) of the rows, numbered by ``_row``, that are similar to another one."""
 
@@ -374,22 +451,32 @@ def _similar_rows(rows: DataFrame, key: str, text: str, shingle: int, similarity
         for batch in batches:
             for part, texts in slices(batch, 2):
                 nodes, bits, keys = zip(*(sketch(t, shingle) for t in texts))
+                size = np.array([len(t) for t in texts], np.int64)
                 yield record(
                     row=part.column(0), key=part.column(1), node=pa.array(nodes, pa.int64()),
-                    bits=pa.array(bits, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())),
+                    bits=pa.array(bits, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())), bytes=size,
                 )
 
     rows = rows.select(
         F.col("_row").alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
     ).filter("key is not null")
-    sketches = rows.mapInArrow(work, "row long, key long, node long, bits binary, keys array<long>")
+    sketches = rows.mapInArrow(work, "row long, key long, node long, bits binary, keys array<long>, bytes long")
     sketches = written(sketches, "sketches")
-    nodes = sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "keys")], F.min("row").alias("row"))
-    dealt = nodes.select("node", "bits", F.explode("keys").alias("key"))
-    group = components(compared(dealt, similarity_radius(similarity))).withColumnRenamed("root", "key")
-    members = nodes.select("node", "bits", "row").join(group, "node")
-    members = rows.select("row", "text").join(members.hint("shuffle_hash"), "row")
-    root = components(checked(members, shingle, similarity))
+    same = [F.first(c).alias(c) for c in ("bits", "keys")]
+    nodes = sketches.groupBy("node").agg(*same, F.min(F.struct("row", "bytes")).alias("of")).select("*", "of.*")
+    group = components(candidate_links(nodes, similarity_radius(similarity)))
+    candidates = written(nodes.drop("keys", "of").join(group, "node"), "candidates")
+    full = full_groups(candidates)
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("row", "node", "bits", "label", "to").hint("shuffle_hash")
+        members = rows.select("row", "text").join(dealt, "row").select("*", F.inline("to"))
+        return written(checked(members, shingle, similarity), "checked-links")
+
+    found = links_of(first_round(candidates, full))
+    root = components(found)
+    if not full.isEmpty():
+        root = components(found.union(links_of(second_round(candidates, full, root))))
     classes = sketches.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     classes = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1")
@@ -412,6 +499,10 @@ def similar_groups(
     of the similarity do all but surely (all but 3 of 100,000 pairs right at 0.8), and their
     fingerprints are not too far apart, compared bit-sliced as above. What candidates connect meets
     in one group, where links are checked by the shingle sets themselves.
+
+    No task holds a group of any size. A bucket or group that is too large is dealt out in slices, which share
+    some rows: what near copies connect is one component then. Rows outside the largest component of
+    their group meet all slices once more, one chunk of them and one slice in a task.
     Equal sets are one row before that. Rows with a null key are left out.
     """
     found = _similar_rows(_numbered(df.select(key, text)), key, text, shingle, similarity)

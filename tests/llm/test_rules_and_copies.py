@@ -240,3 +240,29 @@ def test_checked_pairs_join_what_similar_pairs_join():
     got = np.array(simhash.checked_pairs(bits, sets, 512, 0.8))
     assert (roots(121, got[:, 0], got[:, 1]) == roots(121, near[:, 0], near[:, 1])).all()
     assert 1 < len(np.unique(roots(121, got[:, 0], got[:, 1]))) < 121
+
+
+def test_large_groups_of_similar_texts_are_sliced(spark, monkeypatch):
+    """Near copies of a few templates that share most shingles, in one bucket and group: never in one task."""
+    monkeypatch.setattr(simhash, "SLICE_ROWS", 16, raising=False)
+    monkeypatch.setattr(simhash, "REPRESENTATIVES", 2, raising=False)
+    met = []
+    checked = simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda m, *a: met.append(m.groupBy("key").count().agg({"count": "max"}).first()[0]) or checked(m, *a), raising=False)
+    rng = np.random.default_rng(11)
+    shared = [f"s{k}" for k in range(200)]
+    rows = []
+    for family in range(5):  # 0.66 similar to one another
+        own = shared + [f"f{family}_{k}" for k in range(45)]
+        for c in range([120, 60, 3, 3, 2][family]):
+            words = own.copy()
+            for at in rng.choice(245, int(rng.integers(0, 4)), replace=False):
+                words[at] = f"x{family}_{c}_{at}"
+            rows.append((len(rows), " ".join(words)))
+    texts = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    near = np.array([(i, j) for i in range(len(rows)) for j in range(i) if len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j])])
+    root = roots(len(rows), near[:, 0], near[:, 1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.drop_similar(df).collect()}
+    assert kept == set(root.tolist())
+    assert len(met) == 2 and max(met) < 90

@@ -10,7 +10,8 @@ cut down first, without losing a repeat:
    compared in buckets of bounded size; a task first settles what repeats within its own slice and
    then asks once per mark, so a passage that a third of all rows share is asked about once per slice.
 2. The runs with such marks are cut out of their texts and dealt by mark; equal runs of a slice
-   are settled there. In each bucket a suffix array is built over the distinct runs: suffixes
+   are settled there. Where the runs of one mark exceed a bucket, as those across the ends of a passage that
+   many rows share do, the windows of each run are dealt by their own hashes instead. In each bucket a suffix array is built over the distinct runs: suffixes
    smaller than their successor are sorted directly, the others are induced from them by scanning
    the buckets of first bytes in order. Adjacent common prefixes of ``length`` bytes group
    equal windows, and each group's least key tells which of the windows go.
@@ -325,8 +326,8 @@ def covered(contexts: list[bytes], least: np.ndarray, length: int) -> tuple[np.n
 _RUNS = "bucket long, texts binary, sizes binary, orders binary, rows binary, starts binary"
 
 
-def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Covered byte ranges (row, start, end); rows: (row, order, text, runs), order being the key's."""
+def _blobs(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int]) -> DataFrame:
+    """Runs by bucket, as in _RUNS; a bucket below zero has what is settled already. ``full`` are overfull marks."""
 
     def blob(bucket: int, texts: list[bytes], sizes, orders, rows, starts) -> pa.RecordBatch:
         pack = lambda x, kind: [np.array(x, kind).tobytes()]
@@ -335,6 +336,15 @@ def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
             rows=pack(rows, "<i8"), starts=pack(starts, "<u4"),
         )
 
+    def first(seen: dict[bytes, list], done: list) -> Iterator[tuple[bytes, tuple]]:
+        for context, found in seen.items():
+            least = min(found)[0]
+            for one in found:
+                if one[0] == least:
+                    yield context, one
+                else:  # a smaller key has all of it
+                    done.append((len(context), one[1], one[2]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 2):
@@ -346,15 +356,18 @@ def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
                     for mark, start, count in zip(*(flat.field(i).to_pylist() for i in range(3))):
                         context = t[start : start + count - 1 + length]
                         seen.setdefault(context, []).append((orders[k], names[k], start, mark))
-                asked: list[tuple[bytes, tuple]] = []
                 done: list[tuple[int, int, int]] = []
-                for context, found in seen.items():
-                    least = min(found)[0]
-                    for one in found:
-                        if one[0] == least:
-                            asked.append((context, one))
-                        else:  # a smaller key has the whole run
-                            done.append((len(context), one[1], one[2]))
+                asked: list[tuple[bytes, tuple]] = []
+                windows: dict[bytes, list[tuple[int, int, int, int]]] = {}
+                for context, one in first(seen, done):
+                    if one[3] not in full:
+                        asked.append((context, one))
+                        continue
+                    for at in range(len(context) - length + 1):
+                        window = context[at : at + length]
+                        windows.setdefault(window, []).append((one[0], one[1], one[2] + at, 0))
+                for window, one in first(windows, done):
+                    asked.append((window, (*one[:3], xxhash.xxh64_intdigest(window) - (1 << 63))))
                 for at in range(0, len(done), 50_000):
                     sizes, names_, starts = zip(*done[at : at + 50_000])
                     yield blob(-1 - at, [], sizes, [0] * len(sizes), names_, starts)
@@ -368,6 +381,12 @@ def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
                         *([o[i] for _, o in chosen] for i in (0, 1, 2)),
                     )
 
+    return rows.mapInArrow(cut, _RUNS)
+
+
+def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] = frozenset()) -> DataFrame:
+    """Covered byte ranges (row, start, end); rows: (row, order, text, runs), order being the key's."""
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, group in _by_bucket(batches):
             size, order, row, start = (
@@ -411,7 +430,7 @@ def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
     return (
-        rows.mapInArrow(cut, _RUNS)
+        _blobs(rows, length, n_buckets, full)
         .withColumn("to", spread)
         .repartition("to")
         .drop("to")
@@ -420,6 +439,17 @@ def _settle(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
     )
 
 
+def _full_marks(found: DataFrame, length: int) -> tuple[frozenset[int], int]:
+    """The marks whose runs exceed a bucket, and the bytes that are dealt, windows of such marks each on their own.
+
+    There is at most one such mark for each SUFFIX_BUCKET_BYTES of runs.
+    """
+    sizes = found.groupBy("mark").agg(F.sum(F.col("count") + length - 1).alias("runs"), F.sum("count").alias("windows"))
+    over = F.col("runs") > SUFFIX_BUCKET_BYTES
+    total = sizes.agg(F.sum(F.when(over, F.col("windows") * length).otherwise(F.col("runs")))).first()[0] or 0
+    return frozenset(r["mark"] for r in sizes.filter(over).select("mark").collect()), total
+
+
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``df``."""
     if length < GRAM:
@@ -436,8 +466,8 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     first = ids.groupBy("row").agg(F.min("order").alias("order"))
     asked = by_row.join(first, "row").hint("shuffle_hash")
     met = rows.select("row", "order", "text").join(asked, ["row", "order"])
-    size = found.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
-    settled = _settle(met.select("row", "order", "text", "runs"), length, 1 + size // SUFFIX_BUCKET_BYTES)
+    full, size = _full_marks(found, length)
+    settled = _settle(met.select("row", "order", "text", "runs"), length, 1 + size // SUFFIX_BUCKET_BYTES, full)
     ranges = written(settled, "covered").groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     first = first.join(ranges, "row", "left").withColumn("first", F.lit(True)).hint("shuffle_hash")
     whole = rows.join(first, ["row", "order"], "left")

@@ -249,6 +249,26 @@ def test_suffix_dedup(request, table):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) in want[key]
 
 
+def test_suffix_dedup_of_a_passage_in_most_rows(spark, monkeypatch):
+    """Runs across the ends of a passage differ in every row and have the passage's marks; no bucket takes them all."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 4_000)
+    made = []
+    by_bucket = F.sum(F.length("texts")).alias("bytes")
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(150)
+    rows = [(k, some(60) + passage + some(60) if k % 3 else some(100)) for k in range(300)]
+    rows += [(300 + k, rows[k][1][20:]) for k in range(40)]  # and some repeat across the ends
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blobs = suffix_dedup._blobs
+    monkeypatch.setattr(suffix_dedup, "_blobs", lambda *a: made.append(blobs(*a)) or made[0])
+    want = removed([(k, t.encode()) for k, t in rows], 50)
+    for r in suffix_dedup.drop_repeats(df).collect():
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))] == want[r["doc_id"]]
+    largest = made[0].filter("bucket >= 0").groupBy("bucket").agg(by_bucket).agg(F.max("bytes")).first()[0]
+    assert 0 < largest < 2 * suffix_dedup.SUFFIX_BUCKET_BYTES
+
+
 def test_suffix_dedup_many_buckets(spark, monkeypatch, empty):
     monkeypatch.setattr(suffix_dedup, "MARK_BUCKET_BYTES", 300)
     monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 200)

@@ -376,8 +376,10 @@ def _blobs(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int]) -
                 marks = np.array([a[1][3] for a in asked], np.int64).view(np.uint64)
                 for b, some in _dealt(_bucket(marks, n_buckets), n_buckets):
                     chosen = [asked[i] for i in some.tolist()]
+                    # places of one context follow one another; its bytes are sent once, with a size of zero after that
+                    new = [k == 0 or c is not chosen[k - 1][0] for k, (c, _) in enumerate(chosen)]
                     yield blob(
-                        b, [c for c, _ in chosen], [len(c) for c, _ in chosen],
+                        b, [c for (c, _), n in zip(chosen, new) if n], [len(c) * n for (c, _), n in zip(chosen, new)],
                         *([o[i] for _, o in chosen] for i in (0, 1, 2)),
                     )
 
@@ -402,7 +404,10 @@ def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] =
             for r in group:
                 at = 0
                 for s in np.frombuffer(r["sizes"], "<u4").tolist():
-                    which[k] = number.setdefault(r["texts"][at : at + s], len(number))
+                    if s:
+                        which[k] = number.setdefault(r["texts"][at : at + s], len(number))
+                    else:  # as the one before
+                        which[k], size[k] = which[k - 1], size[k - 1]
                     at, k = at + s, k + 1
             least = np.full(len(number), _LAST)
             np.minimum.at(least, which, order)

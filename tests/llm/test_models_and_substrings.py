@@ -269,6 +269,20 @@ def test_suffix_dedup_of_a_passage_in_most_rows(spark, monkeypatch):
     assert 0 < largest < 2 * suffix_dedup.SUFFIX_BUCKET_BYTES
 
 
+def test_suffix_dedup_of_one_window_many_times(spark, monkeypatch):
+    """The bytes of a window that a row has in many places are sent once."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 4_000)
+    made = []
+    blobs = suffix_dedup._blobs
+    monkeypatch.setattr(suffix_dedup, "_blobs", lambda *a: made.append(blobs(*a)) or made[0])
+    rows = [(k, "x" * (900 + 10 * k) + f"end {k}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = removed([(k, t.encode()) for k, t in rows], 50)
+    for r in suffix_dedup.drop_repeats(df).collect():
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))] == want[r["doc_id"]]
+    assert made[0].agg(F.sum(F.length("texts"))).first()[0] < 30_000
+
+
 def test_suffix_dedup_many_buckets(spark, monkeypatch, empty):
     monkeypatch.setattr(suffix_dedup, "MARK_BUCKET_BYTES", 300)
     monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 200)

@@ -12,7 +12,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chunk_dedup, exact_dedup, lm, nbsvm, packing, pieces, pii, quality_rules, simhash, suffix_dedup
+from scrubline.llm import (
+    chunk_dedup, conversations, exact_dedup, lm, nbsvm, packing, pieces, pii, quality_rules, simhash, spelling,
+    suffix_dedup, wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +183,20 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, folder))
+
+
+@_query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(spelling.misspelt(spelling.runs(_documents(spark, folder)))))
+
+
+@_query("op12_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return wrappers.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    return conversations.repair_digests(conversations.damage(turns), turns)

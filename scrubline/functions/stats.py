@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scrubline.frames import chunked, count_where, require_batch, value
+from scrubline.frames import chunked, count_where, require_batch, type_of, value
+from scrubline.functions import dates
 
 # Up to this many rows go to Spark's exact percentile, and up to this many
 # between two known values are sorted; either lot fits one task with ease.
@@ -300,15 +301,49 @@ def _sort_inside(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int
     return {(b.column, b.rank): v for r in found for b, v in zip(all_lots[r["lot"]], r["found"])}
 
 
-# ---- most common value, distinct values, range splits ----
+# ---- most common values ----
+
+# A frequent-items sketch follows this many hashes per column, of which the likeliest are counted.
+ITEMS_TRACKED = 8192
+ITEMS_PROPOSED = 32
+
+# Columns told apart in one plan; only wider tables take more scans.
+COLUMNS_PER_COUNT = 400
 
 
 def top_value(df: DataFrame, column: str) -> tuple[str | None, int]:
-    """The most common value as Spark text, lowest among ties, and its count.
+    """The most common value as Spark text, lowest among ties, and its count."""
+    return top_values(df, [column])[column]
+
+
+def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str | None, int]]:
+    """The most common value of each column as Spark text, lowest among ties, and its count.
 
-    Counts are combined before the shuffle, so a hot value costs nothing extra.
+    Three jobs for any number of columns. A sketch of hashes proposes what is frequent; a scan counts
+    the values with those hashes exactly, for all columns at once; and where the best of them is more
+    frequent than the sketch can have missed, it is proven. What is left, columns in which
+    nothing is frequent, are counted whole, again all in one job. Counts are combined before the shuffle, so
+    a hot value costs nothing extra, and the sketch never decides the result.
     """
     require_batch(df, "the most common value")
+    found: dict[str, tuple[str | None, int]] = {}
+    plain = [c for c in columns if _typed(df, c) is not None]
+    for c in columns:
+        if c not in plain:
+            found[c] = _top_by_sorting(df, c)
+    for chunk in chunked(plain, COLUMNS_PER_COUNT):
+        present, proposed = _proposed(df, chunk)
+        counted = _top_counted(df, {c: proposed[c][0] for c in chunk if proposed[c][0]})
+        for c in chunk:
+            if not present[c]:
+                found[c] = (None, 0)
+            elif c in counted and counted[c][1] > proposed[c][1]:
+                found[c] = counted[c]
+        found |= _top_counted(df, {c: None for c in chunk if c not in found})
+    return {c: found[c] for c in columns}
+
+
+def _top_by_sorting(df: DataFrame, column: str) -> tuple[str | None, int]:
     v = value(df, column)
     rows = (
         df.select(v.alias("v"))
@@ -322,6 +357,92 @@ def top_value(df: DataFrame, column: str) -> tuple[str | None, int]:
     return (rows[0]["v"], rows[0]["n"]) if rows else (None, 0)
 
 
+def _typed(df: DataFrame, column: str) -> tuple[str, Column] | None:
+    """Where a value goes in a row for all types, in the order of its own type: a whole number, a fraction or a text."""
+    dtype, v = type_of(df, column), value(df, column)
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return "l", v.cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "d", v.cast("double") + F.lit(0.0)
+    if isinstance(dtype, T.StringType) and dtype == T.StringType():
+        return "s", v
+    if isinstance(dtype, T.DateType):
+        return "l", F.unix_date(v).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "l", F.unix_micros(v)
+    if isinstance(dtype, T.TimestampNTZType):
+        return "l", dates.epoch_micros(v)
+    return None
+
+
+def _text_again(df: DataFrame, column: str) -> Column:
+    dtype = type_of(df, column)
+    if isinstance(dtype, T.DateType):
+        back = F.date_from_unix_date(F.col("l").cast("int"))
+    elif isinstance(dtype, T.TimestampType):
+        back = F.timestamp_micros("l")
+    elif isinstance(dtype, T.TimestampNTZType):
+        back = dates.from_epoch_micros(F.col("l"))
+    else:
+        back = F.col(_typed(df, column)[0]).cast(dtype)
+    return back.cast("string")
+
+
+def _proposed(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
+    """Values present per column; and per column the hashes to count and how frequent another value can be at most."""
+    hashes = [F.when(value(df, c).isNotNull(), F.xxhash64(_typed(df, c)[1])).alias(f"h{i}") for i, c in enumerate(columns)]
+    # tasks share a few merge groups so that no single task merges every sketch
+    sketched = df.select(*hashes).groupBy((F.spark_partition_id() % SKETCH_FAN).alias("g")).agg(
+        *[F.expr(f"approx_top_k_accumulate(h{i}, {ITEMS_TRACKED})").alias(f"k{i}") for i in range(len(columns))],
+        *[F.count(f"h{i}").alias(f"n{i}") for i in range(len(columns))],
+    )
+    row = sketched.agg(
+        *[
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {ITEMS_TRACKED}), {ITEMS_PROPOSED})").alias(f"k{i}")
+            for i in range(len(columns))
+        ],
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))],
+    ).first()
+    present, proposed = {}, {}
+    for i, c in enumerate(columns):
+        items, present[c] = row[f"k{i}"] or [], row[f"n{i}"] or 0
+        # a value not listed is within twice the sketch's error, or no more frequent than the last one listed
+        missed = 7 * present[c] / ITEMS_TRACKED
+        if len(items) == ITEMS_PROPOSED:
+            missed = max(missed, items[-1]["count"])
+        if present[c] <= ITEMS_TRACKED // 2 and len(items) < ITEMS_PROPOSED:
+            missed = 0  # every value has its place in the sketch
+        proposed[c] = [r["item"] for r in items], missed
+    return present, proposed
+
+
+def _top_counted(df: DataFrame, proposed: Mapping[str, list | None]) -> dict[str, tuple[str, int]]:
+    """The most common of the values with the given hashes (None: of all values), of all columns in one job."""
+    columns = list(proposed)
+    if not columns:
+        return {}
+    cells = []
+    for i, (c, hashes) in enumerate(proposed.items()):
+        place, v = _typed(df, c)
+        typed = {k: F.lit(None).cast(t) for k, t in (("l", "bigint"), ("d", "double"), ("s", "string"))} | {place: v}
+        wanted = v.isNotNull() if hashes is None else F.xxhash64(v).isin(hashes) & v.isNotNull()
+        cells.append(F.when(wanted, F.struct(F.lit(i).alias("i"), *[x.alias(k) for k, x in typed.items()])))
+    cells = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+    n = F.count("*")
+    best = (
+        cells.groupBy("i", "l", "d", "s")
+        .agg(n.alias("n"))
+        .groupBy("i")
+        .agg(F.min(F.struct((-F.col("n")).alias("minus"), "l", "d", "s")).alias("best"))
+        .select("i", "best.*")
+    )
+    text = F.coalesce(*[F.when(F.col("i") == i, _text_again(df, c)) for i, c in enumerate(columns)])
+    return {columns[r["i"]]: (r["text"], -r["minus"]) for r in best.select("i", "minus", text.alias("text")).collect()}
+
+
+# ---- range splits ----
+
+
 def range_splits(df: DataFrame, key: Column, pieces: int) -> list[float]:
     """Inner boundaries that cut a numeric key into pieces of similar size.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from scrubline.frames import ROW_ID, named, require_columns, value
 from scrubline.functions import text
+from scrubline.functions.formulas import formula_column
 
 
 def drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -70,19 +70,10 @@ def merge_columns(
 
 
 def create_calculated_column(df: DataFrame, new_column_name: str, formula: str) -> DataFrame:
-    """A new column from a Spark SQL expression; division by zero gives null."""
+    """A new column from a formula over the others (``functions/formulas.py`` tells what it may hold)."""
     if new_column_name in df.columns:
         raise ValueError(f"the table has a '{new_column_name}' already; choose another name")
-    conf = df.sparkSession.conf
-    strict = conf.get("spark.sql.ansi.enabled")
-    # the evaluation mode is bound when the expression is analysed, right here
-    conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        return df.withColumn(new_column_name, F.expr(formula))
-    except PySparkException as error:
-        raise ValueError(f"Spark SQL cannot read {formula!r}: {error}") from error
-    finally:
-        conf.set("spark.sql.ansi.enabled", strict)
+    return df.withColumn(new_column_name, formula_column(df, formula))
 
 
 def without_row_id(df: DataFrame) -> DataFrame:

@@ -8,16 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from scrubline.frames import (
-    is_nested, is_numeric, is_text, literal, named, order_columns, require_batch, require_columns,
+    ROW_ID, is_nested, is_numeric, is_text, literal, named, order_columns, require_batch, require_columns,
     require_numeric, type_of, value,
 )
-from scrubline.functions import dates, stats
+from scrubline.functions import stats
+from scrubline.session import cut_lineage
 
 FILL_METHODS = ("mean", "median", "mode", "zero", "ffill", "bfill", "custom")
 
-# Rows sorted together when filling along row order, and ranges carried over together.
+# Rows filled together along row order; ranges grow where there would be more of them than MAX_RANGES.
 ROWS_PER_RANGE = 250_000
-RANGES_PER_BLOCK = 1_000
+MAX_RANGES = 20_000
 
 
 def drop_rows_with_nulls(df: DataFrame, column: str) -> DataFrame:
@@ -36,7 +37,7 @@ def fit_fill(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, ob
         found = stats.exact_quantiles(df, {c: [0.5] for c in columns})
         return {c: found[c][0.5] for c in columns}
     if method == "mode":
-        return {c: stats.top_value(df, c)[0] for c in columns}
+        return {c: text for c, (text, _) in stats.top_values(df, columns).items()}
     return {}
 
 
@@ -45,8 +46,9 @@ def fill_nulls(
     column: str,
     method: str,
     value: object = None,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     stats: dict | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Fill one column; wrong methods and values are refused before any work."""
     require_columns(df, [column])
@@ -66,7 +68,7 @@ def fill_nulls(
             raise TypeError(
                 f"'{column}' holds numbers, which {value!r} is not"
             )
-    return fill_nulls_batch(df, [column], method, value, order_by=order_by, stats=stats)
+    return fill_nulls_batch(df, [column], method, value, order_by=order_by, stats=stats, within=within)
 
 
 # Bits of the whole-number types.
@@ -91,12 +93,16 @@ def fill_nulls_batch(
     columns: Sequence[str],
     method: str,
     value: object = None,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     stats: dict | None = None,
     rows_per_range: int | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Fill many columns in one projection.
 
+    ``ffill`` and ``bfill`` go along ``order_by`` (one or more columns, missing first; ties by the
+    table's other plain columns, left to right), and only within rows that agree in ``within``.
+
     Unknown columns and methods change nothing; mean and median leave other
     than numeric columns alone.
     """
@@ -108,7 +114,7 @@ def fill_nulls_batch(
     if not columns:
         return df
     if method in ("ffill", "bfill"):
-        return _fill_along(df, columns, order_by, method == "ffill", rows_per_range or ROWS_PER_RANGE)
+        return _fill_along(df, columns, order_by, method == "ffill", rows_per_range or ROWS_PER_RANGE, within)
     if method in ("mean", "median", "mode"):
         fills = stats if stats is not None else fit_fill(df, columns, method)
     elif method == "zero" or (method == "custom" and value is not None):
@@ -136,85 +142,87 @@ def _filled(df: DataFrame, column: str, fill: object) -> Column:
 
 
 def _fill_along(
-    df: DataFrame, columns: Sequence[str], order_by, forward: bool, rows_per_range: int
+    df: DataFrame, columns: Sequence[str], order_by, forward: bool, rows_per_range: int, within: Sequence[str]
 ) -> DataFrame:
-    """Carry the nearest value along row order over the whole table.
+    """Carry the nearest value along row order over the whole table, or within groups of it.
 
-    One window over everything would be one task. The order key is cut into
-    ranges instead; each range is filled on its own, and the last value known
-    before a range comes from a table of one row per range, carried over block by block
-    of ranges. Rows without an order key come first, whatever the number of ranges.
+    A segmented scan: one window over everything would be one task, and so would a group that holds
+    a third of all rows. The rows are sorted by group and order into ranges by Spark's own range
+    partitioning (no boundary list comes to the driver), numbered in that order, and written. Each
+    range is filled on its own, and what it misses comes from a table of one row per range: the last
+    value known in the ranges before it, if these end in the group it begins with.
     """
     require_batch(df, "filling along row order")
     order = order_columns(df, order_by)
-    if len(order) != 1:
-        raise ValueError("filling along row order needs one numeric or time column")
-    key = _order_key(df, order[0])
-    rows = df.count()
-    ranges = max(1, math.ceil(rows / rows_per_range))
-    splits = stats.range_splits(df, key, ranges) if ranges > 1 else []
-    ranged = stats.bucket_of(
-        df.withColumns(
-            {
-                "__key": F.struct(key.isNotNull().alias("known"), key.alias("key")),
-                "__at": F.coalesce(key.cast("double"), F.lit(-math.inf)),
-            }
-        ),
-        "__at",
-        splits,
-        "__range",
-    )
+    require_columns(df, within)
+    for c in [*within, *order]:
+        if is_nested(df, c):
+            raise ValueError(f"Column '{c}' holds nested values, which give no row order")
+    place = [value(df, c) for c in _sorted_by(df, within, order)]
+    groups = [value(df, c) for c in within]
 
     # both directions look back over rows already passed: a frame that looks
     # ahead is evaluated anew for every row
-    def toward(column: str) -> Column:
-        return F.asc(column) if forward else F.desc(column)
+    def toward(column: Column) -> Column:
+        return column.asc_nulls_first() if forward else column.desc_nulls_last()
+
+    def filled(rows: DataFrame, keys: list[Column], order: list[Column]) -> dict[str, Column]:
+        passed = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*map(toward, order))
+        passed = passed.rowsBetween(W.unboundedPreceding, 0)
+        return {c: F.last(value(rows, c), ignorenulls=True).over(passed) for c in columns}
+
+    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    if ranges <= 1:
+        return df.withColumns(filled(df, groups, place))
+    dealt = df.repartitionByRange(ranges, *[c.asc_nulls_first() for c in place])
+    dealt = dealt.sortWithinPartitions(*[c.asc_nulls_first() for c in place])
+    rows = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    # the upper bits of the number tell the partition, in sorted order
+    rows = rows.withColumn("__range", F.shiftright("__at", 33))
+    carried = _carried(rows, columns, groups, forward, toward)
+    inside = rows.withColumns(filled(rows, [F.col("__range"), *groups], [F.col("__at")]))
+    same = F.col("__range") == F.col("__to")
+    if within:
+        same &= F.struct(*groups).eqNullSafe(F.col("__group"))
+    # one row per range, MAX_RANGES at most
+    joined = inside.join(F.broadcast(carried), same, "left")
+    return joined.select(
+        *[F.coalesce(named(c), F.col(f"__c{columns.index(c)}")).alias(c) if c in columns else named(c) for c in df.columns]
+    )
 
-    here = W.partitionBy("__range").orderBy(toward("__key")).rowsBetween(W.unboundedPreceding, 0)
-    within = {c: F.last(value(ranged, c), ignorenulls=True).over(here) for c in columns}
-    if not splits:
-        return ranged.withColumns(within).select(*[named(c) for c in df.columns])
 
-    nearest = F.max_by if forward else F.min_by
-    carried = {f"__c{i}": c for i, c in enumerate(columns)}
-    ends = ranged.groupBy("__range").agg(
-        *[
-            nearest(value(ranged, c), F.when(value(ranged, c).isNotNull(), F.col("__key"))).alias(name)
-            for name, c in carried.items()
-        ]
-    )
-    ends = _carried(ends, list(carried), toward, nearest)
-    # as many partitions as ranges, whatever the session's shuffle width
-    spread = ranged.repartition(len(splits) + 1, "__range")
-    joined = spread.join(ends, "__range", "left")
-    filled = joined.withColumns({c: F.coalesce(within[c], named(n)) for n, c in carried.items()})
-    return filled.select(*[named(c) for c in df.columns])
+def _sorted_by(df: DataFrame, within: Sequence[str], order: Sequence[str]) -> list[str]:
+    """Groups, order, and then the table's other plain columns from left to right, which settle ties."""
+    first = [*within, *order]
+    if ROW_ID in order:
+        return first
+    return [*first, *[c for c in df.columns if c not in first and not is_nested(df, c)]]
 
 
-def _carried(ends: DataFrame, names: Sequence[str], toward, nearest) -> DataFrame:
-    """For each range the last values before it: within its block of ranges, or else before the block.
+def _carried(rows: DataFrame, columns: Sequence[str], groups: list[Column], forward: bool, toward) -> DataFrame:
+    """For each range (``__to``) the group it begins with and the last values of that group before it.
 
-    The one window without a key runs over blocks, a millionth of a millionth of the rows.
+    Every range tells which group its far end lies in and the last values it knows of that group; a
+    range asks for those of the group at its near end. Asked and told are put in one order per group.
     """
-    blocked = ends.withColumn("__block", F.floor(F.col("__range") / RANGES_PER_BLOCK))
-    known = lambda n: F.when(named(n).isNotNull(), F.col("__range"))
-    blocks = blocked.groupBy("__block").agg(*[nearest(named(n), known(n)).alias(n) for n in names])
-    over_blocks = W.partitionBy(F.lit(0)).orderBy(toward("__block")).rowsBetween(W.unboundedPreceding, -1)
-    in_block = W.partitionBy("__block").orderBy(toward("__range")).rowsBetween(W.unboundedPreceding, -1)
-    last = lambda n, over: F.last(named(n), ignorenulls=True).over(over)
-    outer = blocks.select("__block", *[last(n, over_blocks).alias(f"__b{n}") for n in names])
-    inner = blocked.select("__block", "__range", *[last(n, in_block).alias(n) for n in names])
-    return inner.join(outer, "__block").select(
-        "__range", *[F.coalesce(named(n), named(f"__b{n}")).alias(n) for n in names]
+    farthest, nearest = (F.max_by, F.min_by) if forward else (F.min_by, F.max_by)
+    group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
+    known = {c: F.when(value(rows, c).isNotNull(), F.col("__at")) for c in columns}
+    ends = rows.withColumn("__group", group).groupBy("__range").agg(
+        nearest("__group", "__at").alias("begins"), farthest("__group", "__at").alias("ends"),
+        *[
+            farthest(F.struct("__group", value(rows, c).alias("v")), known[c]).alias(f"__c{i}")
+            for i, c in enumerate(columns)
+        ],
+    )
+    told, asked = [], []
+    for i in range(len(columns)):
+        last = F.col(f"__c{i}")
+        told.append(F.when(last["__group"].eqNullSafe(F.col("ends")), last["v"]).alias(f"__c{i}"))
+        asked.append(F.lit(None).alias(f"__c{i}"))
+    both = ends.select(F.col("ends").alias("__group"), "__range", F.lit(1).alias("told"), *told).union(
+        ends.select("begins", "__range", F.lit(0), *asked)
     )
-
-
-def _order_key(df: DataFrame, column: str) -> Column:
-    dtype = type_of(df, column)
-    if is_numeric(df, column):
-        return named(column)
-    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
-        return dates.epoch_micros(named(column))
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(named(column))
-    raise ValueError("filling along row order needs one numeric or time column")
+    before = W.partitionBy("__group").orderBy(toward(F.col("__range")), "told").rowsBetween(W.unboundedPreceding, 0)
+    last = [F.last(f"__c{i}", ignorenulls=True).over(before).alias(f"__c{i}") for i in range(len(columns))]
+    return both.select(F.col("__range").alias("__to"), "__group", "told", *last).where("told = 0").drop("told")

@@ -173,7 +173,7 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
         require_numeric(df, c)
     m = stats.moments(df, columns)
     q = stats.exact_quantiles(df, {c: QUARTILES for c in columns}, {c: m[c].count for c in columns})
-    modes = {c: stats.top_value(df, c)[0] for c in columns}
+    modes = {c: text for c, (text, _) in stats.top_values(df, columns).items()}
     rows = [
         (c, m[c].mean, q[c][0.5], float(modes[c]) if modes[c] is not None else None, m[c].std,
          m[c].low, m[c].high, q[c][0.25], q[c][0.75])

@@ -302,7 +302,7 @@ _add("replace_text_regex", strings.replace_text_regex, "Replace the matches of a
      {"column": _COLUMN, "pattern": Arg(), "replacement": Arg()},
      _says("Write '{replacement}' for every match of '{pattern}' in '{column}'."), gate="string")
 _add("create_calculated_column", columns.create_calculated_column,
-     "Add a column computed from others by a Spark SQL expression",
+     "Add a column computed from others by a formula",
      {"new_column_name": Arg(), "formula": Arg()},
      _says("Compute '{new_column_name}' from {formula}."))
 _add("remove_special_chars", strings.remove_special_chars,

@@ -39,6 +39,38 @@ query("p5_calculated_column", LINES,
     lambda df: ops.create_calculated_column(
         df, "net", "round(l_extendedprice * (1 - l_discount) / l_discount, 4)"))
 
+# One query per group of formula operators; % and // round down, what cannot be said is missing.
+_FORMULA_VIEW = view("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag",
+                     "l_orderkey % 13 - 6 AS a", "CAST(l_linenumber AS BIGINT) % 4 - 2 AS b",
+                     "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS net")
+_FORMULAS = {
+    "power": {"a ** 2 + a ** 3": "a * a + a * a * a", "l_quantity ** 2 / 3": "power(l_quantity, 2) / 3"},
+    "floor_divide": {"a // b": "CASE WHEN b <> 0 THEN CAST(floor(CAST(a AS DOUBLE) / b) AS BIGINT) END",
+                     "l_quantity // 7": "floor(l_quantity / 7)"},
+    "remainder": {"a % b": "CASE WHEN b <> 0 THEN a - b * CAST(floor(CAST(a AS DOUBLE) / b) AS BIGINT) END",
+                  "l_quantity % 7": "l_quantity - 7 * floor(l_quantity / 7)"},
+    "compare": {"-3 <= a < b": "-3 <= a AND a < b", "l_returnflag == 'R'": "l_returnflag = 'R'",
+                "l_returnflag in ['A', 'N']": "l_returnflag IN ('A', 'N')", "a != b": "a <> b"},
+    "logic": {"not (a > 0 and b > 0) or l_tax > 0.05": "NOT (a > 0 AND b > 0) OR l_tax > 0.05",
+              "a > 0 & l_returnflag == 'R' | b < 0": "(a > 0 AND l_returnflag = 'R') OR b < 0"},
+    "names": {"`net price` * (1 + l_tax)": "net * (1 + l_tax)",
+              "abs(a) + length(l_returnflag)": "abs(a) + length(l_returnflag)",
+              "`net price` / a": "CASE WHEN a <> 0 THEN net / a END"},
+}
+_TO_ROUND = ("l_quantity ** 2 / 3", "`net price` * (1 + l_tax)", "`net price` / a")
+for _name, _pairs in _FORMULAS.items():
+    _sql = ", ".join(
+        f"{f'ROUND({sql}, 6)' if formula in _TO_ROUND else sql} AS z{i}" for i, (formula, sql) in enumerate(_pairs.items())
+    )
+
+    @query(f"p5_formula_{_name}", _FORMULA_VIEW, f"SELECT l_orderkey, l_linenumber, {_sql} FROM {{t}}")
+    def _formulas(df, formulas=tuple(_pairs)):
+        df = ops.rename_column(df, "net", "net price")
+        for i, formula in enumerate(formulas):
+            df = ops.create_calculated_column(df, f"z{i}", formula)
+            df = rounded(df, f"z{i}") if formula in _TO_ROUND else df
+        return df.select("l_orderkey", "l_linenumber", *[f"z{i}" for i in range(len(formulas))])
+
 query("p6_split_column", PARTS,
       "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, "
       "nullif(split_part(p_name, ' ', 1), '') AS first_word, "
@@ -129,6 +161,27 @@ for _name, _method, _filled_sql in (
         lambda df, m=_method: ops.fill_nulls_batch(
             df, ["value", "event_type"], m, order_by="event_id", rows_per_range=500))
 
+# Order keys that tie and are missing, two of them, and groups: one user has a third of all rows.
+_TIED = view("events", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 20 END AS who",
+             "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 40 END AS slot", "user_id % 3 AS lane", "event_id",
+             "CASE WHEN event_id % 7 < 4 THEN NULL ELSE value END AS value",
+             "CASE WHEN event_id % 5 < 3 THEN NULL ELSE event_type END AS event_type")
+for _name, _method, _function, _frame in (
+    ("w1_forward_fill", "ffill", "last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"),
+    ("w2_backward_fill", "bfill", "first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING"),
+):
+    for _kind, _by, _within, _ties in (
+        ("tied_keys", ["slot"], [], "slot NULLS FIRST, who, lane, event_id"),
+        ("two_keys", ["slot", "lane"], [], "slot NULLS FIRST, lane, who, event_id"),
+        ("in_groups", ["slot", "lane"], ["who"], "slot NULLS FIRST, lane, event_id"),
+    ):
+        _over = f"OVER ({'PARTITION BY who ' if _within else ''}ORDER BY {_ties} ROWS BETWEEN {_frame})"
+        query(f"{_name}_{_kind}", _TIED,
+              "SELECT who, slot, lane, event_id, "
+              + ", ".join(f"{_function}({c} IGNORE NULLS) {_over} AS {c}" for c in ("value", "event_type")) + " FROM {t}")(
+            lambda df, m=_method, by=_by, within=_within: ops.fill_nulls_batch(
+                df, ["value", "event_type"], m, order_by=by, within=within, rows_per_range=700))
+
 query("m5_fill_custom", EVENTS,
       "SELECT event_id, ts, user_id, value, coalesce(event_type, 'unknown') AS event_type FROM {t}")(
     lambda df: ops.fill_nulls(df, "event_type", "custom", "unknown"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def build_session(app_name: str = "scrubline", master: str | None = None, **conf) -> SparkSession:
@@ -54,9 +54,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there."""
+def _kept_by_parquet(schema: T.StructType) -> bool:
+    """Whether Parquet can hold every column under its own name."""
+
+    def held(dtype: T.DataType) -> bool:
+        if isinstance(dtype, T.StructType):
+            names = [f.name.lower() for f in dtype.fields]
+            return 0 < len(set(names)) == len(names) and all(held(f.dataType) for f in dtype.fields)
+        if isinstance(dtype, T.ArrayType):
+            return held(dtype.elementType)
+        if isinstance(dtype, T.MapType):
+            return held(dtype.keyType) and held(dtype.valueType)
+        return not isinstance(dtype, (T.NullType, T.CalendarIntervalType, T.VariantType))
+
+    return held(schema)
+
+
+def cut_lineage(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write ``df`` to the shared folder and read on from there.
+
+    Rows are written as Parquet, so later scans read only the columns they need and skip row groups
+    by their filters. Tables that Parquet cannot hold are checkpointed as rows.
+    """
     spark = df.sparkSession
+    if _kept_by_parquet(df.schema):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))

@@ -127,3 +127,55 @@ def test_wide_tables(spark):
     after = before.withColumns({"c7": before["c7"] + 1, "c599": before["c599"] * 0})
     found = diff.count_changes(before, after)
     assert found["columns_affected"] == ["c7", "c599"] and found["total_cells_changed"] == 20
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+def test_one_shuffle_and_no_join(spark):
+    before = spark.range(100).selectExpr("id as k", "id % 7 as x")
+    plan = diff.diff_mask(before, before.withColumn("x", before.x + 1), "k")
+    assert exchanges(plan) == 1
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_faults_are_refused_wherever_they_lie(spark):
+    good = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "k bigint, x bigint")
+    twice = spark.createDataFrame([(1, 1), (2, 2), (2, 5)], "k bigint, x bigint")
+    none = spark.createDataFrame([(1, 1), (None, 2), (None, 2)], "k bigint, x bigint")
+    for bad, word in ((twice, "repeat"), (none, "without a key")):
+        for before, after in ((good, bad), (bad, good), (bad, bad)):
+            for compare in (
+                lambda a, b: diff.count_changes(a, b, "k"), lambda a, b: diff.affected_rows(a, b, "k"),
+                lambda a, b: diff.column_changes(a, b, "x", "k"), lambda a, b: diff.diff_mask(a, b, "k").collect(),
+            ):
+                with pytest.raises(Exception, match=word):
+                    compare(before, after)
+
+
+def test_a_key_repeated_by_most_rows_is_not_multiplied(spark):
+    many = spark.range(20_000).selectExpr("id % 2 as k", "id as x")
+    with pytest.raises(ValueError, match="repeat"):
+        diff.count_changes(many, many, "k")
+
+
+def test_many_columns_are_counted_by_number(spark, monkeypatch):
+    before = spark.createDataFrame([(1, 1, "a"), (2, 2, None), (3, 3, "c")], "k bigint, x bigint, s string")
+    after = spark.createDataFrame([(1, 1, "b"), (2, 5, "x"), (3, 3, None)], "k bigint, x bigint, s string")
+    few = diff.count_changes(before, after, "k")
+    monkeypatch.setattr(diff, "COLUMNS_COUNTED_APART", 0)
+    assert diff.count_changes(before, after, "k") == few and few["total_cells_changed"] == 4
+    with pytest.raises(ValueError, match="repeat"):
+        diff.count_changes(before.union(before), after, "k")
+
+
+def test_two_keys_nested_cells_and_keys_that_are_nan(spark):
+    before = spark.createDataFrame([(1, "a", [1]), (1, "b", [2])], "k int, j string, n array<int>")
+    after = spark.createDataFrame([(1, "b", [2]), (1, "a", [3]), (2, "a", None)], "k int, j string, n array<int>")
+    rows = diff.diff_mask(before, after, ["k", "j"]).collect()
+    assert {(r["k"], r["j"]): r["n"] for r in rows} == {(1, "a"): True, (1, "b"): False}
+    nan = spark.createDataFrame([(float("nan"), 1), (1.0, 2)], "k double, x int")
+    with pytest.raises(ValueError, match="without a key"):
+        diff.count_changes(nan, nan, "k")

@@ -1,3 +1,4 @@
+import datetime as dt
 import glob
 import json
 import math
@@ -5,11 +6,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scrubline import operators as ops
-from scrubline import session
+from scrubline import session, streaming
+from scrubline.functions import stats
 from scrubline.operators import checks
 from scrubline.plans import profile, recipe, report
+from scrubline.session import cut_lineage
 from scrubline.sources import readers, writers
 from scrubline.streaming import clean_stream, fit_steps
 
@@ -247,3 +251,98 @@ def test_wide_csv(spark, tmp_path):
     (tmp_path / "wide.csv").write_text("\n".join(lines))
     types = readers.read_csv(spark, str(tmp_path / "wide.csv")).dtypes
     assert types == [(f"c{i}", "bigint" if i % 3 else "double" if i % 2 else "string") for i in range(600)]
+
+
+def _most_common(rows, column):
+    values = [r[column] for r in rows if r[column] is not None]
+    return min(((-values.count(v), v) for v in set(values)), default=(0, None))
+
+
+@pytest.mark.parametrize("tracked, proposed", [(8192, 32), (16, 2), (32, 32)])
+def test_most_common_values_of_all_types(spark, monkeypatch, tracked, proposed):
+    """Frequent values, flat columns, ties, and sketches too small to tell."""
+    monkeypatch.setattr(stats, "ITEMS_TRACKED", tracked)
+    monkeypatch.setattr(stats, "ITEMS_PROPOSED", proposed)
+    df = spark.range(3000).repartition(6).selectExpr(
+        "id as flat", "id % 50 as tied", "if(id % 3 = 0, 7, id) as hot", "cast(id % 4 as double) - 2.5 as d",
+        "if(id % 5 = 0, double('nan'), -0.0) as zero", "cast(id % 7 as string) as s", "cast(null as string) as none",
+        "id % 2 = 0 as b", "date'2024-01-01' + cast(id % 3 as int) as day", "cast(id % 9 as decimal(12,2)) as dec",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id % 5 as int)) as ntz",
+        "if(id % 2 = 0, concat('long', id), 'x') as half",
+    )
+    rows = df.collect()
+    found = stats.top_values(df, df.columns)
+    assert list(found) == df.columns
+    for c in df.columns:
+        if c == "zero":
+            assert found[c][1] == 2400 and float(found[c][0]) == 0.0
+            continue
+        minus, v = _most_common(rows, c)
+        text = None if v is None else spark.createDataFrame([(v,)], df.select(c).schema).select(
+            F.col(c).cast("string")).first()[0]
+        assert found[c] == (text, -minus), c
+
+
+def test_most_common_values_in_few_jobs(spark):
+    df = spark.range(500).selectExpr(*[f"id % {k + 2} as c{k}" for k in range(60)])
+    tracker = spark.sparkContext.statusTracker()
+    for columns in (df.columns[:3], df.columns):
+        spark.sparkContext.setJobGroup(f"top{len(columns)}", "")
+        stats.top_values(df, columns)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # three queries, each in at most three jobs of adaptive execution
+    assert len(tracker.getJobIdsForGroup("top3")) <= 9 and len(tracker.getJobIdsForGroup("top60")) <= 9
+
+
+def _arrive(spark, folder, rows):
+    spark.createDataFrame(rows, "k bigint, at timestamp_ntz, v string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Three runs from one checkpoint: what came before is neither lost nor added twice."""
+    source, sink, point = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    _arrive(spark, source, [(1, hour(0), "a"), (2, hour(1), "b"), (1, hour(0), "a")])
+
+    def run():
+        stream = streaming.file_stream(spark, source)
+        out = streaming.run_available(streaming.drop_repeats(stream, ["k"], "at", "2 hours"), sink, point)
+        return sorted(tuple(r) for r in out.select("k", "v").collect())
+
+    assert run() == [(1, "a"), (2, "b")] == run()
+    _arrive(spark, source, [(2, hour(1), "b"), (3, hour(2), "c"), (3, hour(2), "c")])
+    assert run() == [(1, "a"), (2, "b"), (3, "c")] == run()
+
+
+def test_windows_go_out_once_closed(spark, tmp_path):
+    source, sink, point = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+
+    def run(keep="first"):
+        stream = streaming.file_stream(spark, source)
+        picked = streaming.one_per_window(stream, ["v"], "at", "1 hour", "10 minutes", keep, ["k"])
+        assert picked.columns == ["k", "at", "v"]
+        out = streaming.run_available(picked, f"{sink}-{keep}", f"{point}-{keep}")
+        return sorted((r["k"], r["v"]) for r in out.collect())
+
+    _arrive(spark, source, [(3, at(0, 5), "a"), (2, at(0, 5), "a"), (9, at(0, 50), "a"), (4, at(0, 7), "b"), (5, at(1, 5), "a")])
+    assert run() == [] and run("last") == []
+    _arrive(spark, source, [(6, at(1, 15), "a"), (1, at(0, 1), "a")])  # the late row still meets its window
+    assert run() == [(1, "a"), (4, "b")] and run("last") == [(4, "b"), (9, "a")]
+    _arrive(spark, source, [(0, at(0, 0), "a"), (7, at(5), "z")])  # too late; all but the last window close
+    assert run() == [(1, "a"), (4, "b"), (5, "a")] and run("last") == [(4, "b"), (6, "a"), (9, "a")]
+    with pytest.raises(ValueError, match="times"):
+        streaming.drop_repeats(streaming.file_stream(spark, source), ["k"], "v", "1 hour")
+    with pytest.raises(ValueError, match="keep"):
+        run("none")
+
+
+def test_lineage_is_cut_in_columns(spark):
+    df = spark.range(100).selectExpr("id", "id * 2 as x", "cast(id as string) as s")
+    plan = cut_lineage(df).where("x > 10").select("x")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<x:bigint>" in plan and "PushedFilters: [IsNotNull(x), GreaterThan(x,10)]" in plan
+    odd = df.selectExpr("id", "null as nothing", "x as ID2")
+    assert cut_lineage(odd).count() == 100 and cut_lineage(odd).columns == odd.columns
+    twins = spark.range(3).toDF("a").selectExpr("a", "a as A")
+    assert cut_lineage(twins).columns == ["a", "A"]
+    assert cut_lineage(df.limit(0)).columns == df.columns

@@ -131,7 +131,6 @@ def test_null_keys_in_one_range_and_many(spark, monkeypatch, method):
     df = spark.createDataFrame(rows, "k bigint, x double").repartition(4)
     one = sorted(map(str, fill_nulls(df, "x", method, order_by="k").where("k is not null").collect()))
     monkeypatch.setattr(missing, "ROWS_PER_RANGE", 20)
-    monkeypatch.setattr(missing, "RANGES_PER_BLOCK", 3)
     many = sorted(map(str, fill_nulls(df, "x", method, order_by="k").where("k is not null").collect()))
     assert one == many
 
@@ -144,3 +143,62 @@ def test_values_that_do_not_fit(table):
     with pytest.raises(ValueError):
         fill_nulls(df, "d", "zero")
     assert fill_nulls(df, "d", "custom", "2024-01-02").where("d = '2024-01-02'").count() == 2
+
+
+def _along(rows, method, key, group):
+    """Filled x of rows (id, ...), by a plain loop."""
+    ordered = sorted(rows, key=key, reverse=method == "bfill")
+    known, out = {}, {}
+    for r in ordered:
+        if r["x"] is not None:
+            known[group(r)] = r["x"]
+        out[r["id"]] = known.get(group(r))
+    return out
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill"])
+@pytest.mark.parametrize("rows_per_range", [7, 100, 10_000])
+def test_groups_ties_and_two_order_columns(spark, method, rows_per_range):
+    """One group holds most rows and spans many ranges; order keys tie and are missing."""
+    rng = random.Random(rows_per_range)
+    rows = [
+        {
+            "id": i, "g": rng.choice(["hot"] * 6 + ["a", "b", None]), "day": rng.choice([None, 1, 1, 2, 3]),
+            "hour": rng.choice([None, 0.5, 1.5]), "x": rng.choice([None, None, None, float(i)]),
+        }
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(
+        [tuple(r.values()) for r in rows], "id bigint, g string, day int, hour double, x double"
+    ).repartition(5)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    for within in ([], ["g"]):
+        # ties go by the table's other columns, left to right: here by id
+        key = lambda r, w=within: (*[low(r[c]) if c != "g" else (r[c] is not None, r[c] or "") for c in w],
+                                   low(r["day"]), low(r["hour"]), r["id"])
+        filled = fill_nulls_batch(
+            df, ["x"], method, order_by=["day", "hour"], rows_per_range=rows_per_range, within=within
+        )
+        assert filled.columns == df.columns
+        want = _along(rows, method, key, lambda r, w=within: r["g"] if w else 0)
+        assert {r["id"]: r["x"] for r in filled.collect()} == want
+
+
+def test_text_order_and_nested_columns(spark):
+    df = spark.createDataFrame([("b", None, [1]), ("a", 1.0, [2]), ("c", None, None)], "k string, x double, n array<int>")
+    for rows_per_range in (1, 100):
+        filled = fill_nulls_batch(df, ["x", "n"], "ffill", order_by="k", rows_per_range=rows_per_range)
+        assert {r["k"]: (r["x"], r["n"]) for r in filled.collect()} == {"a": (1.0, [2]), "b": (1.0, [1]), "c": (1.0, [1])}
+    with pytest.raises(ValueError, match="nested"):
+        fill_nulls(df, "x", "ffill", order_by="n")
+
+
+def test_ranges_have_a_bound(table, values, monkeypatch):
+    monkeypatch.setattr(missing, "MAX_RANGES", 3)
+    df = table("x double", [float(i) if i % 50 == 0 else None for i in range(500)])
+    filled = fill_nulls_batch(df, ["x"], "ffill", rows_per_range=2)
+    assert values(filled, "x") == [float(i // 50 * 50) for i in range(500)]
+
+
+def test_an_empty_table_along_order(table):
+    assert fill_nulls_batch(table("x double", []), ["x"], "ffill", rows_per_range=1).count() == 0

@@ -396,7 +396,8 @@ def _proposed(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
         *[F.expr(f"approx_top_k_accumulate(h{i}, {ITEMS_TRACKED})").alias(f"k{i}") for i in range(len(columns))],
         *[F.count(f"h{i}").alias(f"n{i}") for i in range(len(columns))],
     )
-    row = sketched.agg(
+    # grouped, as a task without rows would hand on a sketch that cannot be merged
+    row = sketched.groupBy(F.col("g") < 0).agg(
         *[
             F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {ITEMS_TRACKED}), {ITEMS_PROPOSED})").alias(f"k{i}")
             for i in range(len(columns))
@@ -404,6 +405,8 @@ def _proposed(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))],
     ).first()
     present, proposed = {}, {}
+    if row is None:
+        return dict.fromkeys(columns, 0), {c: ([], 0) for c in columns}
     for i, c in enumerate(columns):
         items, present[c] = row[f"k{i}"] or [], row[f"n{i}"] or 0
         # a value not listed is within twice the sketch's error, or no more frequent than the last one listed

@@ -18,13 +18,15 @@ from scrubline.operators.strings import (
     add_prefix_suffix, pad_string, remove_special_chars, replace_text, replace_text_regex,
     slice_string, standardize_case, standardize_case_batch, trim_spaces, trim_spaces_batch,
 )
-from scrubline.operators.types import category_frame, convert_column_type, convert_columns_batch
+from scrubline.operators.types import (
+    category_codes, category_frame, convert_column_type, convert_columns_batch, encode_categories,
+)
 
 __all__ = [
-    "add_prefix_suffix", "apply_math", "bin_numeric", "category_frame", "clip_numeric",
+    "add_prefix_suffix", "apply_math", "bin_numeric", "category_codes", "category_frame", "clip_numeric",
     "convert_column_type", "convert_columns_batch", "convert_to_datetime",
     "create_calculated_column", "data_columns", "date_difference", "deduplicate_rows",
-    "drop_column", "drop_columns_batch", "drop_rows_with_nulls", "duplicate_count",
+    "drop_column", "drop_columns_batch", "drop_rows_with_nulls", "duplicate_count", "encode_categories",
     "extract_date_part", "fill_nulls", "fill_nulls_batch", "merge_columns", "offset_date",
     "pad_string", "preview_rows", "remove_outliers", "remove_special_chars", "rename_column",
     "reorder_columns", "replace_negative_values", "replace_text", "replace_text_regex",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from scrubline.frames import is_numeric, is_text, named, require_batch, require_columns, type_of, value
+from scrubline.frames import is_nested, is_numeric, is_text, named, require_batch, require_columns, type_of, value
 from scrubline.functions import numbers, text
 from scrubline.operators.dates import fit_format, moments_of
+from scrubline.session import cut_lineage
 
 TARGETS = ("numeric", "string", "datetime", "boolean", "categorical")
 BATCH_TARGETS = ("numeric", "string", "datetime")
@@ -51,6 +52,42 @@ def fit_categories(df: DataFrame, column: str) -> dict:
     return {"categorical": True}
 
 
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(category, code) for the distinct values of a column: codes from 0 on, without gaps, in the order of the values.
+
+    For any number of categories: these are sorted into ranges by Spark's range partitioning and
+    numbered within each; a table of one row per range, as many as shuffle partitions, holds what to add.
+    """
+    require_batch(df, "numbering categories")
+    require_columns(df, [column])
+    if is_nested(df, column):
+        raise ValueError(f"Column '{column}' holds nested values, which make no categories")
+    distinct = df.select(value(df, column).alias("category")).where(F.col("category").isNotNull()).distinct()
+    dealt = distinct.repartitionByRange("category").sortWithinPartitions("category")
+    numbered = cut_lineage(dealt.withColumn("__id", F.monotonically_increasing_id()), "categories")
+    # the upper bits of the number tell the range, the others the place in it
+    numbered = numbered.select(
+        "category", F.shiftright("__id", 33).alias("__range"), F.col("__id").bitwiseAND(2**33 - 1).alias("__place")
+    )
+    before = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = numbered.groupBy("__range").agg(F.count("*").alias("__n"))
+    firsts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    placed = numbered.join(F.broadcast(firsts), "__range")  # one row per shuffle partition
+    return placed.select("category", (F.col("__first") + F.col("__place")).alias("code"))
+
+
+def encode_categories(df: DataFrame, column: str, new_column: str | None = None) -> DataFrame:
+    """The table with each row's category code; -1 where the value is missing."""
+    target = new_column or f"{column}_code"
+    if target != column and target in df.columns:
+        raise ValueError(f"the table has a '{target}' already; choose another name")
+    codes = category_codes(df, column).withColumnsRenamed({"category": "__category", "code": "__code"})
+    joined = df.join(codes, value(df, column) == F.col("__category"), "left")
+    code = F.coalesce("__code", F.lit(-1).cast("bigint")).alias(target)
+    kept = [code if c == target else named(c) for c in df.columns]
+    return joined.select(*kept, *([] if target in df.columns else [code]))
+
+
 def is_categorical(df: DataFrame, column: str) -> bool:
     """Whether a column was converted to categories."""
     return bool(df.schema[column].metadata.get("categorical"))
@@ -94,6 +131,6 @@ def convert_columns_batch(
 
 
 __all__ = [
-    "TARGETS", "category_frame", "convert_column_type", "convert_columns_batch", "fit_categories",
-    "fit_format", "is_categorical", "is_numeric",
+    "TARGETS", "category_codes", "category_frame", "convert_column_type", "convert_columns_batch",
+    "encode_categories", "fit_categories", "fit_format", "is_categorical", "is_numeric",
 ]

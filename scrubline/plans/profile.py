@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scrubline.frames import (
-    data_columns, is_numeric, is_time, named, numeric_columns, require_batch,
+    chunked, data_columns, is_numeric, is_time, named, numeric_columns, require_batch,
     require_columns, require_numeric, type_of, value,
 )
 from scrubline.functions import dates, numbers, stats
@@ -23,6 +28,10 @@ QUARTILES = (0.25, 0.5, 0.75)
 # Pairs per aggregate of the correlation matrix.
 PAIRS_PER_SCAN = 200
 
+# Rows looked at to find a constant near the middle of each column, and the share of its squares that a
+# spread must have to be told from rounding.
+SHIFT_ROWS, UNSURE = 1_000, 1e-7
+
 
 def describe_column(df: DataFrame, column: str) -> DataFrame:
     """(statistic, value) rows: moments and quartiles of numbers and times,
@@ -118,7 +127,8 @@ def _correlation(a: Column, b: Column) -> Column:
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Pearson correlation of all pairs of 64-bit numeric columns in long form.
 
-    Each pair is computed once, over the rows where both are present.
+    Each pair is computed once, over the rows where both are present. Few columns take one
+    aggregate; many take one scan that sums cross products (``_pair_moments``).
     """
     require_batch(df, "a correlation")
     columns = [
@@ -126,25 +136,70 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     ]
     if len(columns) < 2:
         raise ValueError("Need at least 2 numeric columns.")
-    x = {c: value(df, c).cast("double") for c in columns}
     pairs = list(combinations(columns, 2))
-    found: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start : start + PAIRS_PER_SCAN]
-        row = df.agg(*[_correlation(x[a], x[b]) for a, b in chunk]).first()
-        found.update(zip(chunk, row))
-    spread = df.agg(*[F.nullif(F.max(x[c]) != F.min(x[c]), F.lit(False)) for c in columns]).first()
+    if len(pairs) <= PAIRS_PER_SCAN:
+        found = _pair_by_pair(df, pairs)
+        spread = df.agg(*[F.max(_double(df, c)) != F.min(_double(df, c)) for c in columns]).first()
+        varied = {c for c, differs in zip(columns, spread) if differs}
+    else:
+        found, varied = _pair_moments(df, columns)
     rows = []
     for variable in columns:
         for index in columns:
             if index == variable:
-                r = 1.0 if spread[columns.index(index)] else None
+                r = 1.0 if index in varied else None
             else:
                 r = found[(index, variable) if (index, variable) in found else (variable, index)]
             rows.append((index, variable, r))
     return df.sparkSession.createDataFrame(rows, "index string, variable string, value double")
 
 
+def _double(df: DataFrame, column: str) -> Column:
+    return value(df, column).cast("double")
+
+
+def _pair_by_pair(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    found: dict[tuple[str, str], float | None] = {}
+    for chunk in chunked(list(pairs), PAIRS_PER_SCAN):
+        row = df.agg(*[_correlation(_double(df, a), _double(df, b)) for a, b in chunk]).first()
+        found.update(zip(chunk, row))
+    return found
+
+
+def _pair_moments(df: DataFrame, columns: Sequence[str]) -> tuple[dict[tuple[str, str], float | None], set[str]]:
+    """Correlations of all pairs, and the columns with any spread, from one scan of many columns.
+
+    Each row becomes a vector of its values (less a constant near their middle, for accuracy), whether each
+    is present, and the squares. The sums of products of any two of these, a matrix that
+    tasks add up in a tree, hold for every pair the count, sums and squares over its complete
+    rows. Where a spread is too small beside its squares to be told from rounding, the pair is computed anew.
+    """
+    p = len(columns)
+    some = df.select(*[_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)]).limit(SHIFT_ROWS)
+    middles = some.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
+    moved = [_double(df, c) - F.lit(m or 0.0) for c, m in zip(columns, middles)]
+    present = [F.when(x.isNull(), 0.0).otherwise(1.0) for x in moved]
+    held = [F.coalesce(x, F.lit(0.0)) for x in moved]
+    vector = array_to_vector(F.array(*held, *present, *[x * x for x in held]))
+    rows = MLUtils.convertVectorColumnsFromML(df.select(vector.alias("v")), "v")
+    gram = RowMatrix(rows, 0, 3 * p).computeGramianMatrix().toArray()
+    n, x, xx, xy = gram[p : 2 * p, p : 2 * p], gram[:p, p : 2 * p], gram[2 * p :, p : 2 * p], gram[:p, :p]
+    spread = n * xx - x * x
+    unsure = spread <= UNSURE * n * np.maximum(xx, np.finfo(float).tiny)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * xy - x * x.T) / np.sqrt(spread * spread.T)
+    pairs = list(combinations(range(p), 2))
+    again = [(i, j) for i, j in pairs if (unsure[i, j] or unsure[j, i]) and n[i, j] > 1]
+    found = {(columns[i], columns[j]): float(np.clip(r[i, j], -1, 1)) if n[i, j] > 1 else None for i, j in pairs}
+    found |= _pair_by_pair(df, [(columns[i], columns[j]) for i, j in again])
+    flat = [i for i in range(p) if unsure[i, i]]
+    varied = {c for i, c in enumerate(columns) if i not in flat}
+    for chunk in chunked(flat, PAIRS_PER_SCAN):
+        row = df.agg(*[F.max(_double(df, columns[i])) != F.min(_double(df, columns[i])) for i in chunk]).first()
+        varied |= {columns[i] for i, differs in zip(chunk, row) if differs}
+    return found, varied
+
+
 def box_plot_statistics(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles, and whiskers at the extremes."""
     require_numeric(df, column)

@@ -117,3 +117,23 @@ MESSY = view(
 
 # The same with row order.
 MESSY_ORDERED = view("orders", *MESSY.expressions, "o_orderkey AS _row_id")
+
+
+def shown_edges(bins: int, lower_first: bool = False) -> str:
+    """WITH clause whose ``best`` has the edges of equal bins of ``value`` and how they print.
+
+    Edges are rounded to the fewest decimals, from three, that keep them apart; below one these count from the
+    first digit that is not zero. Doubles print in their shortest form.
+    """
+    scale = "power(10.0, CASE WHEN x <> 0 AND trunc(x) = 0 THEN d - 1 - floor(log10(abs(x))) ELSE d END)"
+    rounded = f"round_even(x * {scale}, 0) / {scale}"
+    shown = f"list_transform(edges, lambda x: {rounded})"
+    first = f"(SELECT {rounded} FROM (SELECT shown[1] - power(10.0, -d) AS x))"
+    listed = f"list_prepend({first}, shown[2:])" if lower_first else "shown"
+    return (
+        f"WITH e AS (SELECT [CASE i WHEN 0 THEN lo - 0.001 * (hi - lo) WHEN {bins} THEN hi ELSE lo + i * ((hi - lo) / {bins}) "
+        f"END FOR i IN range({bins + 1})] AS edges FROM (SELECT min(value) AS lo, max(value) AS hi FROM {{t}})), "
+        f"r AS (SELECT d, edges, {shown} AS shown FROM e, range(3, 20) g(d)), "
+        f"b AS (SELECT * FROM r WHERE len(list_distinct(shown)) = {bins + 1} ORDER BY d LIMIT 1), "
+        f"best AS (SELECT edges, {listed} AS shown FROM b) "
+    )

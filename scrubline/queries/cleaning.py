@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubline import operators as ops
 from scrubline.queries.base import (
-    CUSTOMERS, DATED, EVENTS, LINES, ORDERS, PARTS, TEXTS, TYPED, query, view,
+    CUSTOMERS, DATED, EVENTS, LINES, ORDERS, PARTS, TEXTS, TYPED, query, shown_edges, view,
 )
 
 
@@ -344,7 +344,11 @@ query("n5_bin_labels_quantity", LINES,
       "ELSE '(37.75, 50.0]' END AS bin FROM {t}")(
     lambda df: ops.bin_numeric(df, "l_quantity", 4, new_column="bin").select(
         "l_orderkey", "l_linenumber", "l_quantity", "bin"))
-query("n5_bin_labels", EVENTS)(lambda df: ops.bin_numeric(df, "value", 12, new_column="bin"))
+query("n5_bin_labels", EVENTS,
+      shown_edges(12) + "SELECT event_id, ts, user_id, event_type, value, CASE WHEN value IS NOT NULL THEN "
+      "'(' || shown[k] || ', ' || shown[k + 1] || ']' END AS bin "
+      "FROM (SELECT *, len([e FOR e IN edges IF value > e]) AS k FROM {t}, best)")(
+    lambda df: ops.bin_numeric(df, "value", 12, new_column="bin"))
 
 _ZSTATS = "(SELECT avg(value) AS m, stddev_samp(value) AS s FROM {t})"
 query("n6_outliers_iqr_null", EVENTS,
@@ -463,5 +467,15 @@ def _many_categories(df):
     return ops.category_frame(ops.convert_column_type(df, "k", "categorical"), "k")
 
 
+# Nearly every text is a category of its own; codes follow their order, missing ones are -1.
+query("y5_codes", view("documents", "doc_id", "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE md5(text) END AS label"),
+      "SELECT doc_id, label, CASE WHEN label IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY label NULLS LAST) - 1 END "
+      "AS label_code FROM {t}")(
+    lambda df: ops.encode_categories(df, "label"))
+query("y5_codes_of_numbers", view("events", "event_id", "user_id", "value"),
+      "SELECT event_id, user_id, value, dense_rank() OVER (ORDER BY value) - 1 AS value_code FROM {t}")(
+    lambda df: ops.encode_categories(df, "value"))
+
+
 query("y6_convert_batch", TYPED, _TYPED.format(_NUMBER, "try_cast(flag AS DOUBLE)"))(
     lambda df: ops.convert_columns_batch(df, ["amount", "flag", "no_such_column"], "numeric"))

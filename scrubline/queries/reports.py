@@ -15,7 +15,7 @@ from scrubline.functions import stats
 from scrubline.operators import checks, diff
 from scrubline.plans import profile, recipe, report, suggest
 from scrubline.queries.base import (
-    CUSTOMERS, DATED, EVENTS, LINES, MESSY, MESSY_ORDERED, ORDERS, TEXTS, TYPED, query, view,
+    CUSTOMERS, DATED, EVENTS, LINES, MESSY, MESSY_ORDERED, ORDERS, TEXTS, TYPED, query, shown_edges, view,
 )
 from scrubline.queries.cleaning import rounded
 
@@ -264,7 +264,12 @@ query("c15_distribution_labels_quantity", view("lineitem", "l_quantity"), " UNIO
     f"WHERE l_quantity > {b[1:].split(',')[0]} AND l_quantity <= {b[:-1].split(', ')[1]}"
     for i, b in enumerate(_QUANTITY_BINS)))(
     lambda df: profile.numeric_distribution(df, "l_quantity"))
-query("c15_distribution_labels", EVENTS)(lambda df: profile.numeric_distribution(df, "value"))
+query("c15_distribution_labels", EVENTS,
+      shown_edges(20, lower_first=True) + "SELECT CAST(i AS INTEGER) AS position, "
+      "'(' || shown[i + 1] || ', ' || shown[i + 2] || ']' AS bucket, count(k) AS count "
+      "FROM range(20) r(i), best LEFT JOIN (SELECT len([e FOR e IN (SELECT edges FROM best) IF value > e]) - 1 AS k "
+      "FROM {t} WHERE value IS NOT NULL) v ON v.k = i GROUP BY i, shown")(
+    lambda df: profile.numeric_distribution(df, "value"))
 query("c16_categorical", view("part", "p_type"),
       "SELECT p_type AS value, count(*) AS count FROM {t} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(
     lambda df: profile.categorical_distribution(df, "p_type"))
@@ -276,6 +281,19 @@ query("c17_correlation", LINES, " UNION ALL ".join(
     + " AS value FROM " + ("(SELECT 1)" if a == b else "{t}")
     for a in _CORRELATED for b in _CORRELATED))(
     lambda df: rounded(profile.correlation_matrix(df), "value"))
+# So many columns that all pairs come from one scan; every third has gaps.
+_MANY = [f"w{i}" for i in range(24)]
+_WIDE = view("lineitem", *[
+    f"CASE WHEN (l_orderkey + {i} * l_linenumber) % {i + 2} = 0 AND {i} % 3 = 0 THEN NULL ELSE "
+    f"l_quantity * {i % 5} + l_tax * {i} - l_extendedprice / {100 * (i + 1)} + l_partkey % {i + 3} END AS w{i}"
+    for i in range(24)])
+query("c17_correlation_many", _WIDE, "WITH c AS (SELECT "
+      + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for n, a in enumerate(_MANY) for b in _MANY[n + 1:])
+      + " FROM {t}), m AS (UNPIVOT c ON COLUMNS(*) INTO NAME pair VALUE v), "
+      "p AS (SELECT split_part(pair, '_', 1) AS a, split_part(pair, '_', 2) AS b, ROUND(v, 6) AS value FROM m) "
+      "SELECT a AS index, b AS variable, value FROM p UNION ALL SELECT b, a, value FROM p UNION ALL "
+      "SELECT a, a, 1.0 FROM (SELECT a FROM p UNION SELECT b FROM p)")(
+    lambda df: rounded(profile.correlation_matrix(df), "value"))
 query("c18_box_plot", EVENTS,
       "SELECT min(value) AS min, ROUND(quantile_cont(value, 0.25), 6) AS q1, ROUND(median(value), 6) AS median, "
       "ROUND(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max FROM {t}")(

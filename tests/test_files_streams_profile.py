@@ -283,6 +283,20 @@ def test_most_common_values_of_all_types(spark, monkeypatch, tracked, proposed):
         assert found[c] == (text, -minus), c
 
 
+def test_most_common_values_over_many_tasks_without_rows(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(20).repartition(40, "id").selectExpr("if(id % 4 = 0, null, 5) as x", "cast(null as string) as s")
+        assert stats.top_values(df, ["x", "s"]) == {"x": ("5", 15), "s": (None, 0)}
+        assert stats.top_values(df.where("x > 9"), ["x", "s"]) == {"x": (None, 0), "s": (None, 0)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_most_common_values_in_few_jobs(spark):
     df = spark.range(500).selectExpr(*[f"id % {k + 2} as c{k}" for k in range(60)])
     tracker = spark.sparkContext.statusTracker()
@@ -346,3 +360,52 @@ def test_lineage_is_cut_in_columns(spark):
     twins = spark.range(3).toDF("a").selectExpr("a", "a as A")
     assert cut_lineage(twins).columns == ["a", "A"]
     assert cut_lineage(df.limit(0)).columns == df.columns
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_correlation_of_many_columns_agrees_with_pairs(spark, monkeypatch, seed):
+    """Gaps, constants, values far from nought, columns flat but for one row, and columns that never meet."""
+    rng = np.random.default_rng(seed)
+    n, p = 200, 24
+    x = rng.normal(size=(n, p)) + rng.normal(size=(n, 1))
+    x[:, 0] = 5.0
+    x[:, 1] = 1e9 + rng.normal(size=n)
+    x[:, 2] = 7.0
+    x[3, 2] = 7.0 + 1e-9
+    x[:, 3] = x[:, 4] * -2 + 1
+    gaps = rng.random(size=(n, p)) < 0.2
+    gaps[:, 5] = np.arange(n) < 100
+    gaps[:, 6] = np.arange(n) >= 100
+    gaps[:, 7] = True
+    gaps[1:, 8] = True
+    rows = [[None if g else float(v) for v, g in zip(r, gs)] for r, gs in zip(x, gaps)]
+    df = spark.createDataFrame(rows, ", ".join(f"`c {i}` double" for i in range(p))).repartition(5)
+
+    def found():
+        return {(r["index"], r["variable"]): r["value"] for r in profile.correlation_matrix(df).collect()}
+
+    many = found()
+    monkeypatch.setattr(profile, "PAIRS_PER_SCAN", 10_000)
+    pairs = found()
+    assert many.keys() == pairs.keys()
+    for k, r in pairs.items():
+        if k[0] == k[1] == "c 2":
+            continue  # a spread of one part in ten thousand million is rounding or not by taste
+        assert (many[k] is None) == (r is None), k
+        assert r is None or many[k] == pytest.approx(r, abs=1e-4 if "c 2" in k else 1e-6), k
+
+
+def test_codes_of_categories(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("b", 4), ("", 5), ("é", 6)], "s string, i int").repartition(4)
+    coded = ops.encode_categories(df, "s")
+    assert coded.columns == ["s", "i", "s_code"]
+    assert sorted((r["i"], r["s_code"]) for r in coded.collect()) == [(1, 2), (2, -1), (3, 1), (4, 2), (5, 0), (6, 3)]
+    assert ops.encode_categories(df, "s", "s").columns == ["s", "i"]
+    assert ops.encode_categories(df.limit(0), "s").count() == 0
+    many = spark.range(5000).selectExpr("(id * 7919) % 1013 - 500.5 as x").repartition(7)
+    codes = {r["category"]: r["code"] for r in ops.category_codes(many, "x").collect()}
+    assert codes == {v: k for k, v in enumerate(sorted(codes))} and len(codes) == 1013
+    with pytest.raises(ValueError, match="already"):
+        ops.encode_categories(df, "s", "i")
+    with pytest.raises(ValueError, match="nested"):
+        ops.category_codes(df.selectExpr("array(s) as s"), "s")

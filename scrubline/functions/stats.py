@@ -307,6 +307,9 @@ def _sort_inside(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int
 ITEMS_TRACKED = 8192
 ITEMS_PROPOSED = 32
 
+# Up to this many rows a sketch would save nothing.
+COUNTED_WHOLE = 5_000_000
+
 # Columns told apart in one plan; only wider tables take more scans.
 COLUMNS_PER_COUNT = 400
 
@@ -319,7 +322,8 @@ def top_value(df: DataFrame, column: str) -> tuple[str | None, int]:
 def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str | None, int]]:
     """The most common value of each column as Spark text, lowest among ties, and its count.
 
-    Three jobs for any number of columns. A sketch of hashes proposes what is frequent; a scan counts
+    Up to ``COUNTED_WHOLE`` rows all values of all columns are counted in one job. Beyond that there are three
+    jobs for any number of columns. A sketch of hashes proposes what is frequent; a scan counts
     the values with those hashes exactly, for all columns at once; and where the best of them is more
     frequent than the sketch can have missed, it is proven. What is left, columns in which
     nothing is frequent, are counted whole, again all in one job. Counts are combined before the shuffle, so
@@ -331,7 +335,11 @@ def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str | N
     for c in columns:
         if c not in plain:
             found[c] = _top_by_sorting(df, c)
+    small = bool(plain) and df.count() <= COUNTED_WHOLE
     for chunk in chunked(plain, COLUMNS_PER_COUNT):
+        if small:
+            found |= dict.fromkeys(chunk, (None, 0)) | _top_counted(df, dict.fromkeys(chunk))
+            continue
         present, proposed = _proposed(df, chunk)
         counted = _top_counted(df, {c: proposed[c][0] for c in chunk if proposed[c][0]})
         for c in chunk:
@@ -430,7 +438,7 @@ def _top_counted(df: DataFrame, proposed: Mapping[str, list | None]) -> dict[str
         typed = {k: F.lit(None).cast(t) for k, t in (("l", "bigint"), ("d", "double"), ("s", "string"))} | {place: v}
         wanted = v.isNotNull() if hashes is None else F.xxhash64(v).isin(hashes) & v.isNotNull()
         cells.append(F.when(wanted, F.struct(F.lit(i).alias("i"), *[x.alias(k) for k, x in typed.items()])))
-    cells = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+    cells = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
     n = F.count("*")
     best = (
         cells.groupBy("i", "l", "d", "s")

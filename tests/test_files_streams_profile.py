@@ -258,9 +258,10 @@ def _most_common(rows, column):
     return min(((-values.count(v), v) for v in set(values)), default=(0, None))
 
 
-@pytest.mark.parametrize("tracked, proposed", [(8192, 32), (16, 2), (32, 32)])
-def test_most_common_values_of_all_types(spark, monkeypatch, tracked, proposed):
+@pytest.mark.parametrize("tracked, proposed, whole", [(8192, 32, 0), (16, 2, 0), (32, 32, 0), (8192, 32, 5_000_000)])
+def test_most_common_values_of_all_types(spark, monkeypatch, tracked, proposed, whole):
     """Frequent values, flat columns, ties, and sketches too small to tell."""
+    monkeypatch.setattr(stats, "COUNTED_WHOLE", whole)
     monkeypatch.setattr(stats, "ITEMS_TRACKED", tracked)
     monkeypatch.setattr(stats, "ITEMS_PROPOSED", proposed)
     df = spark.range(3000).repartition(6).selectExpr(
@@ -283,7 +284,8 @@ def test_most_common_values_of_all_types(spark, monkeypatch, tracked, proposed):
         assert found[c] == (text, -minus), c
 
 
-def test_most_common_values_over_many_tasks_without_rows(spark):
+def test_most_common_values_over_many_tasks_without_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "COUNTED_WHOLE", 0)
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
@@ -297,15 +299,16 @@ def test_most_common_values_over_many_tasks_without_rows(spark):
             spark.conf.set(k, v)
 
 
-def test_most_common_values_in_few_jobs(spark):
+def test_most_common_values_in_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(stats, "COUNTED_WHOLE", 0)
     df = spark.range(500).selectExpr(*[f"id % {k + 2} as c{k}" for k in range(60)])
     tracker = spark.sparkContext.statusTracker()
+    # four queries, the first of them a count, each in at most three jobs of adaptive execution
     for columns in (df.columns[:3], df.columns):
         spark.sparkContext.setJobGroup(f"top{len(columns)}", "")
         stats.top_values(df, columns)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    # three queries, each in at most three jobs of adaptive execution
-    assert len(tracker.getJobIdsForGroup("top3")) <= 9 and len(tracker.getJobIdsForGroup("top60")) <= 9
+    assert len(tracker.getJobIdsForGroup("top3")) <= 11 and len(tracker.getJobIdsForGroup("top60")) <= 11
 
 
 def _arrive(spark, folder, rows):
@@ -371,7 +374,7 @@ def test_correlation_of_many_columns_agrees_with_pairs(spark, monkeypatch, seed)
     x[:, 0] = 5.0
     x[:, 1] = 1e9 + rng.normal(size=n)
     x[:, 2] = 7.0
-    x[3, 2] = 7.0 + 1e-9
+    x[3, 2] = 7.0 + 1e-3
     x[:, 3] = x[:, 4] * -2 + 1
     gaps = rng.random(size=(n, p)) < 0.2
     gaps[:, 5] = np.arange(n) < 100
@@ -389,10 +392,8 @@ def test_correlation_of_many_columns_agrees_with_pairs(spark, monkeypatch, seed)
     pairs = found()
     assert many.keys() == pairs.keys()
     for k, r in pairs.items():
-        if k[0] == k[1] == "c 2":
-            continue  # a spread of one part in ten thousand million is rounding or not by taste
         assert (many[k] is None) == (r is None), k
-        assert r is None or many[k] == pytest.approx(r, abs=1e-4 if "c 2" in k else 1e-6), k
+        assert r is None or many[k] == pytest.approx(r, abs=1e-6), k
 
 
 def test_codes_of_categories(spark):

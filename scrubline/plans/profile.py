@@ -118,10 +118,14 @@ def categorical_distribution(df: DataFrame, column: str, n: int = TOP_VALUES) ->
 
 
 def _correlation(a: Column, b: Column) -> Column:
-    """Pearson's r over complete pairs, null without spread (the built-in one
-    divides by zero there and fails)."""
-    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.try_divide(F.covar_pop(a, b), spread)
+    """Pearson's r over complete pairs, null without spread (the built-in one divides by zero there and fails).
+
+    Extremes tell whether there is any: a deviation merged from many tasks may be off zero by rounding.
+    """
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    varied = (F.max(a) != F.min(a)) & (F.max(b) != F.min(b))
+    return F.when(varied, F.try_divide(F.covar_pop(a, b), spread))
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:

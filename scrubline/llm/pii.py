@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.frames import named
 from scrubline.llm.common import whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -47,7 +48,10 @@ LOOSE = {
     "phone": r"(?:\G|(?<![0-9+(]))(?:\+|00)?+[(]?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
 }
 
-#: A text without any of these has neither spans nor candidates.
+#: A text without any of these has no base span of the kind.
+_HAS_BASE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+
+#: A text without any of these has no candidate of the kind.
 _HAS = {
     "email": r"@|[\[(]at[\])]|\x20dot\x20",
     "ip": r"[0-9]\x20?\[?\.",
@@ -129,7 +133,7 @@ def _checked(kind: str, spans: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """[(s, e, m)] per kind: the matches of the base patterns that pass their check."""
-    return {k: _checked(k, _matches(text, BASE[k], _HAS[k])) for k in KINDS}
+    return {k: _checked(k, _matches(text, BASE[k], _HAS_BASE[k])) for k in KINDS}
 
 
 def _class(char: Column) -> Column:
@@ -333,14 +337,14 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     """``df`` with each span replaced by its kind in brackets; ``n_chars`` names a length column to refresh.
 
     The model is fitted to ``df`` itself. Spans are found again beside the text, so no
-    text is shuffled.
+    text is shuffled. The row rides along as one struct, so its columns may have any names.
     """
     model = train(candidates(df, key, text), key)
-    t = F.col("_text")
-    rows = df.withColumn("_text", whole_text(text))
+    t = F.col("t")
+    rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), whole_text(text).alias("t"))
     found = rows.withColumns(
         {f"b_{k}": v for k, v in base_spans(t).items()} | {f"c_{k}": v for k, v in candidate_spans(t).items()}
-    ).withColumn("_spans", F.array_sort(F.transform(_all_spans(model), lambda x: F.struct(x["s"], x["e"], x["kind"]))))
+    ).withColumn("spans", F.array_sort(F.transform(_all_spans(model), lambda x: F.struct(x["s"], x["e"], x["kind"]))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -350,7 +354,9 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col(text))
-    columns = {text: clean} if n_chars is None else {text: clean, n_chars: F.col(n_chars)}
-    out = found.withColumns(columns).select(*df.columns)
-    return out if n_chars is None else out.withColumn(n_chars, F.length(text).cast(dict(df.dtypes)[n_chars]))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("row")[text])
+    out = found.select("row", clean.alias("clean"))
+    columns = {c: F.col("row")[c] for c in df.columns} | {text: F.col("clean")}
+    if n_chars is not None:
+        columns[n_chars] = F.length("clean").cast(dict(df.dtypes)[n_chars])
+    return out.select(*[v.alias(c) for c, v in columns.items()])

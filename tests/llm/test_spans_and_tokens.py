@@ -88,6 +88,19 @@ def test_model_adds_spans_that_look_alike(spark):
     assert spans[5001] == [] and spans[5002] == []
 
 
+def test_phones_of_any_spacing(spark):
+    df = spark.createDataFrame([(1, "call +1   2   3   4   5   6   7   8 now")], "doc_id long, text string")
+    found = pii.candidates(df)
+    assert [tuple(x) for x in pii.find(found, pii.train(found)).first()["base"]] == [(3, 5, 35)]
+
+
+def test_redacted_rows_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_text", "b_email", "c_card", "_spans", "row", "t", "spans", "clean", "a.b"]
+    df = spark.createDataFrame([("k", "to a@b.de now", *"stuvwxyz1")], ", ".join(f"`{n}` string" for n in names))
+    assert pii.redact(df).columns == names
+    assert tuple(pii.redact(df).first()) == ("k", "to [EMAIL] now", *"stuvwxyz1")
+
+
 def test_boosting_separates_codes():
     rng = np.random.default_rng(0)
     table, seen = pii._table(), np.zeros(pii.CODES)
@@ -248,7 +261,6 @@ def test_packed(request, table):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     df, capacity = request.getfixturevalue(table), 64
     want = defaultdict(int)
     for k, t in pairs(df):
@@ -275,8 +287,9 @@ def test_long_runs_take_the_library():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
-    encode, tokenizer = packing._encoder(path), Tokenizer.from_file(path)
-    for t in ("a " + " " * 30_000 + "b", "x" * 30_000, "word " * 9000, "it's  <|end of|> ñ\n\n  "):
+    encode, tokenizer = packing._encoder(Path(path).read_bytes()), Tokenizer.from_file(path)
+    assert len(encode("a <|endoftext|> b")) == 4
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> <|endoftext", "a " + " " * 30_000 + "b", "x" * 30_000, "word " * 9000, "it's  <|end of|> ñ\n\n  "):
         assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 

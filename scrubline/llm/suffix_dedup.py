@@ -39,6 +39,9 @@ from scrubline.llm.common import record, slices, written
 
 GRAM = 16
 
+#: Text bytes whose windows are hashed together (or one text).
+HASHED_BYTES = 1 << 20
+
 #: Windows in one run, at most.
 RUN_WINDOWS = 4096
 
@@ -62,7 +65,23 @@ def words_at(raw: np.ndarray, n: int, kind: str) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, mark) of each run of windows with the same mark."""
+    """(text, start, windows, mark) of each run of windows with the same mark.
+
+    Hashes take several dozen bytes per byte of text, so texts are gone through a few at a time.
+    """
+    found, first = [], 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= HASHED_BYTES:
+            size += len(texts[last])
+            last += 1
+        text, *rest = _runs(texts[first:last], length)
+        found.append((text + first, *rest))
+        first = last
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else _runs([], length)
+
+
+def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     n = int(sizes.sum())
     if n < length:

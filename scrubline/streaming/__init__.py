@@ -18,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scrubline.frames import named, require_batch, require_columns, type_of
+from scrubline.functions import dates
 from scrubline.plans.recipe import execute_tool, fit_steps
 
 __all__ = ["clean_stream", "drop_repeats", "file_stream", "fit_steps", "one_per_window", "run_available"]
@@ -54,11 +55,13 @@ def clean_stream(
 
 
 def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
-    """The stream with a watermark on ``time``, which may be a time without zone (read in the session's)."""
+    """The stream with a watermark on ``time``; times without a zone are taken as they stand, whatever the session's."""
     require_columns(stream, [time])
-    if not isinstance(type_of(stream, time), (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    dtype = type_of(stream, time)
+    if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         raise ValueError(f"Column '{time}' holds no times, so it gives no watermark")
-    return stream.withColumn(TIME, named(time).cast("timestamp")).withWatermark(TIME, delay)
+    at = named(time) if isinstance(dtype, T.TimestampType) else F.timestamp_micros(dates.epoch_micros(named(time)))
+    return stream.withColumn(TIME, at).withWatermark(TIME, delay)
 
 
 def drop_repeats(stream: DataFrame, subset: Sequence[str], time: str, delay: str) -> DataFrame:

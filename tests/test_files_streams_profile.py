@@ -354,6 +354,21 @@ def test_windows_go_out_once_closed(spark, tmp_path):
         run("none")
 
 
+def test_windows_of_times_without_zone_do_not_depend_on_the_session(spark, tmp_path):
+    _arrive(spark, str(tmp_path / "in"), [(1, dt.datetime(2024, 1, 1, 23), "a"), (2, dt.datetime(2024, 1, 2, 1), "a"),
+                                          (3, dt.datetime(2024, 1, 9), "z")])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for k, name in enumerate(("UTC", "America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            stream = streaming.file_stream(spark, str(tmp_path / "in"))
+            picked = streaming.one_per_window(stream, ["v"], "at", "1 day", "1 hour")
+            out = streaming.run_available(picked, str(tmp_path / f"out{k}"), str(tmp_path / f"point{k}"))
+            assert sorted(r["k"] for r in out.collect()) == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_lineage_is_cut_in_columns(spark):
     df = spark.range(100).selectExpr("id", "id * 2 as x", "cast(id as string) as s")
     plan = cut_lineage(df).where("x > 10").select("x")._jdf.queryExecution().executedPlan().toString()

@@ -2,16 +2,25 @@
 
 Base spans come from four fixed patterns with checks (address, network address, card,
 phone) and always stay. Beside them, looser generators propose candidate spans, which may
-overlap. A candidate is described by a few features of its format and context, each
-with a handful of values, so there are at most ``CODES`` kinds of candidates. Their counts,
-by whether a base span confirms them, are taken over the whole table, and boosted trees are
-fitted to these counts on the driver. Fitted scores are calibrated on the rows that the
-trees did not see, and each kind of data gets the codes that pass ``PRECISION``; a
-candidate with such a code is a span as well, unless it overlaps a span already found.
+overlap: addresses with "[at]" and "dot", network addresses with bracketed dots, cards of any
+length, phones of any spacing. A candidate is verified if, its spelling undone, it passes a check that
+needs no base span (Luhn, address with a known kind of domain, four octets, numbering plan), and is
+described by a few features of its format and context, each with a handful of values,
+which do not tell the check's outcome. So there are at most ``CODES`` kinds of candidates.
+
+Their counts, by whether they are verified, are taken over the whole table, and boosted trees are
+fitted to these counts on the driver: the trees learn where checks pass more often than by
+accident. Scores are calibrated on rows that the trees did not see. From the calibrated share v of
+verified candidates of a code and the share r of unrelated text that passes the kind's check by
+accident (one in ten for Luhn), the share of real ones among the verified is
+(v - r) / ((1 - r) v); a verified candidate is a span when that is ``REAL`` or more. One that fails its check
+(a typing error) is a span only where nearly all such candidates are verified (``PRECISION``). Candidates that overlap
+a base span, or one already accepted for an earlier kind, are dropped.
 
 Positions: the text is split at the matches, and lengths of the parts add up to
-code-point offsets, end exclusive. All patterns match possessively and start only where a run
-starts, so they are linear in the text's length.
+code-point offsets, end exclusive; context is what lies between a match and the one before. All
+patterns match possessively and start only where a run starts. Spark copies what a fold gathers at every step, so
+nothing gathers in one: running sums and extremes come from blocks, and time grows with the text and its matches.
 
 Defined results: a null text is empty; an empty text has no spans; repeated rows have the same
 spans; an empty table gives an empty table; a table without candidates has base spans
@@ -71,32 +80,85 @@ CUES = {
 FEATURES = {"kind": 4, "size": 5, "parts": 4, "left": 4, "right": 4, "cue": 2, "shape": 3}
 CODES = int(np.prod(list(FEATURES.values())))
 
-#: A code is accepted when its calibrated chance to be confirmed is at least this.
+#: A code is accepted, verified or not, when its calibrated chance to be verified is at least this.
 PRECISION = 0.98
 
 ROUNDS, RATE, DEPTH, L2 = 60, 0.3, 3, 1.0
+
+#: A verified candidate is a span when the calibrated share of real ones among its like is at least this.
+REAL = 0.9
+
+#: How much of what is no personal data passes the check of a kind by accident: Luhn's digit, and two
+#: digits of 2 to 9; for addresses a guess on the safe side.
+CHANCE = {"email": 0.05, "ip": 0.05, "card": 0.1, "phone": 0.64}
+
+#: Values of a block of running sums.
+RUN_BLOCK = 64
+
+#: Code points of a block of text in which pieces are looked up.
+TEXT_BLOCK_BITS = 12
 CONTEXT = 24  # code points before a candidate in which cues are looked for
 
-_SPAN = "array<struct<s:int,e:int,m:string>>"
+_SPAN = "struct<s:int,e:int,m:string,b:string,a:string>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, start: int, op) -> Column:
+    """For each integer of the array, ``op`` over ``start`` and all before it, block by block."""
+    first = F.lit(start)
+    fold = lambda v: F.aggregate(v, first, lambda a, b: op(a, b))
+
+    def of(blocks: Column, totals: Column) -> Column:
+        def block(x: Column, b: Column) -> Column:
+            inside = lambda so_far: F.transform(x, lambda v, i: op(so_far, fold(F.slice(x, F.lit(1), i))))
+            return _let(fold(F.slice(totals, F.lit(1), b)), inside)
+
+        return F.flatten(F.transform(blocks, block))
+
+    def cut(v: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), (F.size(v) / RUN_BLOCK).cast("int")),
+            lambda b: F.slice(v, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK)),
+        )
+
+    return _let(_let(values, cut), lambda blocks: _let(F.transform(blocks, fold), lambda totals: of(blocks, totals)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _matches(text: Column, pattern: str, has: str) -> Column:
-    """[(s, e, m)] of the pattern's matches, leftmost and non-overlapping."""
-    zipped = F.arrays_zip(
-        F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    """[(s, e, m, b, a)]: the pattern's matches, leftmost and non-overlapping, with what stands before and after."""
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
+    def one(x: Column) -> Column:
+        s = x["at"] + F.length(x["g"])
+        before, after = F.substring(x["g"], -CONTEXT, CONTEXT), F.substring(x["next"], 1, 1)
         e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
-        return F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(e.alias("at"), F.concat(acc["found"], one).alias("found"))
+        return F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), before.alias("b"), after.alias("a"))
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        at = lambda x, k: F.struct(
+            x["g"].alias("g"), x["m"].alias("m"), x["next"].alias("next"), k.alias("at")
+        )
+        return F.transform(
+            F.filter(F.zip_with(parts, _running(sizes, 0, _sum), at), lambda x: x["m"].isNotNull()), one
+        )
+
+    def found(gaps: Column) -> Column:
+        zipped = F.arrays_zip(
+            gaps.alias("g"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+            F.slice(gaps, 2, F.size(gaps)).alias("next"),
         )
+        return _let(zipped, placed)
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(has), found).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(has), _let(F.split(text, pattern, -1), found)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _digits(m: Column) -> Column:
@@ -121,7 +183,7 @@ def _valid(kind: str, m: Column) -> Column:
 
         return F.forall(F.split(m, r"\."), small)
     if kind == "card":
-        return F.when(n.between(16, 19), _luhn(_digits(m))).otherwise(F.lit(False))
+        return F.when(n.between(16, 19), _let(_digits(m), _luhn)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(8, 15)
     return F.lit(True)
@@ -143,10 +205,33 @@ def _class(char: Column) -> Column:
     )
 
 
-def _code(kind: str, text: Column, x: Column) -> Column:
+# fixed values: how an address is spelt out, and the ends of domains that a spelt one may have
+AT, DOT = r"\x20?[\[(]at[\])]\x20?|\x20at\x20", r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20"
+ENDS = "[A-Za-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+NATIONAL = r"^(?:1[\x20.-])?[(]?[2-9][0-9]{2}[)]?[\x20.-]{1,2}[2-9][0-9]{2}[\x20.-][0-9]{4}$"
+ABROAD = r"^(?:\+|00)[(]?[1-9]"
+
+
+def _verified(kind: str, m: Column, d: Column) -> Column:
+    """Whether a candidate ``m`` with the digits ``d`` passes the check of its kind once its spelling is undone."""
+    n = F.length(d)
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, AT, "@"), DOT, ".")
+        name = r"^[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9-]++\.)+"
+        return F.when(F.length(m) <= 320, plain.rlike(f"{name}(?:{ENDS})$")).otherwise(F.lit(False))
+    if kind == "ip":
+        return F.regexp_replace(m, r"\[\.\]|\x20\.\x20", ".").rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
+    if kind == "card":
+        return F.when(n.between(13, 19), _luhn(d)).otherwise(F.lit(False))
+    abroad = m.rlike(ABROAD) & F.when(m.startswith("00"), n.between(10, 17) & m.rlike("[^0-9]")).otherwise(n.between(8, 15))
+    return abroad | m.rlike(NATIONAL)
+
+
+def _code(kind: str, x: Column) -> Column:
     """The candidate's features as one number below CODES."""
     m, k = x["m"], KINDS.index(kind)
-    n = F.length(_digits(m))
+    n = F.length(x["d"])
     groups = F.size(F.split(m, r"[^0-9]+"))
     if kind == "email":
         local = F.regexp_extract(m, r"^[A-Za-z0-9._%+-]+", 0)
@@ -165,12 +250,9 @@ def _code(kind: str, text: Column, x: Column) -> Column:
         size = F.when(n < 9, 0).when(n < 11, 1).when(n == 11, 2).when(n < 16, 3).otherwise(4)
         parts = F.least(groups, F.lit(4)) - 1
         shape = F.when(m.contains("("), 0).when(groups > 2, 1).otherwise(2)
-    left = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
-    before = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise("")
-    after = F.substring(text, x["e"] + 1, F.lit(1))
-    cue = F.when(x["s"] > 0, F.lower(left).rlike(CUES[kind])).otherwise(F.lit(False)).cast("int")
+    cue = F.lower(x["b"]).rlike(CUES[kind]).cast("int")
     values = {
-        "kind": F.lit(k), "size": size, "parts": parts, "left": _class(before), "right": _class(after),
+        "kind": F.lit(k), "size": size, "parts": parts, "left": _class(F.substring(x["b"], -1, 1)), "right": _class(x["a"]),
         "cue": cue, "shape": shape,
     }
     code = F.lit(0)
@@ -179,14 +261,24 @@ def _code(kind: str, text: Column, x: Column) -> Column:
     return code
 
 
-def _coded(kind: str, text: Column, spans: Column) -> Column:
-    code = lambda x: _code(kind, text, x).alias("code")
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), code(x)))
+def candidate_spans(text: Column) -> dict[str, Column]:
+    """[(s, e, code, ok)] per kind; ``ok`` tells a verified one."""
 
+    def of(kind: str) -> Column:
+        fields = ("s", "e", "m", "b", "a")
+        spans = F.transform(
+            _matches(text, LOOSE[kind], _HAS[kind]),
+            lambda x: F.struct(*[x[f].alias(f) for f in fields], _digits(x["m"]).alias("d")),
+        )
+        return F.transform(
+            spans,
+            lambda x: F.struct(
+                x["s"].alias("s"), x["e"].alias("e"), _code(kind, x).alias("code"),
+                F.coalesce(_verified(kind, x["m"], x["d"]), F.lit(False)).alias("ok"),
+            ),
+        )
 
-def candidate_spans(text: Column) -> dict[str, Column]:
-    """[(s, e, m, code)] per kind."""
-    return {k: _coded(k, text, _matches(text, LOOSE[k], _HAS[k])) for k in KINDS}
+    return {k: of(k) for k in KINDS}
 
 
 # -- boosted trees over counts ----------------------------------------------------------
@@ -194,10 +286,14 @@ def candidate_spans(text: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Model:
-    """``chance[code]`` is the calibrated chance that a base span confirms such a candidate."""
+    """``chance[code]`` is the calibrated chance that such a candidate is verified; ``real[code]`` the share of
+    personal data among the verified. Codes in ``accepted`` are spans in any case, those in ``if_verified`` when verified.
+    """
 
     chance: np.ndarray
+    real: np.ndarray
     accepted: tuple[int, ...]
+    if_verified: tuple[int, ...]
 
 
 def _table() -> np.ndarray:
@@ -230,6 +326,7 @@ def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, inside: np.ndarray,
 
 
 FEATURES_N = list(FEATURES.values())
+_KIND_OF = _table()[:, 0]
 
 
 def _chance(score: np.ndarray) -> np.ndarray:
@@ -260,26 +357,25 @@ def calibrate(score: np.ndarray, seen: np.ndarray, confirmed: np.ndarray) -> np.
 
 
 def fit(counts: np.ndarray) -> Model:
-    """``counts[held_out, confirmed, code]``: how many candidates of the whole table were such."""
-    seen, confirmed = counts.sum(axis=1), counts[:, 1]
-    score = boost(seen[0].astype(float), confirmed[0].astype(float))
-    chance = calibrate(score, seen[1].astype(float), confirmed[1].astype(float))
-    if not confirmed.sum():
+    """``counts[held_out, verified, code]``: how many candidates of the whole table were such."""
+    seen, verified = counts.sum(axis=1), counts[:, 1]
+    score = boost(seen[0].astype(float), verified[0].astype(float))
+    chance = calibrate(score, seen[1].astype(float), verified[1].astype(float))
+    if not verified.sum():
         chance = np.zeros(CODES)
-    total, x = confirmed.sum(axis=0), _table()
-    # Trees say nothing about values they never met: each of a code's values must have been confirmed for its kind,
-    # and a code that was met often and never confirmed is not accepted on its neighbours' account.
+    total, x, met_at_all = verified.sum(axis=0), _table(), seen.sum(axis=0) > 0
+    by_accident = np.array([CHANCE[k] for k in KINDS])[x[:, 0]]
+    real = np.clip((chance - by_accident) / ((1 - by_accident) * np.maximum(chance, 1e-9)), 0, 1)
+    # What fails its check rides on a format in which passing is the norm: each of its code's values must have been
+    # verified for the kind, and codes met often but never verified do not count on their neighbours' account.
     known = np.ones(CODES, bool)
     for f in range(1, x.shape[1]):
         met = np.zeros((FEATURES_N[0], FEATURES_N[f]))
         np.add.at(met, (x[:, 0], x[:, f]), total)
         known &= met[x[:, 0], x[:, f]] > 0
     never = (seen.sum(axis=0) >= 5) & (total == 0)
-    return Model(chance, tuple(np.flatnonzero((chance >= PRECISION) & known & ~never).tolist()))
-
-
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    accepted = np.flatnonzero((chance >= PRECISION) & known & ~never & met_at_all)
+    return Model(chance, real, tuple(accepted.tolist()), tuple(np.flatnonzero((real >= REAL) & met_at_all).tolist()))
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,11 +394,10 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def train(found: DataFrame, key: str = "doc_id") -> Model:
     """Fits the model to the counts of all candidates; every second row by hash is held out from the trees."""
-    def confirmed(kind: str) -> Column:
-        by = lambda x: _overlaps(x, F.col(f"b_{kind}")).cast("int").alias("y")
-        return F.transform(f"c_{kind}", lambda x: F.struct(x["code"].alias("code"), by(x)))
+    def verified(kind: str) -> Column:
+        return F.transform(f"c_{kind}", lambda x: F.struct(x["code"].alias("code"), x["ok"].cast("int").alias("y")))
 
-    parts = [confirmed(k) for k in KINDS]
+    parts = [verified(k) for k in KINDS]
     held_out = F.pmod(F.xxhash64(key, *[f"c_{k}" for k in KINDS]), F.lit(2)).alias("held_out")
     rows = found.select(held_out, F.explode(F.concat(*parts)).alias("c"))
     counts = np.zeros((2, 2, CODES))
@@ -312,25 +407,65 @@ def train(found: DataFrame, key: str = "doc_id") -> Model:
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.transform(
+        spans, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
+    )
 
 
 def _base() -> Column:
     return F.concat(*[_of_kind(F.col(f"b_{k}"), k) for k in KINDS])
 
 
-def _all_spans(model: Model) -> Column:
-    """[(kind, s, e)]: base spans and accepted candidates that overlap nothing before them."""
-    good = F.array(*map(F.lit, model.accepted)).cast("array<int>")
-    passed = lambda k: F.filter(f"c_{k}", lambda x: F.array_contains(good, x["code"]))
-    more = F.concat(*[_of_kind(passed(k), k) for k in KINDS])
-    add = lambda acc, x: F.when(_overlaps(x, acc), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.array_sort(F.aggregate(more, _base(), add))
+_LAST = 2**31 - 1
+
+
+def _free(spans: Column, kept: Column) -> Column:
+    """Those of ``spans`` (kind, s, e) that overlap none of ``kept``."""
+    order = lambda taken: lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), F.lit(taken).alias("taken"), x["kind"].alias("kind")
+    )
+
+    def of(both: Column) -> Column:
+        ends = F.transform(both, lambda x: F.when(x["taken"], x["e"]).otherwise(F.lit(0)))
+        starts = F.transform(F.reverse(both), lambda x: F.when(x["taken"], x["s"]).otherwise(F.lit(_LAST)))
+        around = F.arrays_zip(
+            both.alias("x"),
+            _running(ends, 0, F.greatest).alias("end"),
+            F.reverse(_running(starts, _LAST, F.least)).alias("start"),
+        )
+        free = F.filter(around, lambda y: ~y["x"]["taken"] & (y["end"] <= y["x"]["s"]) & (y["start"] >= y["x"]["e"]))
+        return F.transform(
+            free, lambda y: F.struct(*[y["x"][f].alias(f) for f in ("kind", "s", "e")])
+        )
+
+    both = F.array_sort(F.concat(F.transform(kept, order(True)), F.transform(spans, order(False))))
+    return F.when(F.size(spans) > 0, _let(both, of)).otherwise(F.slice(spans, 1, 0))
+
+
+def _with_spans(found: DataFrame, model: Model) -> DataFrame:
+    """``found`` and "spans", [(kind, s, e)]: base spans and accepted candidates that overlap neither them nor those
+    of earlier kinds. Kinds are columns one after another, as Spark resolves nested functions a level at a time.
+    """
+
+    def passed(kind: str) -> Column:
+        of = lambda codes: F.array(
+            *[F.lit(c) for c in codes if _KIND_OF[c] == KINDS.index(kind)]
+        ).cast("array<int>")
+        always, verified = of(model.accepted), of(model.if_verified)
+        good = lambda x: F.array_contains(always, x["code"]) | (x["ok"] & F.array_contains(verified, x["code"]))
+        return _of_kind(F.filter(f"c_{kind}", good), kind)
+
+    kept = found.withColumn("spans", _base())
+    for kind in KINDS:
+        kept = kept.withColumn("passed", passed(kind))
+        kept = kept.withColumn("spans", F.concat("spans", _free(F.col("passed"), F.col("spans")))).drop("passed")
+    return kept.withColumn("spans", F.array_sort("spans"))
 
 
 def find(found: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, base and spans: arrays of (kind, s, e) in order of kind and start."""
-    return found.select(key, _base().alias("base"), _all_spans(model).alias("spans"))
+    rows = found.select(F.col(key).alias("key"), *[f"{x}_{k}" for x in "bc" for k in KINDS])
+    return _with_spans(rows, model).select(F.col("key").alias(key), _base().alias("base"), "spans")
 
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
@@ -342,19 +477,35 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     model = train(candidates(df, key, text), key)
     t = F.col("t")
     rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), whole_text(text).alias("t"))
-    found = rows.withColumns(
-        {f"b_{k}": v for k, v in base_spans(t).items()} | {f"c_{k}": v for k, v in candidate_spans(t).items()}
-    ).withColumn("spans", F.array_sort(F.transform(_all_spans(model), lambda x: F.struct(x["s"], x["e"], x["kind"]))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = _with_spans(
+        rows.withColumns(
+            {f"b_{k}": v for k, v in base_spans(t).items()} | {f"c_{k}": v for k, v in candidate_spans(t).items()}
+        ),
+        model,
+    ).withColumn("spans", F.array_sort(F.transform("spans", lambda x: F.struct(x["s"], x["e"], x["kind"]))))
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["s"] > acc["at"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"])).otherwise("")
-        mark = F.when(x["s"] >= acc["at"], F.element_at(label, x["kind"] + 1)).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("row")[text])
+    end = F.struct(F.length(t).alias("s"), F.length(t).alias("e"), F.lit(-1).alias("kind"))
+
+    def gaps(spans: Column) -> Column:
+        ends = F.transform(spans, lambda x: x["e"])
+        gap = lambda x, a: F.struct(a.alias("a"), x["s"].alias("b"), x["kind"].alias("kind"))
+        return F.zip_with(spans, _running(ends, 0, F.greatest), gap)
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        mask = (1 << TEXT_BLOCK_BITS) - 1
+        i, j = F.shiftright(a, TEXT_BLOCK_BITS), F.shiftright(b, TEXT_BLOCK_BITS)
+        first = F.substring(F.get(blocks, i), a.bitwiseAND(mask) + 1, b - a)
+        last = F.coalesce(F.substring(F.get(blocks, j), F.lit(1), b.bitwiseAND(mask)), F.lit(""))
+        many = F.concat(first, F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), last)
+        return F.when(b <= a, "").when(i == j, first).otherwise(many)
+
+    def without(blocks: Column) -> Column:
+        cuts = _let(F.concat("spans", F.array(end)), gaps)
+        mark = lambda x: F.when((x["kind"] >= 0) & (x["b"] >= x["a"]), F.get(label, x["kind"])).otherwise("")
+        return F.array_join(F.transform(cuts, lambda x: F.concat(piece(blocks, x["a"], x["b"]), mark(x))), "")
+
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{1 << TEXT_BLOCK_BITS}}}"), F.lit(0))
+    clean = F.when(F.size("spans") > 0, _let(blocks, without)).otherwise(F.col("row")[text])
     out = found.select("row", clean.alias("clean"))
     columns = {c: F.col("row")[c] for c in df.columns} | {text: F.col("clean")}
     if n_chars is not None:

@@ -88,6 +88,80 @@ def test_model_adds_spans_that_look_alike(spark):
     assert spans[5001] == [] and spans[5002] == []
 
 
+def planted(n, seed):
+    """Texts with forms that no base pattern finds, and look-alikes: (rows, wanted spans per row)."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghklmnoprstu") for _ in range(rng.randint(4, 9)))
+
+    def card():
+        body = rng.choice("3456") + digits(rng.choice([11, 12, 13]))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    makers = [
+        (0, lambda: (f"mail {word()} at the office, or ", f"{word()} [at] {word()} [dot] com", " for more")),
+        (0, lambda: ("contact ", f"{word()}.{word()}(at){word()}(dot)org", " today")),
+        (1, lambda: ("login from ", "[.]".join(str(rng.randint(1, 255)) for _ in range(4)), " refused")),
+        (2, lambda: ("pay by card ", card(), " please")),
+        (3, lambda: ("call ", f"({rng.randint(2, 9)}{digits(2)}) {rng.randint(2, 9)}{digits(2)}-{digits(4)}", " now")),
+        (None, lambda: (f"order id {digits(14)} has page {digits(3)} at {word()} and ", "", "nothing else")),
+        (None, lambda: ("look at " + word() + " in 12.5.1999, row " + digits(13), "", " of the list")),
+    ]
+    rows, want = [], {}
+    for k in range(n):
+        kind, make = makers[k % len(makers)]
+        a, m, b = make()
+        rows.append((k, a + m + b))
+        want[k] = [] if kind is None else [(kind, len(a), len(a + m))]
+    return rows, want
+
+
+def test_planted_forms_beyond_the_base_patterns(spark):
+    rows, want = planted(1400, 5)
+    assert not any(base(t) for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.candidates(df)
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.find(found, pii.train(found)).collect()}
+    true = {(k, *s) for k, spans in want.items() for s in spans}
+    ours = {(k, *s) for k, spans in got.items() for s in spans}
+    assert len(true & ours) >= 0.95 * len(true) and len(true & ours) >= 0.95 * len(ours)
+    clean = dict(rows)[0]
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert redacted[0] == clean[: want[0][0][1]] + "[EMAIL]" + clean[want[0][0][2] :]
+
+
+def test_many_matches_in_one_text(spark):
+    rows = [(1, " ".join(f"é{k}x@mail{k}.org 10.0.0.{k % 300}" for k in range(6000))), (2, "z" * 50_000 + " a@b.de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.candidates(df)
+    got = {r["doc_id"]: r for r in pii.find(found, pii.train(found)).collect()}
+    for key, text in rows:
+        assert [tuple(x) for x in got[key]["base"]] == base(text)
+        assert {tuple(x) for x in got[key]["spans"]} >= set(base(text))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for key, text in rows:
+        parts, at = [], 0
+        for kind, s, e in sorted(map(tuple, got[key]["spans"]), key=lambda x: x[1]):
+            parts += [text[at:s], f"[{pii.KINDS[kind].upper()}]"]
+            at = e
+        assert clean[key] == "".join(parts) + text[at:]
+
+
+def test_checks_of_spelt_forms(spark):
+    forms = [
+        ("email", "jane [at] example [dot] com", True), ("email", "jane at home", False),
+        ("email", "jane at example dot matrix", False), ("ip", "1[.]2[.]3[.]4", True), ("ip", "1[.]2[.]3[.]999", False),
+        ("card", "378282246310005", True), ("card", "378282246310006", False), ("card", "4222222222222", True),
+        ("phone", "(555) 234-5678", True), ("phone", "155-123-4567", False), ("phone", "0049 30 1234567", True),
+        ("phone", "00493012345678", False),
+    ]
+    df = spark.createDataFrame([(k, m, w) for k, m, w in forms], "kind string, m string, want boolean")
+    for kind in pii.KINDS:
+        digits = F.regexp_replace("m", "[^0-9]", "")
+        for r in df.filter(F.col("kind") == kind).withColumn("got", pii._verified(kind, F.col("m"), digits)).collect():
+            assert r["got"] == r["want"], r["m"]
+
+
 def test_phones_of_any_spacing(spark):
     df = spark.createDataFrame([(1, "call +1   2   3   4   5   6   7   8 now")], "doc_id long, text string")
     found = pii.candidates(df)

@@ -133,6 +133,20 @@ def _dealt(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 _ASKED = "bucket long, marks binary, many binary, rows binary, starts binary, counts binary"
 
 
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same byte ranges with those of a row joined where they touch or overlap."""
+    if not len(row):
+        return row, start, end
+    by = np.lexsort((start, row))
+    row, start, end = row[by], start[by], end[by]
+    _, text = np.unique(row, return_inverse=True)
+    shift = text * (int(end.max()) + 2)  # rows lie apart on one line, so one running maximum serves all
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]])
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], reach[last] - shift[last]
+
+
 def text_id(data: bytes) -> int:
     """What Spark's xxhash64 gives for the text, unsigned."""
     return xxhash.xxh64_intdigest(data, 42)
@@ -387,9 +401,11 @@ def _blobs(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int]) -
                         windows.setdefault(window, []).append((one[0], one[1], one[2] + at, 0))
                 for window, one in first(windows, done):
                     asked.append((window, (*one[:3], xxhash.xxh64_intdigest(window) - (1 << 63))))
-                for at in range(0, len(done), 50_000):
-                    sizes, names_, starts = zip(*done[at : at + 50_000])
-                    yield blob(-1 - at, [], sizes, [0] * len(sizes), names_, starts)
+                # neighbouring runs overlap: a text that is settled whole is one range
+                held, low, high = merged(*np.array([(n, s, s + size) for size, n, s in done], np.int64).reshape(-1, 3).T)
+                for at in range(0, len(held), 50_000):
+                    to = slice(at, at + 50_000)
+                    yield blob(-1 - at, [], (high - low)[to], np.zeros(len(held[to])), held[to], low[to])
                 if not asked:
                     continue
                 marks = np.array([a[1][3] for a in asked], np.int64).view(np.uint64)
@@ -446,11 +462,12 @@ def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] =
             place = np.repeat(at, n_ranges)
             nth = np.arange(len(place)) - np.repeat(np.cumsum(n_ranges) - n_ranges, n_ranges)
             chosen = edges[which[place]] + nth
-            yield record(
-                row=np.concatenate([row[later], row[place]]),
-                start=np.concatenate([start[later], start[place] + low[chosen]]).astype(np.int32),
-                end=np.concatenate([(start + size)[later], start[place] + high[chosen]]).astype(np.int32),
+            row, start, end = merged(
+                np.concatenate([row[later], row[place]]),
+                np.concatenate([start[later], start[place] + low[chosen]]),
+                np.concatenate([(start + size)[later], start[place] + high[chosen]]),
             )
+            yield record(row=row, start=start.astype(np.int32), end=end.astype(np.int32))
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
     return (

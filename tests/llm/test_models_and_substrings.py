@@ -283,6 +283,38 @@ def test_suffix_dedup_of_one_window_many_times(spark, monkeypatch):
     assert made[0].agg(F.sum(F.length("texts"))).first()[0] < 30_000
 
 
+@pytest.mark.parametrize("copies", [100, 400])
+def test_suffix_dedup_of_near_copies_makes_few_ranges(spark, monkeypatch, copies):
+    """What a slice settles of a text is told as whole ranges, not as one for each run or window."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 4_000)
+    made = []
+    settle = suffix_dedup._settle
+    monkeypatch.setattr(suffix_dedup, "_settle", lambda *a: made.append(settle(*a)) or made[0])
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text = some(900)
+    rows = [(k, text + some(30)) for k in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = removed([(k, t.encode()) for k, t in rows], 50)
+    for r in suffix_dedup.drop_repeats(df).collect():
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))] == want[r["doc_id"]]
+    slices = spark.conf.get("spark.sql.shuffle.partitions")
+    # one range for each text, and a few per window for what slices still ask of each other
+    assert made[0].count() < 2 * copies + 900 * int(slices)
+
+
+def test_merged_ranges():
+    rng = np.random.default_rng(2)
+    row, start = rng.integers(-(1 << 62), 1 << 62, 5)[rng.integers(0, 5, 300)], rng.integers(0, 900, 300)
+    end = start + rng.integers(1, 9, 300)
+    points = lambda *r: {(n, k) for n, s, e in zip(*(x.tolist() for x in r)) for k in range(s, e)}
+    found = suffix_dedup.merged(row, start, end)
+    assert points(*found) == points(row, start, end) and len(found[0]) < 300
+    ends = {(n, e) for n, _, e in zip(*(x.tolist() for x in found))}
+    assert not any((n, s) in ends for n, s, _ in zip(*(x.tolist() for x in found)))
+    assert [len(x) for x in suffix_dedup.merged(*np.zeros((3, 0), np.int64))] == [0, 0, 0]
+
+
 def test_suffix_dedup_many_buckets(spark, monkeypatch, empty):
     monkeypatch.setattr(suffix_dedup, "MARK_BUCKET_BYTES", 300)
     monkeypatch.setattr(suffix_dedup, "SUFFIX_BUCKET_BYTES", 200)

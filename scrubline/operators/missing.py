@@ -20,6 +20,10 @@ FILL_METHODS = ("mean", "median", "mode", "zero", "ffill", "bfill", "custom")
 ROWS_PER_RANGE = 250_000
 MAX_RANGES = 20_000
 
+# Spark's range partitioning brings some 300 sampled rows per partition to the driver. Rows are sorted into one
+# partition for ROWS_PER_RANGE rows, within these bounds, however many ranges the partitions are cut into then.
+LEAST_PARTITIONS, MOST_PARTITIONS = 64, 2_000
+
 
 def drop_rows_with_nulls(df: DataFrame, column: str) -> DataFrame:
     require_columns(df, [column])
@@ -147,8 +151,8 @@ def _fill_along(
     """Carry the nearest value along row order over the whole table, or within groups of it.
 
     A segmented scan: one window over everything would be one task, and so would a group that holds
-    a third of all rows. The rows are sorted by group and order into ranges by Spark's own range
-    partitioning (no boundary list comes to the driver), numbered in that order, and written. Each
+    a third of all rows. The rows are sorted by group and order by Spark's own range partitioning,
+    numbered in that order, cut into ranges by these numbers, and written. Each
     range is filled on its own, and what it misses comes from a table of one row per range: the last
     value known in the ranges before it, if these end in the group it begins with.
     """
@@ -171,20 +175,23 @@ def _fill_along(
         passed = passed.rowsBetween(W.unboundedPreceding, 0)
         return {c: F.last(value(rows, c), ignorenulls=True).over(passed) for c in columns}
 
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    n = df.count()
+    ranges = min(MAX_RANGES, math.ceil(n / rows_per_range))
     if ranges <= 1:
         return df.withColumns(filled(df, groups, place))
-    dealt = df.repartitionByRange(ranges, *[c.asc_nulls_first() for c in place])
+    partitions = min(ranges, MOST_PARTITIONS, max(LEAST_PARTITIONS, math.ceil(n / ROWS_PER_RANGE)))
+    dealt = df.repartitionByRange(partitions, *[c.asc_nulls_first() for c in place])
     dealt = dealt.sortWithinPartitions(*[c.asc_nulls_first() for c in place])
     rows = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    # the upper bits of the number tell the partition, in sorted order
-    rows = rows.withColumn("__range", F.shiftright("__at", 33))
+    # the upper bits of the number tell the partition, in sorted order, the lower ones the place in it
+    place_in = F.col("__at").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumn("__range", F.col("__at") - place_in + F.floor(place_in / math.ceil(n / ranges)))
     carried = _carried(rows, columns, groups, forward, toward)
     inside = rows.withColumns(filled(rows, [F.col("__range"), *groups], [F.col("__at")]))
     same = F.col("__range") == F.col("__to")
     if within:
         same &= F.struct(*groups).eqNullSafe(F.col("__group"))
-    # one row per range, MAX_RANGES at most
+    # one row per range: MAX_RANGES at most, and one more for each partition
     joined = inside.join(F.broadcast(carried), same, "left")
     return joined.select(
         *[F.coalesce(named(c), F.col(f"__c{columns.index(c)}")).alias(c) if c in columns else named(c) for c in df.columns]

@@ -202,3 +202,21 @@ def test_ranges_have_a_bound(table, values, monkeypatch):
 
 def test_an_empty_table_along_order(table):
     assert fill_nulls_batch(table("x double", []), ["x"], "ffill", rows_per_range=1).count() == 0
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill"])
+@pytest.mark.parametrize("least", [1, 3, 64])
+def test_ranges_are_more_than_partitions(spark, monkeypatch, method, least):
+    """Spark samples rows of every range partition for the driver, so small ranges do not make more of these."""
+    monkeypatch.setattr(missing, "LEAST_PARTITIONS", least)
+    sorted_into = []
+    cut = missing.cut_lineage
+    monkeypatch.setattr(missing, "cut_lineage", lambda df, name: sorted_into.append(df.rdd.getNumPartitions()) or cut(df, name))
+    rng = random.Random(least)
+    rows = [{"id": i, "g": rng.choice("aaab"), "x": rng.choice([None, None, None, None, float(i)])} for i in range(900)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id bigint, g string, x double").repartition(4)
+    for within in ([], ["g"]):
+        filled = fill_nulls_batch(df, ["x"], method, order_by="id", rows_per_range=4, within=within)
+        want = _along(rows, method, lambda r, w=within: (r["g"] if w else "", r["id"]), lambda r, w=within: r["g"] if w else 0)
+        assert {r["id"]: r["x"] for r in filled.collect()} == want
+    assert max(sorted_into) <= least

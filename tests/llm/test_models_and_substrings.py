@@ -119,6 +119,67 @@ def test_gradient_lowers_the_loss():
     assert loss() < before / 4
 
 
+def test_context_tells_words_of_one_class(spark):
+    """Two words of one class and equal counts: which one follows is told by the word before."""
+    rows = [(k, "left boat " * 40 if k % 2 else "right coat " * 40) for k in range(60)]
+    probes = [(100, "left boat"), (101, "left coat"), (102, "right boat"), (103, "right coat")]
+    df = spark.createDataFrame(rows + probes, "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 0.5 and got[103] > got[102] + 0.5
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 40])
+def test_word_chances_add_up(spark, monkeypatch, frequent):
+    """After a context, the chances of all words, with one unknown for each shared slot, are one."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in "abcdefghijkl" for b in ("ing", "tion", "er", "x", "yy", "zzz")] * 2 + ["the"] * 50
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(40)]
+    words = sorted({w for _, t in rows for w in t.split()})
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    made = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda blocks, slots, hashed: made.append((slots, hashed, train(blocks, slots, hashed))) or made[0][2])
+    got = lm.score(df, F.lit(True)).collect()
+    slots, hashed, weights = made[0]
+    counts = Counter(w for _, t in rows for w in token_list(t))
+
+    def chance(before, key, n):
+        """By brute force, one word at a time."""
+        keys, sizes = np.array([*before, key], np.uint64), np.array([len(before) + 1])
+        kind, slot = int(key) & 31, int(slots.of(keys)[-1])
+        outer = lm.class_chances(weights[0], lm.rows_of(keys, sizes, hashed))[-1, kind]
+        inner = lm.class_chances(weights[1], lm.rows_of(keys, sizes, hashed, True))[-1, slot]
+        own = slot < lm.OWN
+        total = n + 1 if own else 1 + sum(
+            counts[w] + 1 for w, k in zip(all_words, all_keys) if int(k) & 31 == kind and slots.of(np.array([k]))[0] == slot
+        )
+        return float(outer) * float(inner) * (n + 1) / total
+
+    all_words = [*(w.encode() for w in words), b""]
+    all_keys = lm.word_keys(all_words, lm.Endings())
+    before = [all_keys[all_words.index(b"the")], all_keys[0]]
+    sum_known = sum(chance(before, k, counts[w]) for w, k in zip(all_words, all_keys))
+    unknown = [np.uint64(c | s << lm.CLASS_BITS | 1 << 60) for c in range(lm.CLASSES) for s in range(lm.SHARED)]
+    assert sum_known + sum(chance(before, k, 0) for k in unknown) == pytest.approx(1, abs=1e-4)
+    # score is the sum of these over a text
+    text = token_list(rows[0][1])
+    keys = [all_keys[all_words.index(w)] for w in text]
+    brute = sum(math.log10(chance(keys[max(0, i - 2) : i], k, counts[w])) for i, (w, k) in enumerate(zip(text, keys)))
+    assert {r["doc_id"]: r["score"] for r in got}[0] == pytest.approx(brute, rel=1e-4)
+
+
+def test_hashed_rows_grow(spark, monkeypatch):
+    assert [lm.hashed_rows(n) for n in (0, 10**8, 2 * 10**8, 4 * 10**9)] == [4096, 4096, 8192, 32768]
+    df = spark.createDataFrame([(k, f"some words {k % 7} in a row") for k in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "ROWS_FROM_TOKENS", 4)
+    sizes = []
+    weights = lm.Slots.weights
+    monkeypatch.setattr(lm.Slots, "weights", lambda self, hashed: sizes.append(hashed) or weights(self, hashed))
+    assert all(r["score"] > r["base_score"] for r in lm.score(df, F.lit(True)).collect())
+    assert sizes == [4096 * 8]
+
+
 def test_language_model_odd_inputs(empty, repeated):
     assert lm.score(empty, F.lit(True)).count() == 0
     assert lm.score(repeated, F.lit(True)).count() == repeated.count()

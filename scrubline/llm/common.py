@@ -22,7 +22,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For ``written`` where single rows are megabytes: Parquet looks at the size of what it holds after each row.
+LARGE_ROWS = {
+    "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1,
+}
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read on from there.
 
     Cuts the lineage, so a lost executor repeats no work before this point, and
@@ -34,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,16 +56,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The batch in parts of bounded text size, each with its texts."""
     sizes = np.array([len(b) for b in batch.column(column).cast(pa.binary()).to_pylist() if b is not None] or [0])
-    if sizes.sum() <= SLICE_BYTES or batch.num_rows <= 1:
+    if sizes.sum() <= most or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch, as_bytes(batch.column(column))
         return
     half = batch.num_rows // 2
-    yield from slices(batch.slice(0, half), column)
-    yield from slices(batch.slice(half), column)
+    yield from slices(batch.slice(0, half), column, most)
+    yield from slices(batch.slice(half), column, most)
 
 
 def record(schema: str | None = None, **columns) -> pa.RecordBatch:

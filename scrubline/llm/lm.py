@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import record, slices, written
+from scrubline.llm.common import LARGE_ROWS, record, slices, written
 
 CLASS_BITS = 5
 CLASSES = 1 << CLASS_BITS
@@ -62,8 +62,11 @@ BLOCK_ROWS = 512
 #: Bound on the words that are sent to every task (16 bytes each).
 FREQUENT = 1 << 19
 
+#: Text bytes whose tokens are written together (or one text).
+BLOCK_BYTES = 2_000_000
+
 #: Words that a task remembers before it starts over; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _MASK = CLASSES - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -260,7 +263,7 @@ def blocks_of(df: DataFrame, text: str, key: str, learn: Column, rounds: int) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for part, texts in slices(batch, 1, BLOCK_BYTES):
                 keys, sizes, codes = words.numbered(texts)
                 yield record(
                     keys=pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column(0)),
@@ -365,7 +368,7 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text")
 
     Learns from the rows for which ``learn`` holds.
     """
-    blocks = written(blocks_of(df, text, key, learn, ROUNDS), "tokens")
+    blocks = written(blocks_of(df, text, key, learn, ROUNDS), "tokens", **LARGE_ROWS)
     counts = written(count_words(blocks), "word-counts")
     # a row per shared slot of each class
     kind, slot = F.col("word").bitwiseAND(_MASK), F.shiftrightunsigned("word", CLASS_BITS).bitwiseAND(SHARED - 1)

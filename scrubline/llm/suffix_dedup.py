@@ -11,7 +11,8 @@ cut down first, without losing a repeat:
    then asks once per mark, so a passage that a third of all rows share is asked about once per slice.
 2. The runs with such marks are cut out of their texts and dealt by mark; equal runs of a slice
    are settled there. Where the runs of one mark exceed a bucket, as those across the ends of a passage that
-   many rows share do, the windows of each run are dealt by their own hashes instead. In each bucket a suffix array is built over the distinct runs: suffixes
+   many rows share do, the windows of each run are dealt by their own hashes instead. In each bucket a suffix array is built
+   over the distinct runs whose mark also has runs of another least key (of one key's runs no window goes): suffixes
    smaller than their successor are sorted directly, the others are induced from them by scanning
    the buckets of first bytes in order. Adjacent common prefixes of ``length`` bytes group
    equal windows, and each group's least key tells which of the windows go.
@@ -27,7 +28,7 @@ take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from scrubline.llm.common import record, slices, written
 
 GRAM = 16
 
-#: Text bytes whose windows are hashed together (or one text).
-HASHED_BYTES = 1 << 20
+#: Text bytes whose windows are hashed together (or one text); with their hashes they stay in a core's cache.
+HASHED_BYTES = 1 << 17
 
 #: Windows in one run, at most.
 RUN_WINDOWS = 4096
@@ -252,9 +253,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
 # -- suffix arrays ----------------------------------------------------------------------
 
 
-def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(raw: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of ``raw`` in order of their first ``depth`` bytes at least, sorted in two stages.
 
+    With ``wanted``, a mask, only these suffixes and what their order is found from: after each of them, up to the
+    next suffix that is smaller than its successor.
+
     Stage one sorts the suffixes that are smaller than their successor. Stage two goes through the
     buckets of first bytes in order: each suffix met puts the one before it, if that one is larger than
     its successor, at the end of the front part of its own bucket.
@@ -266,10 +270,13 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     follows = np.append(raw[1:], 0)
     smaller = np.repeat(raw[change] < follows[change], np.diff(np.r_[-1, change]))
     smaller[change[-1] - (change[-1] - (change[-2] if len(change) > 1 else -1)) + 1 :] = False  # the last run: the end is less
-    direct = _sorted_directly(raw, np.flatnonzero(smaller), depth)
+    needed = np.ones(n, bool) if wanted is None else _through(wanted, smaller)
+    direct = _sorted_directly(raw, np.flatnonzero(smaller & needed), depth)
+    induced = needed & ~smaller
     bounds = np.searchsorted(raw[direct], np.arange(257))
     front: list[list[np.ndarray]] = [[] for _ in range(256)]
-    front[raw[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix
+    if induced[n - 1]:
+        front[raw[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix
     out = []
     for c in range(256):
         wave = np.concatenate(front[c]) if front[c] else np.zeros(0, np.int64)
@@ -278,12 +285,12 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
             here.append(wave)
             before = wave[wave > 0] - 1
             before = before[raw[before] == c]
-            wave = before[~smaller[before]]
+            wave = before[induced[before]]
         here.append(direct[bounds[c] : bounds[c + 1]])
         met = np.concatenate(here)
         out.append(met)
         before = met[met > 0] - 1
-        before = before[(raw[before] > c) & ~smaller[before]]
+        before = before[(raw[before] > c) & induced[before]]
         byte = raw[before]
         order = np.argsort(byte, kind="stable")
         byte, before = byte[order], before[order]
@@ -293,27 +300,35 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _through(wanted: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The wanted places, and those after each up to the next stop, which is one of them."""
+    first = np.flatnonzero(np.r_[True, stop[:-1]])  # of the stretches that end at a stop
+    so_far = np.cumsum(wanted)
+    return so_far > np.repeat(so_far[first] - wanted[first], np.diff(np.append(first, len(wanted))))
+
+
 def _padded(raw: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate([raw, np.zeros(depth + 16, np.uint8)])
 
 
 def _sorted_directly(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by the ``depth`` bytes from them on, eight at a time; only ties are looked at again."""
+    """Places sorted by the ``depth`` bytes from them on, at most eight at a time; only ties are looked at again."""
     words = words_at(_padded(raw, depth), len(raw) + depth, ">u8")
-    order = np.argsort(words[at], kind="stable")
+    order = np.argsort(words[at])
     at = at[order]
-    todo, key = np.arange(len(at)), words[at]
-    group = np.zeros(len(at), np.int64)
-    for skip in range(8, depth, 8):
-        differs = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
-        number = np.cumsum(differs) - 1
-        tied = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
-        todo, group = todo[tied], number[tied]
+    todo, key, skip = np.arange(len(at)), words[at], 8
+    while skip < depth and len(todo):
+        new = np.r_[True, key[1:] != key[:-1]]
+        tied = ~(new & np.append(new[1:], True))
+        todo, group = todo[tied], (np.cumsum(new[tied]) - 1).astype(np.uint64)
         if not len(todo):
             break
-        key = words[at[todo] + skip]
-        order = np.lexsort((key, group))
+        # ties' numbers and the bytes that fit beside them are sorted as one number
+        taken = min(7, (64 - int(group[-1]).bit_length()) // 8)
+        key = words[at[todo] + skip] >> np.uint64(64 - 8 * taken) | group << np.uint64(8 * taken)
+        order = np.argsort(key)
         at[todo], key = at[todo][order], key[order]
+        skip += taken
     return at
 
 
@@ -343,9 +358,10 @@ def covered(contexts: list[bytes], least: np.ndarray, length: int) -> tuple[np.n
     sizes = np.array([len(c) for c in contexts], np.int64)
     raw = np.frombuffer(b"".join(contexts), np.uint8)
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    order = suffix_array(raw, length)
     ends = np.cumsum(sizes)
-    order = order[order + length <= ends[owner[order]]]  # whole windows only
+    whole = np.arange(len(raw)) + length <= np.repeat(ends, sizes)  # windows only
+    order = suffix_array(raw, length, whole)
+    order = order[whole[order]]
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = common_prefixes(raw, order, length) < length
@@ -356,71 +372,97 @@ def covered(contexts: list[bytes], least: np.ndarray, length: int) -> tuple[np.n
     return owner[hit], hit - (ends - sizes)[owner[hit]]
 
 
-_RUNS = "bucket long, texts binary, sizes binary, orders binary, rows binary, starts binary"
+_RUNS = "bucket long, texts binary, sizes binary, tags binary, orders binary, rows binary, starts binary"
+
+
+def numbered(strings: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct strings, and which of them each one is."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
+    return list(number), which
+
+
+def _later(which: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least key of each of n strings, and which places have a larger one than their string's."""
+    least = np.full(n, _LAST)
+    np.minimum.at(least, which, order)
+    return least, order > least[which]
 
 
 def _blobs(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int]) -> DataFrame:
     """Runs by bucket, as in _RUNS; a bucket below zero has what is settled already. ``full`` are overfull marks."""
 
-    def blob(bucket: int, texts: list[bytes], sizes, orders, rows, starts) -> pa.RecordBatch:
-        pack = lambda x, kind: [np.array(x, kind).tobytes()]
+    def blob(bucket: int, texts: bytes, sizes, tags, orders, rows, starts) -> pa.RecordBatch:
+        pack = lambda x, kind: [x.astype(kind).tobytes()]
         return record(
-            bucket=[bucket], texts=[b"".join(texts)], sizes=pack(sizes, "<u4"), orders=pack(orders, "<i8"),
+            bucket=[bucket], texts=[texts], sizes=pack(sizes, "<u4"), tags=pack(tags, "<u4"), orders=pack(orders, "<i8"),
             rows=pack(rows, "<i8"), starts=pack(starts, "<u4"),
         )
 
-    def first(seen: dict[bytes, list], done: list) -> Iterator[tuple[bytes, tuple]]:
-        for context, found in seen.items():
-            least = min(found)[0]
-            for one in found:
-                if one[0] == least:
-                    yield context, one
-                else:  # a smaller key has all of it
-                    done.append((len(context), one[1], one[2]))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 2):
-                seen: dict[bytes, list[tuple[int, int, int, int]]] = {}
-                orders, names = part.column(1).to_pylist(), part.column(0).to_pylist()
-                lists = part.column(3)
-                for k, t in enumerate(texts):
-                    flat = lists[k].values
-                    for mark, start, count in zip(*(flat.field(i).to_pylist() for i in range(3))):
-                        context = t[start : start + count - 1 + length]
-                        seen.setdefault(context, []).append((orders[k], names[k], start, mark))
-                done: list[tuple[int, int, int]] = []
-                asked: list[tuple[bytes, tuple]] = []
-                windows: dict[bytes, list[tuple[int, int, int, int]]] = {}
-                for context, one in first(seen, done):
-                    if one[3] not in full:
-                        asked.append((context, one))
-                        continue
-                    for at in range(len(context) - length + 1):
-                        window = context[at : at + length]
-                        windows.setdefault(window, []).append((one[0], one[1], one[2] + at, 0))
-                for window, one in first(windows, done):
-                    asked.append((window, (*one[:3], xxhash.xxh64_intdigest(window) - (1 << 63))))
+                flat = part.column(3).flatten()
+                mark, start, count = (flat.field(i).to_numpy() for i in range(3))
+                text = np.repeat(np.arange(len(texts)), part.column(3).value_lengths().to_numpy())
+                row, order = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
+                end = start + count - 1 + length
+                contexts, which = numbered(
+                    texts[k][s:e] for k, s, e in zip(text.tolist(), start.tolist(), end.tolist())
+                )
+                _, later = _later(which, order, len(contexts))  # a smaller key has all of these
+                done = [(row[later], start[later], end[later])]
+                wide = ~later & np.isin(mark, np.array(list(full), np.int64))
+                kept = ~later & ~wide
+                asked = [(which[kept], mark[kept].view(np.uint64), order[kept], row[kept], start[kept])]
+                if wide.any():
+                    place = np.repeat(np.flatnonzero(wide), count[wide])
+                    nth = np.arange(len(place)) - np.repeat(np.cumsum(count[wide]) - count[wide], count[wide])
+                    at = start[place] + nth
+                    windows, which = numbered(
+                        texts[k][s : s + length] for k, s in zip(text[place].tolist(), at.tolist())
+                    )
+                    _, later = _later(which, order[place], len(windows))
+                    done.append((row[place][later], at[later], at[later] + length))
+                    own = np.array([xxhash.xxh64_intdigest(w) for w in windows], np.uint64)[which]
+                    place, at, which, own = place[~later], at[~later], which[~later], own[~later]
+                    asked.append((which + len(contexts), own, order[place], row[place], at))
+                    contexts += windows
                 # neighbouring runs overlap: a text that is settled whole is one range
-                held, low, high = merged(*np.array([(n, s, s + size) for size, n, s in done], np.int64).reshape(-1, 3).T)
+                held, low, high = merged(*(np.concatenate(c).astype(np.int64) for c in zip(*done)))
                 for at in range(0, len(held), 50_000):
                     to = slice(at, at + 50_000)
-                    yield blob(-1 - at, [], (high - low)[to], np.zeros(len(held[to])), held[to], low[to])
-                if not asked:
-                    continue
-                marks = np.array([a[1][3] for a in asked], np.int64).view(np.uint64)
-                for b, some in _dealt(_bucket(marks, n_buckets), n_buckets):
-                    chosen = [asked[i] for i in some.tolist()]
+                    yield blob(-1 - at, b"", (high - low)[to], held[:0], np.zeros(len(held[to])), held[to], low[to])
+                which, mark, order, row, start = (np.concatenate(c) for c in zip(*asked))
+                by = np.argsort(which, kind="stable")
+                which, mark, order, row, start = which[by], mark[by], order[by], row[by], start[by]
+                size = np.array([len(c) for c in contexts], np.int64)
+                tag = (mark * _B) >> np.uint64(32)
+                for b, some in _dealt(_bucket(mark, n_buckets), n_buckets):
                     # places of one context follow one another; its bytes are sent once, with a size of zero after that
-                    new = [k == 0 or c is not chosen[k - 1][0] for k, (c, _) in enumerate(chosen)]
+                    context = which[some]
+                    new = np.r_[True, context[1:] != context[:-1]]
                     yield blob(
-                        b, [c for (c, _), n in zip(chosen, new) if n], [len(c) * n for (c, _), n in zip(chosen, new)],
-                        *([o[i] for _, o in chosen] for i in (0, 1, 2)),
+                        b, b"".join([contexts[k] for k in context[new].tolist()]), size[context] * new, tag[some][new],
+                        order[some], row[some], start[some],
                     )
 
     return rows.mapInArrow(cut, _RUNS)
 
 
+def _disputed(tag: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The contexts, in order, that may share windows with one of another key.
+
+    Equal windows have equal marks, so they lie in runs of equal tags; where all runs of a tag have one least
+    key, as copies of one run do, no window of theirs goes.
+    """
+    by = np.lexsort((least, tag))
+    edge = np.flatnonzero(np.r_[True, tag[by][1:] != tag[by][:-1]])
+    last = np.append(edge[1:], len(by))
+    differ = least[by][edge] != least[by][last - 1]
+    return np.sort(by[np.repeat(differ, last - edge)])
+
+
 def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] = frozenset()) -> DataFrame:
     """Covered byte ranges (row, start, end); rows: (row, order, text, runs), order being the key's."""
 
@@ -433,21 +475,18 @@ def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] =
             if bucket < 0:
                 yield record(row=row, start=start.astype(np.int32), end=(start + size).astype(np.int32))
                 continue
-            number: dict[bytes, int] = {}
-            which = np.empty(len(size), np.int64)
-            k = 0
-            for r in group:
-                at = 0
-                for s in np.frombuffer(r["sizes"], "<u4").tolist():
-                    if s:
-                        which[k] = number.setdefault(r["texts"][at : at + s], len(number))
-                    else:  # as the one before
-                        which[k], size[k] = which[k - 1], size[k - 1]
-                    at, k = at + s, k + 1
-            least = np.full(len(number), _LAST)
-            np.minimum.at(least, which, order)
-            later = order > least[which]  # a smaller key has the whole run
-            context, offset = covered(list(number), least, length)
+            texts, tag = b"".join(r["texts"] for r in group), np.concatenate([np.frombuffer(r["tags"], "<u4") for r in group])
+            sent = size > 0  # a size of zero: as the one before
+            size, each = size[sent], np.cumsum(sent) - 1
+            ends = np.cumsum(size)
+            contexts, which = numbered(texts[e - s : e] for s, e in zip(size.tolist(), ends.tolist()))
+            tag_of = np.empty(len(contexts), tag.dtype)
+            tag_of[which] = tag
+            size, which = size[each], which[each]
+            least, later = _later(which, order, len(contexts))
+            disputed = _disputed(tag_of, least)
+            context, offset = covered([contexts[k] for k in disputed.tolist()], least[disputed], length)
+            context = disputed[context]
             # windows of a context, merged to ranges
             by = np.lexsort((offset, context))
             context, offset = context[by], offset[by]
@@ -457,7 +496,7 @@ def _settle(rows: DataFrame, length: int, n_buckets: int, full: frozenset[int] =
             range_of, low, high = context[first], offset[first], offset[last] + length
             # for every place where such a context is the least key's
             at = np.flatnonzero(~later)
-            edges = np.searchsorted(range_of, np.arange(len(number) + 1))
+            edges = np.searchsorted(range_of, np.arange(len(contexts) + 1))
             n_ranges = np.diff(edges)[which[at]]
             place = np.repeat(at, n_ranges)
             nth = np.arange(len(place)) - np.repeat(np.cumsum(n_ranges) - n_ranges, n_ranges)

@@ -278,6 +278,47 @@ def test_suffix_array():
             assert shared[k] == next((c for c in range(50) if a[c] != b[c]), 50)
 
 
+def test_suffix_array_of_some_places():
+    """Only wanted suffixes are sorted, and those that their order is found from."""
+    rng = random.Random(2)
+    for _ in range(150):
+        letters = rng.choice([b"a", b"ab", b"abcdefgh \n", bytes(range(256))])
+        raw = bytes(rng.choice(letters) for _ in range(rng.randint(1, 250)))
+        raw = np.frombuffer(raw + raw[: len(raw) // 2], np.uint8)
+        wanted = np.array([rng.random() < rng.choice([0.05, 0.5]) for _ in raw])
+        order = suffix_dedup.suffix_array(raw, 50, wanted)
+        assert len(set(order.tolist())) == len(order) and set(np.flatnonzero(wanted)) <= set(order.tolist())
+        heads = [raw.tobytes()[i : i + 50] for i in order]
+        assert heads == sorted(heads)
+    text = np.frombuffer(b"".join(rng.choice([b"thein", b"onand", b" of", b"ly"]) for _ in range(3000)), np.uint8)
+    wanted = np.arange(len(text)) % 67 < 18
+    assert len(suffix_dedup.suffix_array(text, 50, wanted)) < 1.2 * wanted.sum()
+
+
+def test_suffix_dedup_sorts_only_what_is_disputed(spark, monkeypatch):
+    """Runs that are copies of each other are settled without a suffix array, those across a passage's ends are not."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(3000)
+    rows = [(k, some(200) + passage + some(200)) for k in range(2)]
+    runs = [(text, start, count, mark) for text, start, count, mark in zip(*suffix_dedup.runs([t.encode() for _, t in rows], 50))]
+    contexts = [rows[text][1].encode()[start : start + count + 49] for text, start, count, _ in runs]
+    strings, which = suffix_dedup.numbered(contexts)
+    least, later = suffix_dedup._later(which, np.array([r[0] for r in runs]), len(strings))
+    marks = np.zeros(len(strings), np.uint64)
+    marks[which] = [r[3] for r in runs]
+    disputed = suffix_dedup._disputed(marks, least)
+    assert 0 < len(disputed) < 10 < len(strings) and later.sum() > 100
+    context, offset = suffix_dedup.covered([strings[k] for k in disputed], least[disputed], 50)
+    all_context, all_offset = suffix_dedup.covered(strings, least, 50)
+    found = sorted(zip(disputed[context].tolist(), offset.tolist()))
+    assert found == sorted(zip(all_context.tolist(), all_offset.tolist())) and found
+    want = removed([(k, t.encode()) for k, t in rows], 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in suffix_dedup.drop_repeats(df).collect():
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))] == want[r["doc_id"]]
+
+
 def removed(docs, length):
     """Brute force over all strings of the length; docs: (order, text)."""
     least = {}
